@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filelens.llm import exact_dedup
+from filelens.llm import exact_dedup, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": simhash.op3_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
