@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filelens.llm import exact_dedup, packing, simhash
+from filelens.llm import exact_dedup, packing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": secrets.op1_secrets,
     "op3_simhash": simhash.op3_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op10_packing": packing.op10_packing,
