@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filelens.llm import exact_dedup, packing, quality, secrets, simhash
+from filelens.llm import exact_dedup, packing, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_packing": packing.op10_packing,
 }
 
