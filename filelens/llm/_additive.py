@@ -109,7 +109,7 @@ class BoostedTrees:
     depth: int = 3
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 80, rate: float = 0.15, depth: int = 3, least: float = 1.0, ridge: float = 1.0) -> BoostedTrees:
+    def fit(cls, x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 80, rate: float = 0.15, depth: int = 3, least: float = 2.0, ridge: float = 1.0) -> BoostedTrees:
         if not len(y) or y.min() == y.max():
             p = float(np.clip(y.mean(), 0.02, 0.98)) if len(y) else 0.5
             return cls(base=float(np.log(p / (1 - p))))
@@ -157,13 +157,16 @@ class BoostedTrees:
 
 @dataclass
 class Isotonic:
-    """Non-decreasing step map by pooling adjacent violators, linear between its steps."""
+    """Non-decreasing step map from log-odds by pooling adjacent violators, linear between its steps.
+
+    A pool of few rows says little, so each pool is drawn to the scores' own probability with the weight of ``prior`` rows.
+    """
 
     x: np.ndarray
     y: np.ndarray
 
     @classmethod
-    def fit(cls, score: np.ndarray, y: np.ndarray) -> Isotonic:
+    def fit(cls, score: np.ndarray, y: np.ndarray, prior: float = 10.0) -> Isotonic:
         if not len(y):
             return cls(np.zeros(1), np.full(1, 0.5))
         order = np.argsort(score, kind="stable")
@@ -174,8 +177,8 @@ class Isotonic:
                 last = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
         xs = [q for b in blocks for q in (b[2], b[3])]
-        ys = [b[0] / b[1] for b in blocks for _ in range(2)]
-        return cls(np.array(xs), np.array(ys))
+        ys = [(b[0] + prior * own) / (b[1] + prior) for b in blocks for own in sigmoid(np.array(b[2:])).tolist()]
+        return cls(np.array(xs), np.maximum.accumulate(ys))
 
     def __call__(self, score: np.ndarray) -> np.ndarray:
         return np.interp(score, self.x, self.y)
