@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filelens.llm import exact_dedup, language, packing, quality, secrets, simhash, toxicity
+from filelens.llm import exact_dedup, language, minhash, packing, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
+    "op4_fingerprints": minhash.op4_fingerprints,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language": language.op6_language,
     "op7_toxicity": toxicity.op7_toxicity,
