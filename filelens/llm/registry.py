@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filelens.llm import exact_dedup, language, minhash, packing, quality, secrets, simhash, toxicity
+from filelens.llm import exact_dedup, language, minhash, packing, quality, secrets, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
@@ -16,9 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language": language.op6_language,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
