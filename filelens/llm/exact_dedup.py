@@ -75,16 +75,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the later copies; all columns stay. Of rows that repeat id and text one stays."""
-    verdict = exact_dedup(docs, id_col, text_col)
-    lost = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_lost"), F.col("text_sha256").alias("_sha")).distinct()
-    twice = verdict.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("_twice"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_own_sha", F.sha2(normalised(F.col(text_col)), 256))
-    stay = marked.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")) & (F.col("_own_sha") == F.col("_sha")), "left_anti")
-    on = F.col(id_col).eqNullSafe(F.col("_twice")) & (F.col("_own_sha") == F.col("_sha"))
-    once = stay.join(twice, on, "left_semi").dropDuplicates([id_col, "_own_sha"])
-    return stay.join(twice, on, "left_anti").unionByName(once).drop("_own_sha")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes: int | None = None) -> DataFrame:
+    """``docs`` without the later copies; all columns stay. Of rows that repeat id and text one stays.
+
+    The texts are shuffled once, to meet the verdicts on their ids.
+    """
+    verdict = exact_dedup(docs, id_col, text_col, nodes).where("kept").groupBy(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_rows"))
+    verdict = cut(verdict)
+    stay = docs.withColumn("_own", F.sha2(normalised(F.col(text_col)), 256)).join(verdict, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_sha")))
+    if verdict.where("_rows > 1").isEmpty():
+        return stay.select(docs.columns)
+    repeated = stay.where("_rows > 1").dropDuplicates([id_col, "_own"])
+    return stay.where("_rows = 1").unionByName(repeated).select(docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
