@@ -88,3 +88,21 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Itera
         yield flush()
 
     return df.mapInArrow(run, out)
+
+
+class Memo(dict):
+    """What ``make(key)`` gave, for keys of up to 64 characters: the last ``size`` keys asked for, and those of the generation before."""
+
+    def __init__(self, make: Callable, size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got

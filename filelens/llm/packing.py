@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm._common import map_rows, table
+from filelens.llm._common import Memo, map_rows, table
 
 CAPACITY = 1024
 #: Pieces of at least this length are cut at powers of two; a shorter rest stays whole.
@@ -49,6 +49,10 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 class Ids:
     """The ids of a tokenizer file (byte-level BPE of the library ``tokenizers``) as little-endian 32-bit bytes.
 
@@ -71,8 +75,8 @@ class Ids:
             raise ValueError(f"{tokenizer_path}: the merges aren't in the order of their ids")
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i <= merged[-1] and all(c in byte for c in t)}
         self.encode = tiktoken.Encoding("file", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.after_space = _Memo(lambda part: self.encode(part if part[0] == "\n" else " " + part))
-        self.whole = _Memo(self.encode)
+        self.after_space = Memo(lambda part: packed(self.encode(part if part[0] == "\n" else " " + part)), MEMO)
+        self.whole = Memo(lambda part: packed(self.encode(part)), MEMO)
 
     def of(self, text: str) -> bytes:
         if _ODD.search(text):
@@ -81,22 +85,6 @@ class Ids:
         return self.whole[first] + b"".join(map(self.after_space.__getitem__, rest))
 
 
-class _Memo(dict):
-    def __init__(self, encode):
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, key: str) -> bytes:
-        got = self.old.get(key)
-        if got is None:
-            got = np.array(self.encode(key), "<u4").tobytes()
-        if len(key) <= 64:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[key] = got
-        return got
-
-
 def pieces_of(length: int, capacity: int = CAPACITY, smallest: int = SMALLEST_HALF) -> Iterator[int]:
     """Lengths that add up to ``length``: whole sequences, halves of the capacity, then the short rest."""
     while length >= capacity:

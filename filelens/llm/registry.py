@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filelens.llm import exact_dedup, language, minhash, packing, quality, secrets, simhash, substring_dedup, toxicity
+from filelens.llm import exact_dedup, language, minhash, packing, quality, secrets, sentencepiece_fst, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": language.op6_language,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_sentencepiece": sentencepiece_fst.op9_sentencepiece,
     "op10_packing": packing.op10_packing,
 }
 
