@@ -82,7 +82,7 @@ def decode(data: bytes, magic: bytes | None = None) -> IndexFile:
     name_ids, parents = np.frombuffer(part["name_ids"], "<u4"), np.frombuffer(part["parents"], "<u4")
     need(bool((name_ids < d).all()), "a name id is out of range")
     need(bool(((parents == NO_PARENT) | (parents < np.arange(n))).all()), "a parent doesn't precede its child")
-    ends = np.append(offsets[1:], len(part["names"]))
+    ends = np.append(offsets[1:], len(part["names"]))[:d]
     names = [part["names"][a:b].split(b"\0", 1)[0].decode("utf-8", "replace") for a, b in zip(offsets.tolist(), ends.tolist(), strict=True)]
     roots = [r.decode("utf-8", "replace") for r in part["roots"].split(b"\0")[:-1]]
     column = lambda name, kind: np.frombuffer(part[name], kind)
