@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filelens.functions.columns import join_path
 from filelens.schema import BASE_COLUMNS, ROOT_PARENT, TREE_COLUMNS, first_of_twins, with_derived
+from filelens.storage import settled
 
 #: Levels below the root after which a tree counts as broken.
 DEEPEST = 4096
@@ -15,9 +16,10 @@ DEEPEST = 4096
 def with_paths(rows: DataFrame, levels: int | None = None) -> DataFrame:
     """Base rows with root_id, path, tree_depth and dir_primary, one join per level; rows without a root above them are gone.
 
-    ``levels``: depth of the deepest entry, if it is known; else each level is looked at before the next is joined.
+    ``levels``: depth of the deepest entry, if it is known; else the joins go on until a level is empty. Each level is
+    settled before the next is joined to it, so no level is computed twice however deep the tree.
     """
-    marked = first_of_twins(rows)
+    marked = settled(first_of_twins(rows.select(BASE_COLUMNS)))
     level = marked.where(F.col("parent_id") == ROOT_PARENT).select(*BASE_COLUMNS, F.col("id").alias("root_id"), F.col("name").alias("path"), F.lit(0).alias("tree_depth"), F.col("is_dir").alias("dir_primary"))
     found = [level]
     while (len(found) <= levels) if levels is not None else True:
@@ -25,6 +27,7 @@ def with_paths(rows: DataFrame, levels: int | None = None) -> DataFrame:
         level = marked.join(above, marked.parent_id == above._up).select(
             *BASE_COLUMNS, "root_id", join_path(F.col("_path"), F.col("name")).alias("path"), (F.col("tree_depth") + 1).alias("tree_depth"), (F.col("_primary") & F.col("first")).alias("dir_primary")
         )
+        level = settled(level)
         if levels is None and (len(found) > DEEPEST or level.isEmpty()):
             break
         found.append(level)
