@@ -31,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def apart(*keys: str) -> Column:
+    """A further grouping key that depends on ``keys`` alone.
+
+    Grouped by it too, the groups are the same, but Spark can't reuse their partitioning for a join on the keys: both
+    sides of the join get an exchange of their own, and adaptive execution can then split a key that has very many rows.
+    """
+    return F.xxhash64(*keys, F.lit(1)).alias("_apart")
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm._common import cut, table
+from filelens.llm._common import apart, cut, table
 
 #: Kinds in their order among spans with the same start, with pattern and the group that holds the value. Fixed values.
 KINDS = ("assign", "access", "hex", "opaque")
@@ -92,9 +92,8 @@ def ownership(scanned: DataFrame, copied_owners: int = 3, copied_repos: int = 10
     each = scanned.where(F.size("spans") > 0).select("owner", "repo", F.explode("spans.h").alias("h"))
     by_repo = each.groupBy("h", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("h", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("r"))
-    return by_owner.groupBy("h").agg(F.sum("n").alias("n_seen"), F.sum("r").alias("n_repos"), F.count("*").alias("n_owners")).withColumn(
-        "live", (F.col("n_owners") < copied_owners) & (F.col("n_repos") < copied_repos)
-    )
+    counted = by_owner.groupBy("h", apart("h")).agg(F.sum("n").alias("n_seen"), F.sum("r").alias("n_repos"), F.count("*").alias("n_owners"))
+    return counted.drop("_apart").withColumn("live", (F.col("n_owners") < copied_owners) & (F.col("n_repos") < copied_repos))
 
 
 def secret_scan(docs: DataFrame, copied_owners: int = 3, copied_repos: int = 10, **columns: str) -> DataFrame:
@@ -147,3 +146,33 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live")
     )
+
+
+def _oracle() -> str:
+    """The query in SQL for DuckDB: positions are sums of the lengths of matches and of the parts between them."""
+    quote = lambda p: p.replace("'", "''")
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, source, {k} AS kind, regexp_extract_all(text, '{quote(PATTERNS[kind])}', 0) AS m, regexp_extract_all(text, '{quote(PATTERNS[kind])}', {VALUE_GROUP[kind]}) AS v, "
+        f"string_split_regex(text, '{quote(PATTERNS[kind])}') AS p FROM t"
+        for k, kind in enumerate(KINDS)
+    )
+    return f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS ({kinds}),
+each AS (SELECT doc_id, source, kind, m, v, p, unnest(range(1, len(m) + 1)) AS k FROM found),
+placed AS (SELECT doc_id, source, kind, v[k] AS value, length(m[k]) AS n,
+  (coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) + list_sum(list_transform(p[1:k], lambda x: length(x))))::BIGINT AS b FROM each),
+base AS (SELECT *, b + n AS e FROM placed WHERE kind BETWEEN 1 AND 2 OR kind = 0 AND length(value) >= {LEAST_ASSIGNED}),
+opaque AS (SELECT *, b + n AS e FROM placed o WHERE kind = 3 AND length(regexp_replace(value, '[^0-9]', '', 'g')) >= 3 AND regexp_matches(value, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = o.doc_id AND base.b < o.b + o.n AND o.b < base.e)),
+candidates AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
+owned AS (SELECT value AS w, count(DISTINCT source) < 3 AND count(DISTINCT doc_id) < 10 AS live FROM candidates GROUP BY value),
+flagged AS (SELECT *, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || b || ':' || e AS s FROM candidates JOIN owned ON value = w WHERE kind < 3 OR live),
+listed AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (live) AS n_live,
+  string_agg(s, ',' ORDER BY b, kind) AS spans, string_agg(s, ',' ORDER BY b, kind) FILTER (kind < 3) AS base_spans FROM flagged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm._common import cut, map_rows, table
+from filelens.llm._common import apart, cut, map_rows, table
 
 SHINGLE = 3
 SEED = 42
@@ -147,9 +147,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = both.groupBy("a", apart("a")).agg(F.least(F.min("b"), F.col("a")).alias("m")).drop("_apart")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a", apart("a")).agg(F.min("b").alias("m")).drop("_apart")
         moved = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = cut(moved.where("a <> b").distinct())
         same = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() == after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -165,7 +165,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct, threshold))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = placed.groupBy("root", apart("root")).agg(F.min("first").alias("component_id")).drop("_apart")
     classes = placed.join(smallest, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
