@@ -5,6 +5,8 @@ A search query is a line of the query language; its twin is the condition in SQL
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -194,6 +196,18 @@ def journal_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.last_state(tables.event_log(spark, sf_dir)).select("id", "seq", "op", "size", "mtime")
 
 
+def stream_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of the log read as a stream: state is one change per key, and each micro batch replaces the result."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    at = f"{shared}/last-state-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    log = tables.as_log(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    states = changes.last_state(log).select("id", "seq", "op", "size", "mtime")
+    replace = lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/rows")
+    states.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows")
+
+
 def _half_logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Live keys of the log's first half, and of all of it."""
     log = tables.event_log(spark, sf_dir)
@@ -295,6 +309,7 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "children_per_parent": (children_per_parent, f"{ENTRIES}SELECT parent_id, count(*) AS children FROM entries GROUP BY parent_id"),
     "distinct_names": (distinct_names, f"{ENTRIES}SELECT DISTINCT name FROM entries"),
     "journal_last_state": (journal_last_state, f"{_LAST}SELECT id, seq, op, size, mtime FROM last WHERE op <> 'R'"),
+    "stream_last_state": (stream_last_state, f"{_LAST}SELECT id, seq, op, size, mtime FROM last WHERE op <> 'R'"),
     "journal_adds": (
         journal_adds,
         f"{_LAST}, early AS (SELECT * FROM log WHERE seq <= (SELECT max(seq) / 2 FROM log) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) "

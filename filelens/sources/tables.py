@@ -84,7 +84,12 @@ def web_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a change log whose ids are users: a signup adds, an error removes, anything else updates."""
-    return _table(spark, sf_dir, "events").select(
+    return as_log(_table(spark, sf_dir, "events"))
+
+
+def as_log(events: DataFrame) -> DataFrame:
+    """The same for any frame of events, a stream too."""
+    return events.select(
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "signup", "A").when(F.col("event_type") == "error", "R").otherwise("U").alias("op"),
         F.col("user_id").alias("id"),
