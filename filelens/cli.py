@@ -124,7 +124,8 @@ def _index(o, write) -> int:
     c = config.load(o.config)
     snapshot = _catalog(o).build(config.Config(o.root or c.roots, c.excludes))
     n = snapshot.stats().first()
-    write(f"indexed {n.files} files and {n.folders} folders in {time.monotonic() - began:.1f} s\n")
+    unread = f", {snapshot.unreadable} folders unreadable" if snapshot.unreadable else ""
+    write(f"indexed {n.files} files and {n.folders} folders in {time.monotonic() - began:.1f} s{unread}\n")
     return 0
 
 

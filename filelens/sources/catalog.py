@@ -21,7 +21,7 @@ from filelens.operators import changes, tree
 from filelens.operators.search import Index
 from filelens.schema import BASE_COLUMNS
 from filelens.sources import config, filesystem
-from filelens.storage import write_entries
+from filelens.storage import settled, write_entries
 
 
 class Replaced(RuntimeError):
@@ -36,6 +36,7 @@ class Snapshot(Index):
     batches: int = 0
     roots: tuple[str, ...] = ()
     built_at: int = 0
+    unreadable: int = 0
 
 
 class Catalog:
@@ -83,19 +84,19 @@ class Catalog:
         text = self._read("CURRENT")
         return int(text) if text else None
 
-    def publish(self, entries: DataFrame, roots: list[str], built_at: int | None = None) -> Snapshot:
-        """A new generation, which readers see once it is whole."""
+    def publish(self, entries: DataFrame, roots: list[str], built_at: int | None = None, unreadable: int = 0) -> Snapshot:
+        """A new generation, which readers see once it is whole; ``unreadable`` is the number of folders that the scan couldn't enter."""
         generation = max(time.time_ns(), (self.current() or 0) + 1)
         at = f"{self.path}/gen={generation}"
         write_entries(entries, f"{at}/entries")
-        self._write(f"gen={generation}/meta", json.dumps({"roots": roots, "built_at": int(time.time()) if built_at is None else built_at}))
+        self._write(f"gen={generation}/meta", json.dumps({"roots": roots, "built_at": int(time.time()) if built_at is None else built_at, "unreadable": unreadable}))
         self._write("CURRENT", str(generation))
         return self.load()
 
     def build(self, c: config.Config) -> Snapshot:
         """Scans the roots and publishes what it finds."""
-        scanned = filesystem.scan(self.spark, c.roots, c.excludes)
-        return self.publish(tree.entries_of(filesystem.base_rows(scanned)), c.roots)
+        scanned = settled(filesystem.scan(self.spark, c.roots, c.excludes))
+        return self.publish(tree.entries_of(filesystem.base_rows(scanned)), c.roots, unreadable=scanned.where("unreadable").count())
 
     def load(self) -> Snapshot:
         """The current generation with its log applied. Raises FileNotFoundError if there is none."""
@@ -108,7 +109,7 @@ class Catalog:
         if batches:
             log = self.spark.read.schema(changes.LOG_SCHEMA).parquet(*(f"{self.path}/gen={generation}/changes/batch={k}" for k in range(batches)))
             entries = tree.entries_of(changes.apply_log(entries.select(BASE_COLUMNS), log))
-        return Snapshot(entries, generation, batches, tuple(meta.get("roots", ())), meta.get("built_at", 0))
+        return Snapshot(entries, generation, batches, tuple(meta.get("roots", ())), meta.get("built_at", 0), meta.get("unreadable", 0))
 
     def load_or_build(self, c: config.Config) -> Snapshot:
         """Builds only where there is no index yet; any other failure is raised."""
@@ -134,7 +135,7 @@ class Catalog:
     def compact(self, snapshot: Snapshot) -> Snapshot:
         """A new generation with the log worked in, dense ids in path order and no orphans."""
         rows = changes.compact(snapshot.entries)
-        return self.publish(tree.entries_of(rows), list(snapshot.roots), snapshot.built_at)
+        return self.publish(tree.entries_of(rows), list(snapshot.roots), snapshot.built_at, snapshot.unreadable)
 
     def compact_if_due(self, snapshot: Snapshot) -> Snapshot:
         if snapshot.batches and changes.compaction_due(self.change_count(snapshot), snapshot.entries.count()):
