@@ -259,7 +259,7 @@ def rebuild_path_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.order_tree(spark, sf_dir).select("id", "tree_depth", "slash_depth", "name_len")
+    return tables.order_tree(spark, sf_dir).select("id", "tree_depth", *(F.col(c).cast("bigint").alias(c) for c in ("slash_depth", "name_len")))
 
 
 def names_and_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +275,7 @@ def name_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sibling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each entry among its siblings by name."""
     place = F.row_number().over(Window.partitionBy("parent_id").orderBy("name_fold", "name", "id"))
-    return tables.order_tree(spark, sf_dir).select("id", place.alias("place"))
+    return tables.order_tree(spark, sf_dir).select("id", place.cast("bigint").alias("place"))
 
 
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
