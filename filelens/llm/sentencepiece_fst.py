@@ -7,9 +7,10 @@ into s and t, else infinity. A sequence of pieces is what BPE makes of a text ex
 tropical-semiring shortest path through input o normaliser o lexicon o grammar is the model's own encoding, and it is the
 only one of finite weight. Arcs of the grammar are weighed when a path first asks for them and kept.
 
-The shortest path is found position by position: of the pieces that end at a position, the one whose arc from the best
-path to its beginning is finite. Where no piece has a character before a mark, no arc spans a mark, so words are composed
-apart and remembered by each worker (MEMO words, in two generations). The same holds at characters in no longer piece.
+The shortest path is found position by position: from the best path to a position, each piece whose arc from its last
+piece is finite gives the best path to where it ends. Between two characters that are neighbours in no piece no arc spans,
+so the parts of a text between such places are composed apart; words and their parts are remembered by each worker (MEMO
+of each, in two generations).
 
 Edge cases: null and empty texts have no ids and decode to the empty text. A mark in the text decodes to a space, as the
 model has it. Repeated rows are encoded alike; an empty table gives an empty result. Other columns are ignored.
@@ -17,6 +18,7 @@ model has it. Repeated rows are encoded alike; an empty table gives an empty res
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from filelens.llm._common import Memo, map_rows, table
 
 MARK = "\u2581"
-MEMO = 400_000
+MEMO = 300_000
 #: Arcs of the grammar that a worker keeps at most.
 ARCS = 500_000
 
@@ -92,12 +94,22 @@ class Transducer:
         self.surface = [t.replace(MARK, " ").encode() if kinds[k] == NORMAL else b"" for k, t in enumerate(texts)]
         self.byte_of = {k: b for b, k in self.byte_ids.items()}
         self.unknown = {k for k in range(len(texts)) if kinds[k] == UNKNOWN}
-        self.longest = max(map(len, self.ids))
         longer = [t for t in self.ids if len(t) > 1]
         self.marks_apart = not any(re.search(f"[^{MARK}]{MARK}", t) for t in longer)
         self.lines_apart = not any("\n" in t for t in longer)
-        #: piece -> pieces after which its arc is finite or not, as far as they have been asked for
-        self.arcs: dict[tuple[str, str], bool] = {}
+        #: neighbouring characters of some piece; elsewhere no arc spans
+        self.near = {t[k : k + 2] for t in longer for k in range(len(t) - 1)}
+        #: first two or three characters -> lengths of the pieces that may begin there
+        sizes: dict[str, set[int]] = {}
+        for t in longer:
+            sizes.setdefault(t[:2], {1}).update({2} if t[:2] in self.ids else ())
+            if len(t) > 2:
+                sizes.setdefault(t[:3], {1, 2} if t[:2] in self.ids else {1}).add(len(t))
+        self.longer = {k: tuple(sorted(v)) for k, v in sizes.items()}
+        #: piece -> next piece -> whether the arc is finite, as far as it has been asked for
+        self.arcs: dict[str, dict[str, bool]] = {}
+        self.n_arcs = 0
+        self.part = Memo(self._whole, MEMO)
         self.after_space = Memo(lambda part: self._packed(part if part[0] == "\n" else MARK + part), MEMO)
         self.segment = Memo(self._packed, MEMO)
 
@@ -113,44 +125,54 @@ class Transducer:
         return parts
 
     def joins(self, s: str, t: str) -> bool:
-        """Whether the grammar's arc from s to t is finite."""
-        known = self.arcs.get((s, t))
-        if known is None:
-            known = self.merged(s + t) == ([s, t] if s else [t])
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            self.arcs[s, t] = known
+        """Whether the grammar's arc from s to t is finite; kept in the row of s."""
+        known = self.merged(s + t) == ([s, t] if s else [t])
+        self.n_arcs += 1
+        if self.n_arcs > ARCS:
+            self.arcs.clear()
+            self.n_arcs = 1
+        self.arcs.setdefault(s, {})[t] = known
         return known
 
     def best_path(self, text: str) -> list[str]:
-        """The pieces of normalised text: the shortest path through lexicon and grammar."""
-        last = [""]
-        ids, known, longest = self.ids, self.arcs.get, self.longest
-        for end in range(1, len(text) + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                piece = text[begin:end]
-                if piece in ids or begin == end - 1:
-                    finite = known((last[begin], piece))
-                    if finite or finite is None and self.joins(last[begin], piece):
-                        last.append(piece)
-                        break
-            else:
-                raise AssertionError(f"no path to {text[:end]!r}")
-        out, at = [], len(text)
+        """The pieces of normalised text: the shortest path through lexicon and grammar, forward from each position."""
+        n, ids, arcs, longer = len(text), self.ids, self.arcs, self.longer
+        last = [""] + [None] * n
+        for begin in range(n):
+            before = last[begin]
+            row = arcs.get(before) or {}
+            sizes = longer.get(text[begin : begin + 3]) or longer.get(text[begin : begin + 2]) or (1,)
+            for size in sizes:
+                end = begin + size
+                if end <= n and last[end] is None:
+                    piece = text[begin:end]
+                    if size == 1 or piece in ids:
+                        finite = row.get(piece)
+                        if finite or finite is None and self.joins(before, piece):
+                            last[end] = piece
+        out, at = [], n
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
-    def _packed(self, text: str) -> bytes:
+    def _whole(self, part: str) -> bytes:
         out: list[int] = []
-        for piece in self.best_path(text):
+        for piece in self.best_path(part):
             if piece in self.ids:
                 out.append(self.ids[piece])
             else:
                 out += [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
         return np.array(out, "<u4").tobytes()
 
+    def _packed(self, text: str) -> bytes:
+        """Parts between which no piece reaches have paths of their own."""
+        near = self.near
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in near]
+        if not cuts:
+            return self._whole(text)
+        return b"".join([self.part[text[i:j]] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         if not text:
@@ -206,11 +228,17 @@ class Transducer:
         return self._table
 
 
+@functools.lru_cache(maxsize=2)
+def transducer(model_path: str) -> Transducer:
+    """The machines of a model file, compiled once in each worker process; what they remember serves its later tasks too."""
+    return Transducer(model_path)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row."""
 
     def start():
-        fst = Transducer(model_path)
+        fst = transducer(model_path)
         return lambda row: [(row[0], fst.encode(row[1] or ""))]
 
     return map_rows(docs.select(F.col(id_col).cast("bigint"), text_col), "doc_id bigint, ids array<int>", start)
@@ -220,7 +248,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     """(doc_id, text) of every row of ids."""
 
     def start():
-        fst = Transducer(model_path)
+        fst = transducer(model_path)
         return lambda row: [(row[0], fst.decode(row[1] or ()))]
 
     return map_rows(encoded.select(F.col(id_col).cast("bigint"), ids_col), "doc_id bigint, text string", start)
@@ -230,7 +258,7 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """(doc_id, n_ids, ids_crc32, decoded_sha256, same): digests of the encoding and of what it decodes to, in one pass."""
 
     def start():
-        fst = Transducer(model_path)
+        fst = transducer(model_path)
 
         def step(row: tuple) -> Iterable[tuple]:
             text = row[1] or ""
