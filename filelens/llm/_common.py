@@ -40,6 +40,28 @@ def apart(*keys: str) -> Column:
     return F.xxhash64(*keys, F.lit(1)).alias("_apart")
 
 
+def text_digest(text: Column) -> Column:
+    """The SHA-256 of a text's bytes, null as empty. With the id it tells rows apart where ids repeat or are null."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256))
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that have the smallest (id, digest) of their class; a null id comes last, of equal rows one stays.
+
+    ``classes`` has (doc_id, digest, root) of every row of ``docs``, the digest as ``text_digest`` has it.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    verdict = classes.groupBy("root").agg(F.min(key).alias("k"))
+    rows = classes.groupBy("doc_id", "digest").agg(F.count("*").alias("_rows"))
+    kept = verdict.select(F.col("k.doc_id").alias("_kept"), F.col("k.digest").alias("_digest"))
+    kept = cut(kept.join(rows, F.col("_kept").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest"))).select("_kept", "_digest", "_rows"))
+    stay = docs.withColumn("_own", text_digest(F.col(text_col))).join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_digest")))
+    if kept.where("_rows > 1").isEmpty():
+        return stay.select(docs.columns)
+    repeated = stay.where("_rows > 1").dropDuplicates([id_col, "_own"])
+    return stay.where("_rows = 1").unionByName(repeated).select(docs.columns)
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))

@@ -4,14 +4,16 @@ PERMUTATIONS universal hash functions ((a h + b) mod 2**64) >> 32 run over all s
 operation; the smallest value of each makes the signature. The fingerprint keeps the low byte of each (b-bit MinHash), so
 likeness is the share of equal bytes, corrected for the 1/256 that agree by chance.
 
-Near duplicates: equal signatures are one class at once; signatures meet in BANDS bands, joined in Spark. In a band's
-bucket the smallest signature not yet placed is compared with all members, by exact Jaccard of the shingle sets; members
-that reach the threshold are placed, and the next unplaced one is taken in the next round, so no bucket emits all its
-pairs and every member is linked to a class or compared with all classes of its bucket.
+Near duplicates: equal shingle sets are one node; nodes meet in BANDS bands of the signature, joined in Spark. First each
+bucket's smallest node is compared with the members of the bucket, and the links make components. Then the members of a
+bucket that are still in different components are compared with each other. So every two nodes that share a band are
+compared, by exact Jaccard of the shingle sets, unless they are linked already; a large group of near copies, which the
+first step links, emits no pairs in the second. Two sets of similarity 0.8 share no band with a chance of 5e-8.
 
 Edge cases: a null text is empty. Texts without words have one fingerprint of their own (all bytes 255). With fewer words
 than a shingle the whole sequence is the one shingle. The order of documents is descending id, then text; a null id comes
-last. Repeated rows are each other's neighbours. An empty table gives an empty result. Other columns are ignored.
+last. Repeated rows are each other's neighbours. Near duplicates: of a class the row with the smallest id stays, of equal ids that
+with the smallest digest; rows are told apart by id and text, so null and repeated ids may occur. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm._common import cut, map_rows, table
+from filelens.llm._common import apart, cut, keep_one, map_rows, table, text_digest
 from filelens.llm._words import run_hashes, word_hashes
 from filelens.llm.simhash import components
 
@@ -113,48 +116,76 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return map_rows(in_order(docs, id_col, text_col), schema, Step)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:
-    """(doc_id, class_id): documents linked by a verified Jaccard similarity of at least ``least``; class_id is the smallest id reachable."""
+def bands(sig: np.ndarray) -> list[int]:
+    """A hash of each band of a signature, as signed 64-bit numbers."""
+    return [int(np.uint64(xxhash.xxh64_intdigest(part.tobytes(), k)).view(np.int64)) for k, part in enumerate(sig.reshape(BANDS, -1))]
+
+
+def shingle_set(text: bytes | None, fold: bool) -> np.ndarray:
+    """The distinct shingle hashes, sorted; ``fold``: of the text with ASCII letters in lower case."""
+    text = text or b""
+    return np.unique(shingles(text.lower() if fold else text))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least ``least``, settled in the shared folder."""
+    left, right = (sets.select(F.col("same").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return cut(pairs.join(left, "a").join(right, "b").where(common >= least * (F.size("of_a") + F.size("of_b") - common)).select("a", "b"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, fold: bool = False) -> DataFrame:
+    """(doc_id, digest, root) of every row: rows with the same root are linked; ``digest`` is the SHA-256 of the text."""
 
     def start():
         def step(row: tuple) -> Iterator[tuple]:
-            hashes = np.unique(shingles(row[1] or b""))
-            yield row[0], signature(hashes).tobytes(), hashes.view(np.int64).tolist()
+            hashes = shingle_set(row[1], fold)
+            same = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
+            yield row[0], hashlib.sha256(row[1] or b"").digest(), same, len(hashes), bands(signature(hashes))
 
         return step
 
-    own = cut(map_rows(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")), "doc_id bigint, sig binary, shingles array<bigint>", start))
-    # One representative for each set of shingles; copies are placed through its hash.
-    own = own.withColumn("same", F.xxhash64("sig", F.size("shingles"), "shingles"))
-    distinct = cut(own.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles")))
-    width = 4 * PERMUTATIONS // BANDS
-    band = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(BANDS))))
-    buckets = distinct.select(band.alias("bucket"), "same")
-    crowded = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = cut(buckets.join(crowded, "bucket").withColumn("placed", F.lit(False)))
-    sets = distinct.select("same", "shingles")
-    found = []
-    while True:
-        centres = members.where("not placed").groupBy("bucket").agg(F.min("same").alias("centre"))
-        pairs = members.join(centres, "bucket").where("same <> centre").select("same", "centre").distinct()
-        common = F.size(F.array_intersect("shingles", "other"))
-        alike = pairs.join(sets, "same").join(sets.select(F.col("same").alias("centre"), F.col("shingles").alias("other")), "centre")
-        linked = cut(alike.where(common >= least * (F.size("shingles") + F.size("other") - common)).select("same", "centre"))
-        found.append(linked)
-        near = linked.withColumn("near", F.lit(True))
-        members = cut(
-            members.join(centres, "bucket").join(near, ["same", "centre"], "left").select("bucket", "same", (F.col("placed") | F.col("near").isNotNull() | (F.col("same") == F.col("centre"))).alias("placed"))
-        )
-        members = members.join(members.where("not placed").select("bucket").distinct(), "bucket", "left_semi")
-        if members.isEmpty():
-            break
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    roots = components(edges.select(F.col("same").alias("a"), F.col("centre").alias("b")))
-    placed = distinct.join(roots, distinct.same == roots.node, "left").select("same", "rep", F.coalesce("root", "same").alias("root"))
-    classes = placed.join(placed.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("same", "class_id")
-    return own.join(classes, "same").select("doc_id", "class_id")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    own = cut(map_rows(rows, "doc_id bigint, digest binary, same bigint, n int, bands array<bigint>", start))
+    buckets = own.select("same", "n", F.explode("bands").alias("bucket")).distinct()
+    crowded = buckets.groupBy("bucket", apart("bucket")).agg(F.min("same").alias("centre"), F.min_by("n", "same").alias("centre_n"), F.count("*").alias("members")).where("members > 1")
+    members = cut(buckets.join(crowded.drop("_apart", "members"), "bucket"))
+
+    # The sets of one row for each node that meets another.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    wanted = own.join(members.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.min(key).alias("k")).select("same", F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))
+    texts = rows.withColumn("_own", text_digest(F.col("text"))).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
+    sets = cut(map_rows(texts.groupBy("same").agg(F.first("text").alias("text")), "same bigint, shingles array<bigint>", lambda: lambda row: [(row[0], shingle_set(row[1], fold).view(np.int64).tolist())]))
+
+    sized = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)
+    to_centre = members.where((F.col("same") != F.col("centre")) & sized("n", "centre_n")).select(F.col("same").alias("a"), F.col("centre").alias("b")).distinct()
+    links = _linked(to_centre, sets, least)
+    first = components(links)
+
+    # Members of a bucket in different components; its centre has been compared with all of them.
+    rooted = members.join(first.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same")).where("same <> centre").select("bucket", "same", "n", "root")
+    mixed = rooted.groupBy("bucket", apart("bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    rooted = cut(rooted.join(mixed, "bucket"))
+    roots = rooted.select("bucket", "root").distinct()
+    meet = roots.withColumnRenamed("root", "root_a").join(roots.withColumnRenamed("root", "root_b"), "bucket").where("root_a < root_b")
+    left, right = (rooted.select("bucket", F.col("root").alias(f"root_{x}"), F.col("same").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    across = cut(meet.join(left, ["bucket", "root_a"]).join(right, ["bucket", "root_b"]).where(sized("n_a", "n_b")).select("a", "b").distinct())
+    if not across.isEmpty():
+        links = links.unionByName(_linked(across, sets, least))
+        first = components(links)
+    return own.join(first.withColumnRenamed("node", "same"), "same", "left").select("doc_id", "digest", F.coalesce("root", "same").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:
+    """(doc_id, class_id): documents linked by a verified Jaccard similarity of at least ``least``; class_id is the smallest id reachable."""
+    own = cut(near_classes(docs, id_col, text_col, least))
+    classes = own.groupBy("root", apart("root")).agg(F.min("doc_id").alias("class_id")).drop("_apart")
+    return own.join(classes, "root").select("doc_id", "class_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:
+    """``docs`` with one document of each class of near duplicates, ASCII letters compared in lower case; all columns stay."""
+    return keep_one(docs, cut(near_classes(docs, id_col, text_col, least, fold=True)), id_col, text_col)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
