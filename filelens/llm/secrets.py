@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm._common import apart, cut, table
+from filelens.llm._common import apart, cut, table, text_digest
 
 #: Kinds in their order among spans with the same start, with pattern and the group that holds the value. Fixed values.
 KINDS = ("assign", "access", "hex", "opaque")
@@ -82,9 +82,9 @@ def candidates(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """(row, doc_id, repo, owner, spans) of every row, written to the shared folder; ``row`` tells rows apart."""
+    """(row, doc_id, digest, repo, owner, spans) of every row, written to the shared folder; ``row`` tells rows apart."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", candidates(F.col("text")).alias("spans")))
+    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_digest(F.col("text")).alias("digest"), "repo", "owner", candidates(F.col("text")).alias("spans")))
 
 
 def ownership(scanned: DataFrame, copied_owners: int = 3, copied_repos: int = 10) -> DataFrame:
@@ -96,17 +96,22 @@ def ownership(scanned: DataFrame, copied_owners: int = 3, copied_repos: int = 10
     return counted.drop("_apart").withColumn("live", (F.col("n_owners") < copied_owners) & (F.col("n_repos") < copied_repos))
 
 
+def _judged(scanned: DataFrame, copied_owners: int, copied_repos: int) -> DataFrame:
+    """(row, spans) of every row that has a flagged span."""
+    each = scanned.where(F.size("spans") > 0).select("row", "doc_id", F.explode("spans").alias("s"))
+    judged = each.select("row", "doc_id", "s", F.col("s.h").alias("h")).join(ownership(scanned, copied_owners, copied_repos), "h")
+    flagged = judged.where((F.col("s.kind") < KINDS.index("opaque")) | F.col("live"))
+    span = F.struct("s.start", "s.kind", "s.end", "live", "n_repos", "n_owners")
+    return flagged.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+
+
 def secret_scan(docs: DataFrame, copied_owners: int = 3, copied_repos: int = 10, **columns: str) -> DataFrame:
     """One row per input row: (doc_id, spans), spans an array of (start, kind, end, live, n_repos, n_owners) by start and kind.
 
     ``columns``: id_col, text_col, repo_col, owner_col.
     """
     scanned = scan(docs, **columns)
-    each = scanned.where(F.size("spans") > 0).select("row", "doc_id", F.explode("spans").alias("s"))
-    judged = each.select("row", "doc_id", "s", F.col("s.h").alias("h")).join(ownership(scanned, copied_owners, copied_repos), "h")
-    flagged = judged.where((F.col("s.kind") < KINDS.index("opaque")) | F.col("live"))
-    span = F.struct("s.start", "s.kind", "s.end", "live", "n_repos", "n_owners")
-    with_spans = flagged.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    with_spans = _judged(scanned, copied_owners, copied_repos)
     return scanned.select("row", "doc_id").join(with_spans, "row", "left").select("doc_id", F.coalesce("spans", F.array().cast(with_spans.schema["spans"].dataType)).alias("spans"))
 
 
@@ -115,12 +120,15 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3, copied_repos: int = 10) -> DataFrame:
     """``docs`` with every flagged span replaced by ``[kind]``, or ``[kind example]`` where it is widely copied; all columns stay.
 
-    Overlapping spans are replaced as one, named after the first. Ids are taken as unique and not null.
+    Overlapping spans are replaced as one, named after the first. Spans and verdicts follow from the text alone, so
+    verdicts meet the rows by id and text; null and repeated ids may occur.
     """
-    verdict = secret_scan(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_flagged"), F.col("spans").alias("_spans"))
+    scanned = scan(docs, id_col, text_col, repo_col, owner_col)
+    spans = scanned.select("row", "doc_id", "digest").join(_judged(scanned, copied_owners, copied_repos), "row")
+    verdict = spans.groupBy(F.col("doc_id").alias("_flagged"), F.col("digest").alias("_digest")).agg(F.first("spans").alias("_spans"))
     names = F.array(*map(F.lit, KINDS))
     text = F.col(text_col)
     cut_out = F.aggregate(
@@ -134,8 +142,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
         ),
         lambda acc: F.concat(acc["out"], text.substr(acc["at"], F.length(text))),
     )
-    joined = docs.join(verdict, F.col(id_col) == F.col("_flagged"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut_out)).drop("_flagged", "_spans")
+    joined = docs.withColumn("_own", text_digest(text)).join(verdict, F.col(id_col).eqNullSafe(F.col("_flagged")) & (F.col("_own") == F.col("_digest")), "left")
+    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut_out)).drop("_own", "_flagged", "_digest", "_spans")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

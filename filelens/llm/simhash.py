@@ -21,6 +21,7 @@ are null. Repeated rows get the same result each. An empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from functools import cache
 from itertools import combinations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm._common import apart, cut, map_rows, table
+from filelens.llm._common import apart, cut, keep_one, map_rows, table
 
 SHINGLE = 3
 SEED = 42
@@ -108,17 +109,19 @@ def anchors(prints: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(found)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, fp): fp as a signed 64-bit number. With ``digest`` also the SHA-256 of the text."""
 
     def start():
         def step(row: tuple) -> Iterable[tuple]:
             fp = fingerprint(row[1])
-            yield row[0], fp - (1 << 64) if fp >> 63 else fp
+            fp = fp - (1 << 64) if fp >> 63 else fp
+            yield (row[0], fp, hashlib.sha256(row[1] or b"").digest()) if digest else (row[0], fp)
 
         return step
 
-    return map_rows(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")), "doc_id bigint, fp bigint", start)
+    schema = "doc_id bigint, fp bigint" + ", digest binary" * digest
+    return map_rows(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")), schema, start)
 
 
 def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -159,22 +162,25 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"the components aren't complete after {rounds} rounds")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per input row: (doc_id, fp, component_id)."""
-    own = cut(fingerprints(docs, id_col, text_col))
+def _classes(own: DataFrame, threshold: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint."""
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct, threshold))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root", apart("root")).agg(F.min("first").alias("component_id")).drop("_apart")
-    classes = placed.join(smallest, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return placed.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row per input row: (doc_id, fp, component_id)."""
+    own = cut(fingerprints(docs, id_col, text_col))
+    return own.join(_classes(own, threshold), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each component; all columns stay. Ids are taken as unique."""
-    classes = near_dedup(docs, id_col, text_col, threshold)
-    lost = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+    """``docs`` with one document of each component; all columns stay. Rows are told apart by id and text."""
+    own = cut(fingerprints(docs, id_col, text_col, digest=True))
+    return keep_one(docs, cut(own.join(_classes(own, threshold), "fp").select("doc_id", "digest", "root")), id_col, text_col)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from filelens.llm import minhash, simhash
+from filelens.llm import minhash, packing, secrets, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -71,3 +73,22 @@ def test_every_pair_of_a_bucket_is_compared(spark, seed):
                 root[hi] = lo
     got = {x.doc_id: x.class_id for x in minhash.near_duplicates(frame(spark, data)).collect()}
     assert got == {i: find(i) for i, _ in data}
+
+
+def test_rows_with_null_and_repeated_ids_keep_their_own_verdicts(spark):
+    near = prose(1, 300)
+    a, b = " ".join(near), " ".join(edited(near, 150))
+    clean, other = " ".join(prose(2, 90)), " ".join(prose(3, 90))
+    docs = frame(spark, [(1, a), (None, b), (None, clean), (None, other), (7, b + " more"), (7, " ".join(prose(4, 60)))])
+    for drop in (minhash.drop_near_copies, lambda d: simhash.drop_near_copies(d, threshold=4)):
+        kept = [(r.doc_id, r.text) for r in drop(docs).collect()]
+        assert {(1, a), (None, clean), (None, other), (7, " ".join(prose(4, 60)))} <= set(kept) and len(kept) == len(set(kept))
+    assert len([x for x in minhash.drop_near_copies(docs).collect()]) == 4
+
+
+def test_redaction_of_null_and_repeated_ids(spark):
+    texts = ["my password=abcdefgh1 x", "a longer beginning token: zyxwvuts2 y", "nothing here"]
+    docs = frame(spark, [(i, t) for i in (None, 5) for t in texts])
+    want = ["my [assign] x", "a longer beginning [assign] y", "nothing here"]
+    got = sorted((str(r.doc_id), r.text) for r in secrets.redact(docs).collect())
+    assert got == sorted((str(i), t) for i in (None, 5) for t in want)
