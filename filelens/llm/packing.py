@@ -58,17 +58,21 @@ class Ids:
 
     Parts of a text between white space are encoded apart and remembered, up to MEMO of them in each of two generations.
     The file's merges are run by tiktoken, which takes the lowest id first; that is the same order as the file's, and is
-    checked when the file is read.
+    checked when the file is read. The file's added tokens are found in the texts and keep their own ids, unless
+    ``encode_special_tokens``, which takes them as other text, as the library's switch of that name does.
     """
 
-    def __init__(self, tokenizer_path: str, pattern: str | None = None):
+    def __init__(self, tokenizer_path: str, pattern: str | None = None, encode_special_tokens: bool = True):
         import json
 
         import public_tokenizers
         import tiktoken
 
         with open(tokenizer_path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], [] if encode_special_tokens else file.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"{tokenizer_path}: added tokens that take in white space or stand as words alone aren't supported")
         byte, vocab = byte_of_char(), model["vocab"]
         merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         if merged != sorted(merged):
@@ -77,8 +81,17 @@ class Ids:
         self.encode = tiktoken.Encoding("file", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.after_space = Memo(lambda part: packed(self.encode(part if part[0] == "\n" else " " + part)), MEMO)
         self.whole = Memo(lambda part: packed(self.encode(part)), MEMO)
+        self.added = {t["content"]: packed([t["id"]]) for t in added}
+        # The longest first among those that begin at the same place.
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def of(self, text: str) -> bytes:
+        """Texts are cut at the file's added tokens, which keep their own ids; the parts between are encoded apart."""
+        if self.marks is None or not self.marks.search(text):
+            return self._plain(text)
+        return b"".join(self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(self.marks.split(text)) if x)
+
+    def _plain(self, text: str) -> bytes:
         if _ODD.search(text):
             return b"".join(map(self.whole.__getitem__, _SEGMENT.findall(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
@@ -152,7 +165,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     class Step:
         def __init__(self) -> None:
-            self.ids = Ids(tokenizer_path)
+            self.ids = Ids(tokenizer_path, encode_special_tokens=False)
             self.packer = HarmonicPacker(capacity, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
 
         def __call__(self, row: tuple) -> Iterable[tuple]:

@@ -92,3 +92,16 @@ def test_redaction_of_null_and_repeated_ids(spark):
     want = ["my [assign] x", "a longer beginning [assign] y", "nothing here"]
     got = sorted((str(r.doc_id), r.text) for r in secrets.redact(docs).collect())
     assert got == sorted((str(i), t) for i in (None, 5) for t in want)
+
+
+# op10_packing
+
+
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, ids = Tokenizer.from_file(path), packing.Ids(path, encode_special_tokens=False)
+    assert np.frombuffer(ids.of("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    for text in ["<|endoftext|>", "x<|endoftext|>y", "<|endoftext|><|endoftext|> a", "a\n<|endoftext|>\n\nb  ", "<|endoftext|", "<|<|endoftext|>|>", " <|endoftext|>　c"]:
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
