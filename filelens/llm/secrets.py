@@ -6,12 +6,13 @@ a value of 8 or more characters), ``access`` (AKIA and at least 12 more) and ``h
 three digits and doesn't overlap one of the others.
 
 Every candidate's value is hashed; the corpus then counts, for each hash, its occurrences and the distinct repositories
-and owners it occurs under. A hash under at least ``copied_owners`` owners or ``copied_repos`` repositories is a widely
-copied example; one that stays with fewer owners is live-looking. Opaque candidates are flagged only if live-looking,
+and owners it occurs under. A hash under at least ``copied_owners`` owners is a widely
+copied example, and so is one of several owners that occurs in at least ``copied_repos`` repositories, where those that
+hold the same text count once; one that stays with fewer is live-looking, however often its owner repeats it. Opaque candidates are flagged only if live-looking,
 so the method adds spans and drops none of the first three kinds; each flagged span carries the verdict and the counts.
 
 At scale: texts are read once and only spans (rows of a few bytes) leave the scan, in the shared checkpoint folder.
-Owners and repositories are counted by three nested aggregations that combine before each exchange, so a hash or owner
+Owners, repositories and texts are counted by nested aggregations that combine before each exchange, so a hash or owner
 that has a third of all rows is one record per task; the join back is a plain shuffle join that may be split by AQE.
 
 Positions are code points, ends exclusive. They come from the lengths of the matches and of the parts between them,
@@ -89,11 +90,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 
 def ownership(scanned: DataFrame, copied_owners: int = 3, copied_repos: int = 10) -> DataFrame:
     """(h, n_seen, n_repos, n_owners, live) of every candidate hash of the corpus."""
-    each = scanned.where(F.size("spans") > 0).select("owner", "repo", F.explode("spans.h").alias("h"))
+    each = scanned.where(F.size("spans") > 0).select("owner", "repo", "digest", F.explode("spans.h").alias("h"))
     by_repo = each.groupBy("h", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("h", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("r"))
-    counted = by_owner.groupBy("h", apart("h")).agg(F.sum("n").alias("n_seen"), F.sum("r").alias("n_repos"), F.count("*").alias("n_owners"))
-    return counted.drop("_apart").withColumn("live", (F.col("n_owners") < copied_owners) & (F.col("n_repos") < copied_repos))
+    counted = by_owner.groupBy("h", apart("h")).agg(F.sum("n").alias("n_seen"), F.sum("r").alias("n_repos"), F.count("*").alias("n_owners")).drop("_apart")
+    # A text that several repositories hold counts for the first of them.
+    by_text = each.groupBy("h", "digest").agg(F.min(F.struct("owner", "repo")).alias("first"))
+    places = by_text.groupBy("h", "first").agg(F.lit(1).alias("one")).groupBy("h", apart("h")).agg(F.count("*").alias("places")).drop("_apart")
+    copied = (F.col("n_owners") >= copied_owners) | ((F.col("n_owners") > 1) & (F.col("places") >= copied_repos))
+    return counted.join(places, "h").withColumn("live", ~copied).drop("places")
 
 
 def _judged(scanned: DataFrame, copied_owners: int, copied_repos: int) -> DataFrame:

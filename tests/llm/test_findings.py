@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from filelens.llm import minhash, packing, secrets, simhash
+from filelens.llm import minhash, packing, secrets, simhash, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -105,3 +105,22 @@ def test_added_tokens_keep_their_ids():
     assert np.frombuffer(ids.of("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
     for text in ["<|endoftext|>", "x<|endoftext|>y", "<|endoftext|><|endoftext|> a", "a\n<|endoftext|>\n\nb  ", "<|endoftext|", "<|<|endoftext|>|>", " <|endoftext|>　c"]:
         assert np.frombuffer(ids.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+# op1_secrets
+
+
+def live(spark, data: list[tuple]) -> bool:
+    """The verdict on the one value in documents of (text, owner)."""
+    docs = spark.createDataFrame([(k, *x) for k, x in enumerate(data)], "doc_id bigint, text string, source string")
+    verdicts = {s.live for r in secrets.secret_scan(docs).collect() for s in r.spans}
+    assert len(verdicts) <= 1
+    return verdicts == {True}
+
+
+def test_an_owners_own_secret_stays_live_however_often_it_occurs(spark):
+    key = "sk_live_AbC123dEf456GhI789"
+    assert live(spark, [(f"{key} in {k}", "one") for k in range(12)])
+    assert live(spark, [(f"the same {key}", f"owner{k % 2}") for k in range(12)])
+    assert not live(spark, [(f"{key} in {k}", f"owner{k % 2}") for k in range(12)])
+    assert not live(spark, [(f"the same {key}", f"owner{k}") for k in range(3)])
