@@ -290,6 +290,20 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).search("", "dm", True, 100).select("id", csv_line().alias("line"))
 
 
+def json_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON line of every entry, folders too."""
+    from filelens.output import json_line
+
+    return tables.order_tree(spark, sf_dir).select("id", json_line().alias("line"))
+
+
+def csv_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV line of every entry."""
+    from filelens.output import csv_line
+
+    return tables.order_tree(spark, sf_dir).select("id", csv_line().alias("line"))
+
+
 def rfc3339_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.order_tree(spark, sf_dir).where("not is_dir").select("id", C.rfc3339(F.col("mtime")).alias("modified"), C.short_time(F.col("mtime")).alias("short"))
 
@@ -354,6 +368,16 @@ OTHERS: dict[str, tuple[Query, str]] = {
         f"""{ENTRIES}SELECT id, path || ',' || name || ',' || CASE WHEN is_dir THEN 'dir' ELSE 'file' END || ',' || size || ',' || {_TIME.format("mtime")} || ',' ||
         CASE WHEN ctime = 0 THEN '' ELSE {_TIME.format("ctime")} END AS line FROM entries ORDER BY mtime DESC, name_fold DESC, name DESC, id DESC LIMIT 100""",
     ),
+    "json_rows_all": (
+        json_rows_all,
+        f"""{ENTRIES}SELECT id, '{{"path":"' || path || '","name":"' || name || '","type":"' || CASE WHEN is_dir THEN 'dir' ELSE 'file' END || '","size":' || size || ',"modified":"' || {_TIME.format("mtime")} || '"' ||
+        CASE WHEN ctime = 0 THEN '' ELSE ',"created":"' || {_TIME.format("ctime")} || '"' END || '}}' AS line FROM entries""",
+    ),
+    "csv_rows_all": (
+        csv_rows_all,
+        f"""{ENTRIES}SELECT id, path || ',' || name || ',' || CASE WHEN is_dir THEN 'dir' ELSE 'file' END || ',' || size || ',' || {_TIME.format("mtime")} || ',' ||
+        CASE WHEN ctime = 0 THEN '' ELSE {_TIME.format("ctime")} END AS line FROM entries""",
+    ),
     "rfc3339_utc": (rfc3339_utc, f"{ENTRIES}SELECT id, {_TIME.format('mtime')} AS modified, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M') AS short FROM entries WHERE NOT is_dir"),
     "excluded_paths": (
         excluded_paths,

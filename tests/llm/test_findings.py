@@ -124,3 +124,20 @@ def test_an_owners_own_secret_stays_live_however_often_it_occurs(spark):
     assert live(spark, [(f"the same {key}", f"owner{k % 2}") for k in range(12)])
     assert not live(spark, [(f"{key} in {k}", f"owner{k % 2}") for k in range(12)])
     assert not live(spark, [(f"the same {key}", f"owner{k}") for k in range(3)])
+
+
+# json_rows, csv_rows
+
+
+@pytest.mark.parametrize("name", ["json_rows_all", "csv_rows_all"])
+def test_output_lines_of_all_entries(spark, sf, name):
+    import duckdb
+
+    import __spark_entry__
+
+    db = duckdb.connect()
+    for table in ("region", "nation", "customer", "orders"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    db.execute("SET TimeZone = 'UTC'")
+    got = [tuple(r) for r in __spark_entry__.queries()[name](spark, sf).collect()]
+    assert len(got) == 1681 and sorted(got) == sorted(db.execute(__spark_entry__.oracle_sql()[name]).fetchall())
