@@ -57,6 +57,16 @@ def hidden(text: str) -> list[str]:
     return [_STRETCH.sub(r"\1", x.translate(STAND_INS)) for x in _ODD.findall(text) if not x.isdigit()]
 
 
+def beside(hits: list[int], you: list[int]) -> int:
+    """How many of the sorted positions ``hits`` are within _NEAR of one in the sorted ``you``."""
+    if not hits or not you:
+        return 0
+    at, near = np.array(hits), np.array(you)
+    k = np.searchsorted(near, at)
+    gap = np.minimum(np.abs(at - near[np.maximum(k - 1, 0)]), np.abs(at - near[np.minimum(k, len(near) - 1)]))
+    return int((gap <= _NEAR).sum())
+
+
 def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     """The numbers of a text, in the order of FEATURES."""
     text = text or ""
@@ -78,7 +88,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         len(begun),
         max(begun, default=0.0),
         sum(begun),
-        sum(any(abs(k - y) <= _NEAR for y in you) for k in hit_at) if len(you) * len(hit_at) < 1_000_000 else len(hit_at),
+        beside(hit_at, you),
         len(concealed),
         len(odd) / w,
         sum(map(str.isupper, text)) / n,

@@ -141,3 +141,17 @@ def test_output_lines_of_all_entries(spark, sf, name):
     db.execute("SET TimeZone = 'UTC'")
     got = [tuple(r) for r in __spark_entry__.queries()[name](spark, sf).collect()]
     assert len(got) == 1681 and sorted(got) == sorted(db.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+
+
+# op7_toxicity
+
+
+def test_hits_beside_a_second_person_are_counted_in_long_texts():
+    at = toxicity.FEATURES.index("addressed")
+    far = "you " * 1100 + "filler " * 10 + "bad " * 1100
+    assert toxicity.features(far, {"bad": 1.0})[at] == 0
+    assert toxicity.features(far + "you", {"bad": 1.0})[at] == 4
+    r = random.Random(1)
+    words = [r.choice(["you", "bad"] + ["other"] * 12) for _ in range(800)]
+    you, hits = ([k for k, w in enumerate(words) if w == x] for x in ("you", "bad"))
+    assert toxicity.features(" ".join(words), {"bad": 1.0})[at] == sum(any(abs(k - y) <= 4 for y in you) for k in hits)
