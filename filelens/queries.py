@@ -5,7 +5,6 @@ A search query is a line of the query language; its twin is the condition in SQL
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,6 +17,7 @@ from filelens.operators import changes, tree
 from filelens.operators.search import Index
 from filelens.plans import parser, regex
 from filelens.sources import tables
+from filelens.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -198,7 +198,7 @@ def journal_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of the log read as a stream: state is one change per key, and each micro batch replaces the result."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    shared = shared_folder(spark)
     at = f"{shared}/last-state-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     log = tables.as_log(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))

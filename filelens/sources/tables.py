@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filelens.operators.tree import with_paths
 from filelens.schema import BASE_COLUMNS, with_derived
-from filelens.storage import write_entries
+from filelens.storage import shared_folder, write_entries
 
 #: The time that relative dates count from in queries over these tables: 2001-07-15 00:00 UTC.
 NOW = 995155200
@@ -60,7 +59,7 @@ def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="index-")
+        shared = shared_folder(spark)
         at = f"{shared}/order-tree-{uuid.uuid4().hex}"
         write_entries(build_order_tree(spark, sf_dir), at)
         _built[key] = spark.read.parquet(at)
