@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelens.storage import settled as cut
+
 #: Rows of one Arrow batch that Python builds; a batch also ends at BATCH_BYTES of text.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
@@ -19,16 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, which ends its lineage.
-
-    The folder is the one in ``spark.checkpoint.dir``. Only where nothing is set (tests, a laptop) a temporary
-    folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow``: the last column, bytes, compressed; texts that are exchanged whole take half the room so."""
+    for batch in batches:
+        *rest, last = batch.columns
+        yield pa.RecordBatch.from_arrays([*rest, pa.array([zlib.compress(x or b"", 1) for x in last.to_pylist()], pa.binary())], names=batch.schema.names)
 
 
 def apart(*keys: str) -> Column:
@@ -40,26 +37,59 @@ def apart(*keys: str) -> Column:
     return F.xxhash64(*keys, F.lit(1)).alias("_apart")
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A shuffle join of two tables that both grow with the corpus: never a broadcast, and hot keys may be split."""
+    return left.hint("merge").join(right, on, how)
+
+
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """(row, further columns): the whole row of ``docs`` in one struct, so that its column names can't clash."""
+    return docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"), *(v.alias(k) for k, v in columns.items()))
+
+
+#: A side of at most this many bytes, as counted before the join, is broadcast to spare the texts an exchange.
+BROADCAST_BYTES = 8 << 20
+
+
+def beside(texts: DataFrame, small: DataFrame, on: Column, how: str, size: Column | None = None) -> DataFrame:
+    """Rows with whole texts joined with settled rows about them, whose bytes ``size`` gives per row (default 96).
+
+    The bytes are counted first: up to BROADCAST_BYTES ``small`` is broadcast, beyond it both sides are exchanged.
+    """
+    n = small.agg(F.sum(F.lit(96) if size is None else size)).first()[0] or 0
+    return texts.join(F.broadcast(small), on, how) if n <= BROADCAST_BYTES else met(texts, small, on, how)
+
+
 def text_digest(text: Column) -> Column:
     """The SHA-256 of a text's bytes, null as empty. With the id it tells rows apart where ids repeat or are null."""
     return F.unhex(F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256))
 
 
+def without(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, digest: Column) -> DataFrame:
+    """``docs`` without rows whose (id, ``digest``) are in ``marked`` (_id, _digest, stays), settled; all columns stay.
+
+    Marked keys that ``stays`` are on several rows, of which the one whose text has the smallest digest stays. Only
+    these keys meet the texts.
+    """
+    own = boxed(docs, own_id=F.col(id_col), own=digest, whole=text_digest(F.col(text_col)))
+    same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_digest"))
+    kept = beside(own, marked.select("_id", "_digest"), same, "left_anti").select("row")
+    repeated = marked.where("stays").select("_id", "_digest")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(beside(own, repeated, same, "left_semi").groupBy("own_id", "own").agg(F.min_by("row", "whole").alias("row")).select("row"))
+    return kept.select("row.*")
+
+
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that have the smallest (id, digest) of their class; a null id comes last, of equal rows one stays.
 
-    ``classes`` has (doc_id, digest, root) of every row of ``docs``, the digest as ``text_digest`` has it.
+    ``classes`` has (doc_id, digest, root) of every row of ``docs``, settled, the digest as ``text_digest`` has it.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    verdict = classes.groupBy("root").agg(F.min(key).alias("k"))
-    rows = classes.groupBy("doc_id", "digest").agg(F.count("*").alias("_rows"))
-    kept = verdict.select(F.col("k.doc_id").alias("_kept"), F.col("k.digest").alias("_digest"))
-    kept = cut(kept.join(rows, F.col("_kept").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest"))).select("_kept", "_digest", "_rows"))
-    stay = docs.withColumn("_own", text_digest(F.col(text_col))).join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_digest")))
-    if kept.where("_rows > 1").isEmpty():
-        return stay.select(docs.columns)
-    repeated = stay.where("_rows > 1").dropDuplicates([id_col, "_own"])
-    return stay.where("_rows = 1").unionByName(repeated).select(docs.columns)
+    best = classes.groupBy("root", apart("root")).agg(F.min(key).alias("k")).select("root", "k")
+    rows = classes.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    judged = met(rows, best, "root").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "n", (F.col("k") == key).alias("stays"))
+    return without(docs, cut(judged.where("n > 1 or not stays")), id_col, text_col, text_digest(F.col(text_col)))
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -71,7 +101,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(doc_id, text, y) of at most ``bound`` labelled training documents, the same ones at every run.
 
     Held-out rows (``fold_of`` = ``held_out``) and null labels are never used. The ids with the smallest hash are
-    taken, so the sample is bounded before it meets the texts and its broadcast has ``bound`` rows at most.
+    taken, so the sample is bounded before it meets the texts and its broadcast has ``bound`` rows at most. Of rows that
+    repeat an id the one with the smallest digest is learned from, and only sampled texts are exchanged.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
@@ -81,8 +112,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(bound)
     )
-    texts = docs.select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    return rows.groupBy("doc_id").agg(F.min_by("text", text_digest(F.col("text"))).alias("text"), F.first("y").alias("y"))
 
 
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:

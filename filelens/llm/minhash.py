@@ -4,30 +4,31 @@ PERMUTATIONS universal hash functions ((a h + b) mod 2**64) >> 32 run over all s
 operation; the smallest value of each makes the signature. The fingerprint keeps the low byte of each (b-bit MinHash), so
 likeness is the share of equal bytes, corrected for the 1/256 that agree by chance.
 
-Near duplicates: equal shingle sets are one node; nodes meet in BANDS bands of the signature, joined in Spark. First each
-bucket's smallest node is compared with the members of the bucket, and the links make components. Then the members of a
-bucket that are still in different components are compared with each other. So every two nodes that share a band are
-compared, by exact Jaccard of the shingle sets, unless they are linked already; a large group of near copies, which the
-first step links, emits no pairs in the second. Two sets of similarity 0.8 share no band with a chance of 5e-8.
+Near duplicates: equal shingle sets are one node; nodes meet in BANDS bands of the signature, joined in Spark. First
+CENTRES nodes of each bucket are compared with the members of the bucket, and the links make components. Then the members of
+buckets that are still in different components are compared, as far as they share one of their rarest shingles, without
+which they can't be similar. So every two nodes that share a band are linked if the exact Jaccard similarity of their
+shingle sets is high enough; a large group of near copies emits no pairs beyond that, whether the first step links it or
+its members differ. Two sets of similarity 0.8 share no band with a chance of 5e-8.
 
 Edge cases: a null text is empty. Texts without words have one fingerprint of their own (all bytes 255). With fewer words
-than a shingle the whole sequence is the one shingle. The order of documents is descending id, then text; a null id comes
-last. Repeated rows are each other's neighbours. Near duplicates: of a class the row with the smallest id stays, of equal ids that
+than a shingle the whole sequence is the one shingle. The order of documents is descending id, then descending digest of the
+text; a null id comes last. Repeated rows are each other's neighbours and share a class. Near duplicates: of a class the row with the smallest id stays, of equal ids that
 with the smallest digest; rows are told apart by id and text, so null and repeated ids may occur. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filelens.llm._common import apart, cut, keep_one, map_rows, table, text_digest
+from filelens.llm._common import apart, beside, cut, keep_one, map_rows, met, packed, table, text_digest
 from filelens.llm._words import run_hashes, word_hashes
 from filelens.llm.simhash import components
 
@@ -35,6 +36,10 @@ SHINGLE = 5
 PERMUTATIONS = 128
 BANDS = 32
 LIKENESS = 0.8
+#: Nodes of a bucket that all its members are compared with.
+CENTRES = 4
+#: Stands for a null id in the order.
+LOWEST = -(1 << 63)
 
 _random = np.random.default_rng(20240607)
 _A = _random.integers(0, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,54 +71,86 @@ def likeness(a: bytes, b: bytes) -> float:
     return max(0.0, (same - 1 / 256) / (1 - 1 / 256))
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, text, ghost) in ascending ranges of ids, one range per partition, each sorted by ghost, descending id and text.
+def _before(borders: list[tuple[int, bytes]], key: Column, digest: Column) -> Column:
+    """How many of the sorted ``borders`` (key, digest) are smaller than a row's, by a binary search in expressions."""
 
-    The last row of each partition is a ghost: the row that follows its last document, which is the first of the range
-    below, or the first of all. The texts are shuffled once. Only the borders of the ranges and the first id of each
-    (two numbers per partition) come to the driver.
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        k, d = borders[mid]
+        return F.when((key > k) | ((key == k) & (digest > F.lit(d))), search(mid + 1, high)).otherwise(search(low, mid))
+
+    return search(0, len(borders))
+
+
+def _borders(keys: list[int]) -> list[tuple[int, bytes]]:
+    """Borders (key, digest) from quantiles of the keys. A key that fills several ranges is divided by digest."""
+    out = []
+    for k in sorted(set(keys)):
+        n = keys.count(k)
+        out += [(k, b"\xff" * 33)] if n == 1 else [(k, ((j << 64) // (n + 1)).to_bytes(8, "big")) for j in range(1, n + 1)]
+    return out
+
+
+def in_order(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, digest, packed, class_id, ghost) in ranges of (id, digest), one range per partition, each sorted descending.
+
+    ``packed`` is the text, compressed before it is exchanged, once. ``classes`` has (doc_id, digest, class_id); its rows
+    ride in the same exchange without a text, each just before its document. The last row of each partition is a ghost:
+    the document that follows its last one, which is the first of the range below, or the first of all. Only the borders
+    of the ranges and the first key of each (two small values per partition) come to the driver.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(lowest)).alias("key"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    borders = np.unique(np.array(cuts, np.int64))
-
-    @F.pandas_udf("int")
-    def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, key.to_numpy(), side="left").astype(np.int32))
-
-    placed = rows.withColumn("part", part_of("key"))
-    first = {r.part: r.key for r in placed.groupBy("part").agg(F.max("key").alias("key")).collect()}
+    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(LOWEST)).alias("key")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    keyed = rows.select(key("id"), "id", text_digest(F.col("text")).alias("digest"), "text")
+    quantiles = [k / parts for k in range(1, parts)] or [0.5]
+    borders = _borders(rows.select(key("id")).agg(F.percentile_approx("key", quantiles, 10 * parts)).first()[0] or [])
+    place = _before(borders, F.col("key"), F.col("digest")).alias("part")
+    first = {r.part: r.top for r in keyed.select(place, "key", "digest").groupBy("part").agg(F.max(F.struct("key", "digest")).alias("top")).collect()}
     order = sorted(first, reverse=True)
-    follows = [(first[below], part) for part, below in zip(order, order[1:] + order[:1], strict=True)]
-    heads = spark.createDataFrame(follows, "head bigint, part int")
-    ghosts = rows.join(F.broadcast(heads), F.col("key") == F.col("head")).groupBy("part").agg(F.min("text").alias("text"), F.first("id").alias("id"), F.first("key").alias("key"))
-    both = placed.select("part", "key", "id", "text", F.lit(False).alias("ghost")).unionByName(ghosts.withColumn("ghost", F.lit(True)))
-    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("ghost", F.desc("key"), "text").select("id", "text", "ghost")
+    follows = [(part, *first[below]) for part, below in zip(order, order[1:] + order[:1], strict=True)]
+    heads = spark.createDataFrame(follows, "part int, head bigint, head_digest binary")
 
+    whole = keyed.mapInArrow(packed, "key bigint, id bigint, digest binary, packed binary")
+    none = F.lit(None).cast("bigint").alias("class_id")
+    own = whole.select(place, "key", "id", "digest", "packed", none, F.lit(False).alias("ghost"))
+    ghosts = keyed.join(F.broadcast(heads), (F.col("key") == F.col("head")) & (F.col("digest") == F.col("head_digest"))).groupBy("part").agg(F.first("key").alias("key"), F.first("id").alias("id"), F.first("digest").alias("digest"), F.first("text").alias("text"))
+    ghosts = ghosts.select("part", "key", "id", "digest", "text").mapInArrow(packed, "part int, key bigint, id bigint, digest binary, packed binary")
+    ghosts = ghosts.select("part", "key", "id", "digest", "packed", none, F.lit(True).alias("ghost"))
+    about = classes.select(key("doc_id"), F.col("doc_id").alias("id"), "digest", "class_id").select(place, "key", "id", "digest", F.lit(None).cast("binary").alias("packed"), "class_id", F.lit(False).alias("ghost"))
+    placed = own.unionByName(ghosts).unionByName(about).repartitionById(parts, F.col("part"))
+    return placed.sortWithinPartitions("ghost", F.desc("key"), F.desc("digest"), F.col("packed").isNotNull()).select("id", "digest", "packed", "class_id", "ghost")
 
-def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its fingerprint, that of the text whose last half is the head of the next document's, and the likenesses."""
+
+def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:
+    """One row per document: its fingerprint, that of the text whose last half is the head of the next document's, the likenesses, and its class of near duplicates."""
+    classes = near_duplicates_by_text(docs, id_col, text_col, least)
 
     class Step:
         def __init__(self) -> None:
             self.held: tuple | None = None
+            self.about: tuple = (None, None)
 
         def __call__(self, row: tuple) -> Iterable[tuple]:
-            doc_id, text, ghost = row
+            doc_id, digest, data, class_id, ghost = row
+            if data is None:
+                self.about = (digest, class_id)
+                return
+            text = zlib.decompress(data).decode("utf-8", "replace")
             own = fingerprint(text)
             if self.held:
-                held_id, held, held_print = self.held
+                held_id, held, held_print, held_class = self.held
                 half = len(held) // 2
                 edited = held[: len(held) - half] + text[:half]
                 edited_print = fingerprint(edited)
-                yield held_id, len(held), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), held_print.hex(), edited_print.hex(), likeness(held_print, edited_print), likeness(held_print, own)
-            self.held = None if ghost else (doc_id, text, own)
+                yield held_id, len(held), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), held_print.hex(), edited_print.hex(), likeness(held_print, edited_print), likeness(held_print, own), held_class
+            self.held = None if ghost else (doc_id, text, own, self.about[1])
 
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_rows(in_order(docs, id_col, text_col), schema, Step)
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id bigint"
+    return map_rows(in_order(docs, classes, id_col, text_col), schema, Step)
 
 
 def bands(sig: np.ndarray) -> list[int]:
@@ -131,7 +168,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least ``least``, settled in the shared folder."""
     left, right = (sets.select(F.col("same").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return cut(pairs.join(left, "a").join(right, "b").where(common >= least * (F.size("of_a") + F.size("of_b") - common)).select("a", "b"))
+    near = common >= least * (F.size("of_a") + F.size("of_b") - common)
+    return cut(met(met(pairs, left, "a"), right, "b").where(near).select("a", "b"))
+
+
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of ``nodes`` (same, n, root) of different roots that may have a similarity of at least ``least``.
+
+    Of n shingles, in one order for all nodes, two similar sets share one among the first n - ceil(least * n) + 1 of each,
+    and the first that they share leaves enough in both to make up the similarity. The order is by the number of nodes that have a shingle, those that one root alone has first. So nodes that differ
+    in more than that share by shingles of their own make no pair at all, however many they are.
+    """
+    each = met(nodes, sets, "same").select("same", "n", "root", F.explode("shingles").alias("s"))
+    spread = each.groupBy("s", apart("s")).agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s", "df")
+    shared = met(each, spread, "s")
+    of_node = Window.partitionBy("same")
+    prefix = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1
+    placed = shared.withColumn("rank", F.row_number().over(of_node.orderBy("df", "s"))).withColumn("place", F.col("n") - F.count("*").over(of_node) + F.col("rank"))
+    first = cut(placed.where(F.col("place") <= prefix).select("s", "same", "n", "root", (F.col("n") - F.col("place") + 1).alias("rest")))
+    left, right = (first.select(F.col("s").alias(f"s_{x}"), F.col("same").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"), F.col("rest").alias(f"rest_{x}")) for x in "ab")
+    # The first shingle that two sets share and what follows it in each must be enough for the similarity.
+    enough = F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return met(left, right, (F.col("s_a") == F.col("s_b")) & (F.col("root_a") < F.col("root_b")) & enough).select("a", "b").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, fold: bool = False) -> DataFrame:
@@ -147,40 +205,50 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     own = cut(map_rows(rows, "doc_id bigint, digest binary, same bigint, n int, bands array<bigint>", start))
-    buckets = own.select("same", "n", F.explode("bands").alias("bucket")).distinct()
-    crowded = buckets.groupBy("bucket", apart("bucket")).agg(F.min("same").alias("centre"), F.min_by("n", "same").alias("centre_n"), F.count("*").alias("members")).where("members > 1")
-    members = cut(buckets.join(crowded.drop("_apart", "members"), "bucket"))
-
-    # The sets of one row for each node that meets another.
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    wanted = own.join(members.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.min(key).alias("k")).select("same", F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))
-    texts = rows.withColumn("_own", text_digest(F.col("text"))).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
-    sets = cut(map_rows(texts.groupBy("same").agg(F.first("text").alias("text")), "same bigint, shingles array<bigint>", lambda: lambda row: [(row[0], shingle_set(row[1], fold).view(np.int64).tolist())]))
+    nodes = own.groupBy("same").agg(F.min(F.struct(key.alias("k"), "n", "bands")).alias("one")).select("same", "one.n", "one.bands", F.col("one.k.doc_id").alias("_id"), F.col("one.k.digest").alias("_digest"))
+    buckets = nodes.select("same", "n", "_id", "_digest", F.explode("bands").alias("bucket"))
+    centres = [F.min(F.struct(F.xxhash64("same", F.lit(k)).alias("h"), "same", "n")).alias(f"c{k}") for k in range(CENTRES)]
+    crowded = buckets.groupBy("bucket", apart("bucket")).agg(F.min("same").alias("low"), F.max("same").alias("high"), *centres).where("low < high")
+    chosen = crowded.select("bucket", F.array_distinct(F.array(*(F.struct(f"c{k}.same", f"c{k}.n") for k in range(CENTRES)))).alias("centres"))
+    members = cut(met(buckets, chosen, "bucket"))
+
+    # The sets of one row for each node that meets another; only the keys of these rows meet the texts.
+    wanted = cut(members.groupBy("same").agg(F.first("_id").alias("_id"), F.first("_digest").alias("_digest")))
+    texts = beside(rows.withColumn("own", text_digest(F.col("text"))), wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_digest")), "inner")
+    sets = cut(map_rows(texts.select("same", "text"), "same bigint, shingles array<bigint>", lambda: lambda row: [(row[0], shingle_set(row[1], fold).view(np.int64).tolist())]).dropDuplicates(["same"]))
 
     sized = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)
-    to_centre = members.where((F.col("same") != F.col("centre")) & sized("n", "centre_n")).select(F.col("same").alias("a"), F.col("centre").alias("b")).distinct()
+    beside_centre = members.select("same", "n", F.explode("centres").alias("c")).where((F.col("same") != F.col("c.same")) & sized("n", "c.n"))
+    to_centre = beside_centre.select(F.greatest("same", "c.same").alias("a"), F.least("same", "c.same").alias("b")).distinct()
     links = _linked(to_centre, sets, least)
     first = components(links)
 
-    # Members of a bucket in different components; its centre has been compared with all of them.
-    rooted = members.join(first.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same")).where("same <> centre").select("bucket", "same", "n", "root")
+    # Members of a bucket in different components.
+    rooted = met(members, first.withColumnRenamed("node", "same"), "same", "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root"))
     mixed = rooted.groupBy("bucket", apart("bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    rooted = cut(rooted.join(mixed, "bucket"))
-    roots = rooted.select("bucket", "root").distinct()
-    meet = roots.withColumnRenamed("root", "root_a").join(roots.withColumnRenamed("root", "root_b"), "bucket").where("root_a < root_b")
-    left, right = (rooted.select("bucket", F.col("root").alias(f"root_{x}"), F.col("same").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    across = cut(meet.join(left, ["bucket", "root_a"]).join(right, ["bucket", "root_b"]).where(sized("n_a", "n_b")).select("a", "b").distinct())
+    apart_yet = cut(met(rooted, mixed, "bucket").select("same", "n", "root").distinct())
+    across = cut(_by_rare_shingles(apart_yet, sets, least))
     if not across.isEmpty():
-        links = links.unionByName(_linked(across, sets, least))
-        first = components(links)
-    return own.join(first.withColumnRenamed("node", "same"), "same", "left").select("doc_id", "digest", F.coalesce("root", "same").alias("root"))
+        first = components(links.unionByName(_linked(across, sets, least)))
+    return met(own.select("doc_id", "digest", "same"), first.withColumnRenamed("node", "same"), "same", "left").select("doc_id", "digest", F.coalesce("root", "same").alias("root"))
+
+
+def _with_class_id(own: DataFrame) -> DataFrame:
+    """(doc_id, digest, class_id) of rows (doc_id, digest, root)."""
+    own = cut(own)
+    classes = own.groupBy("root", apart("root")).agg(F.min("doc_id").alias("class_id")).drop("_apart")
+    return met(own, classes, "root").select("doc_id", "digest", "class_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:
     """(doc_id, class_id): documents linked by a verified Jaccard similarity of at least ``least``; class_id is the smallest id reachable."""
-    own = cut(near_classes(docs, id_col, text_col, least))
-    classes = own.groupBy("root", apart("root")).agg(F.min("doc_id").alias("class_id")).drop("_apart")
-    return own.join(classes, "root").select("doc_id", "class_id")
+    return _with_class_id(near_classes(docs, id_col, text_col, least)).select("doc_id", "class_id")
+
+
+def near_duplicates_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:
+    """(doc_id, digest, class_id), once for rows that repeat both id and text."""
+    return _with_class_id(near_classes(docs, id_col, text_col, least)).distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:

@@ -12,7 +12,7 @@ threshold is linked, at any size. Only distinct fingerprints are replicated, how
 t = 2 a fingerprint has at most 2,080 neighbours, so links grow in proportion to fingerprints.
 
 Classes are the connected components of the links, by alternating large-star and small-star steps over edges that are
-written to the shared checkpoint folder at each round.
+written to the shared folder at each round.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero, which links like any other. With
 fewer words than a shingle the whole sequence is the one shingle. A null id is never a component's id unless all its ids
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm._common import apart, cut, keep_one, map_rows, table
+from filelens.llm._common import apart, cut, keep_one, map_rows, met, table
 
 SHINGLE = 3
 SEED = 42
@@ -137,50 +137,56 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     placed = prints.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint")
     left, right = (placed.select(F.col("anchor").alias(f"anchor_{x}"), F.col("fp").alias(x)) for x in "ab")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return left.join(right, (F.col("anchor_a") == F.col("anchor_b")) & near).select("a", "b").distinct()
+    return met(left, right, (F.col("anchor_a") == F.col("anchor_b")) & near).select("a", "b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def _state(edges: DataFrame) -> tuple:
+    """Number of the edges and sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over the edges (a, b), for every node that has one.
 
     Large-star: the greater neighbours of a node join the smallest of its neighbourhood. Small-star: so do the smaller
-    ones. Both keep the components; they end when the edges are stars around the smallest nodes. Work per round is one
-    aggregation and one join over the edges, and a hub's edges may be split by the join.
+    ones. Both keep the components; they end when the edges are stars around the smallest nodes, after a number of rounds
+    that grows as the logarithm of the edges, at worst its square. Work per round is one aggregation and one join over the
+    edges, and a hub's edges may be split by the join.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    for _ in range(rounds):
+    state = _state(edges)
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a", apart("a")).agg(F.least(F.min("b"), F.col("a")).alias("m")).drop("_apart")
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = met(both.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a", apart("a")).agg(F.min("b").alias("m")).drop("_apart")
-        moved = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        after = cut(moved.where("a <> b").distinct())
-        same = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() == after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        edges = after
-        if same:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    raise RuntimeError(f"the components aren't complete after {rounds} rounds")
+        moved = met(large, low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = cut(moved.where("a <> b").distinct())
+        before, state = state, _state(edges)
+        if before == state:
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _classes(own: DataFrame, threshold: int) -> DataFrame:
     """(fp, root, component_id) of every fingerprint."""
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct, threshold))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(distinct, threshold)).withColumnRenamed("node", "fp")
+    placed = met(distinct, roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root", apart("root")).agg(F.min("first").alias("component_id")).drop("_apart")
-    return placed.join(smallest, "root").select("fp", "root", "component_id")
+    return met(placed, smallest, "root").select("fp", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: (doc_id, fp, component_id)."""
     own = cut(fingerprints(docs, id_col, text_col))
-    return own.join(_classes(own, threshold), "fp").select("doc_id", "fp", "component_id")
+    return met(own, _classes(own, threshold), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component; all columns stay. Rows are told apart by id and text."""
     own = cut(fingerprints(docs, id_col, text_col, digest=True))
-    return keep_one(docs, cut(own.join(_classes(own, threshold), "fp").select("doc_id", "digest", "root")), id_col, text_col)
+    return keep_one(docs, cut(met(own, _classes(own, threshold), "fp").select("doc_id", "digest", "root")), id_col, text_col)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
