@@ -4,12 +4,13 @@ PERMUTATIONS universal hash functions ((a h + b) mod 2**64) >> 32 run over all s
 operation; the smallest value of each makes the signature. The fingerprint keeps the low byte of each (b-bit MinHash), so
 likeness is the share of equal bytes, corrected for the 1/256 that agree by chance.
 
-Near duplicates: equal shingle sets are one node; nodes meet in BANDS bands of the signature, joined in Spark. First
-CENTRES nodes of each bucket are compared with the members of the bucket, and the links make components. Then the members of
-buckets that are still in different components are compared, as far as they share one of their rarest shingles, without
-which they can't be similar. So every two nodes that share a band are linked if the exact Jaccard similarity of their
-shingle sets is high enough; a large group of near copies emits no pairs beyond that, whether the first step links it or
-its members differ. Two sets of similarity 0.8 share no band with a chance of 5e-8.
+Near duplicates: equal shingle sets are one node; nodes meet in BANDS bands of the signature, joined in Spark. In a bucket of
+up to SMALL members all are compared; in a larger one CENTRES of them are compared with all, the links make components,
+and the members that are still in different components are compared as far as they share one of their rarest shingles,
+without which they can't be similar. A pair whose fingerprints could agree is verified by the exact Jaccard similarity of
+the shingle sets. So every two nodes that share a band are linked if they are similar enough; a large group of near copies
+emits no pairs beyond that, whether the centres link it or its members differ. Two sets of similarity 0.8 share no band
+with a chance of 5e-5.
 
 Edge cases: a null text is empty. Texts without words have one fingerprint of their own (all bytes 255). With fewer words
 than a shingle the whole sequence is the one shingle. The order of documents is descending id, then descending digest of the
@@ -20,24 +21,26 @@ with the smallest digest; rows are told apart by id and text, so null and repeat
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filelens.llm._common import apart, beside, cut, keep_one, map_rows, met, packed, table, text_digest
+from filelens.llm._common import apart, beside, cut, keep_one, map_rows, met, packed, table, text_digest, unpacked
 from filelens.llm._words import run_hashes, word_hashes
 from filelens.llm.simhash import components
 
 SHINGLE = 5
 PERMUTATIONS = 128
-BANDS = 32
+BANDS, BAND = 25, 5
 LIKENESS = 0.8
 #: Nodes of a bucket that all its members are compared with.
 CENTRES = 4
+#: Up to this many members of a bucket are compared with each other.
+SMALL = 8
 #: Stands for a null id in the order.
 LOWEST = -(1 << 63)
 
@@ -139,7 +142,7 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
             if data is None:
                 self.about = (digest, class_id)
                 return
-            text = zlib.decompress(data).decode("utf-8", "replace")
+            text = unpacked(data).decode("utf-8", "replace")
             own = fingerprint(text)
             if self.held:
                 held_id, held, held_print, held_class = self.held
@@ -155,7 +158,7 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def bands(sig: np.ndarray) -> list[int]:
     """A hash of each band of a signature, as signed 64-bit numbers."""
-    return [int(np.uint64(xxhash.xxh64_intdigest(part.tobytes(), k)).view(np.int64)) for k, part in enumerate(sig.reshape(BANDS, -1))]
+    return [int(np.uint64(xxhash.xxh64_intdigest(part.tobytes(), k)).view(np.int64)) for k, part in enumerate(sig[: BANDS * BAND].reshape(BANDS, BAND))]
 
 
 def shingle_set(text: bytes | None, fold: bool) -> np.ndarray:
@@ -164,6 +167,23 @@ def shingle_set(text: bytes | None, fold: bool) -> np.ndarray:
     return np.unique(shingles(text.lower() if fold else text))
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose fingerprints don't speak against a similarity of at least ``least``.
+
+    Of PERMUTATIONS values, sets that similar agree in so few less than once in 10**8 pairs (six standard deviations).
+    """
+    few = PERMUTATIONS * least - 6 * (PERMUTATIONS * least * (1 - least)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for c in batch.columns[2:])
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= few))
+
+    left, right = (nodes.select(F.col("same").alias(x), F.col("print").alias(f"print_{x}")) for x in "ab")
+    return met(met(pairs, left, "a"), right, "b").select("a", "b", "print_a", "print_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least ``least``, settled in the shared folder."""
     left, right = (sets.select(F.col("same").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
@@ -199,36 +219,52 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def step(row: tuple) -> Iterator[tuple]:
             hashes = shingle_set(row[1], fold)
             same = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
-            yield row[0], hashlib.sha256(row[1] or b"").digest(), same, len(hashes), bands(signature(hashes))
+            sig = signature(hashes)
+            yield row[0], hashlib.sha256(row[1] or b"").digest(), same, len(hashes), bands(sig), sig.astype(np.uint8).tobytes()
 
         return step
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    own = cut(map_rows(rows, "doc_id bigint, digest binary, same bigint, n int, bands array<bigint>", start))
+    own = cut(map_rows(rows, "doc_id bigint, digest binary, same bigint, n int, bands array<bigint>, print binary", start))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    nodes = own.groupBy("same").agg(F.min(F.struct(key.alias("k"), "n", "bands")).alias("one")).select("same", "one.n", "one.bands", F.col("one.k.doc_id").alias("_id"), F.col("one.k.digest").alias("_digest"))
-    buckets = nodes.select("same", "n", "_id", "_digest", F.explode("bands").alias("bucket"))
-    centres = [F.min(F.struct(F.xxhash64("same", F.lit(k)).alias("h"), "same", "n")).alias(f"c{k}") for k in range(CENTRES)]
-    crowded = buckets.groupBy("bucket", apart("bucket")).agg(F.min("same").alias("low"), F.max("same").alias("high"), *centres).where("low < high")
-    chosen = crowded.select("bucket", F.array_distinct(F.array(*(F.struct(f"c{k}.same", f"c{k}.n") for k in range(CENTRES)))).alias("centres"))
-    members = cut(met(buckets, chosen, "bucket"))
-
-    # The sets of one row for each node that meets another; only the keys of these rows meet the texts.
-    wanted = cut(members.groupBy("same").agg(F.first("_id").alias("_id"), F.first("_digest").alias("_digest")))
-    texts = beside(rows.withColumn("own", text_digest(F.col("text"))), wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_digest")), "inner")
-    sets = cut(map_rows(texts.select("same", "text"), "same bigint, shingles array<bigint>", lambda: lambda row: [(row[0], shingle_set(row[1], fold).view(np.int64).tolist())]).dropDuplicates(["same"]))
-
+    buckets = own.select("same", F.explode("bands").alias("bucket"))
+    # Two nodes in a bucket are told by 32 bits of their hashes: that is the one exchange that all buckets take part in twice.
+    short = F.hash("same")
+    crowded = cut(buckets.groupBy("bucket").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low < high").select("bucket"))
+    meeting = cut(met(buckets, crowded, "bucket").distinct())
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    nodes = met(own.select("same", "n", "doc_id", "digest", "print"), meeting.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.min(F.struct(key.alias("k"), "n", "print")).alias("one"))
+    nodes = cut(nodes.select("same", "one.n", "one.print", F.col("one.k.doc_id").alias("_id"), F.col("one.k.digest").alias("_digest")))
+    members = met(meeting, nodes.select("same", "n"), "same")
+    counted = members.groupBy("bucket", apart("bucket")).agg(F.count("*").alias("members"), *(F.min(F.struct(F.xxhash64("same", F.lit(k)).alias("h"), "same", "n")).alias(f"c{k}") for k in range(CENTRES)))
+    centres = F.array_distinct(F.array(*(F.struct(f"c{k}.same", f"c{k}.n") for k in range(CENTRES))))
+    members = cut(met(members, counted.select("bucket", "members", centres.alias("centres")), "bucket"))
+
+    # Pairs of small buckets, and of each member with the centres of its bucket.
     sized = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)
-    beside_centre = members.select("same", "n", F.explode("centres").alias("c")).where((F.col("same") != F.col("c.same")) & sized("n", "c.n"))
-    to_centre = beside_centre.select(F.greatest("same", "c.same").alias("a"), F.least("same", "c.same").alias("b")).distinct()
-    links = _linked(to_centre, sets, least)
+    small = members.where(F.col("members") <= SMALL)
+    left, right = (small.select("bucket", F.col("same").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = met(left, right, "bucket").where(F.col("a") > F.col("b")).where(sized("n_a", "n_b")).select("a", "b")
+    large = members.where(F.col("members") > SMALL)
+    beside_centre = large.select("same", "n", F.explode("centres").alias("c")).where((F.col("same") != F.col("c.same")) & sized("n", "c.n"))
+    pairs = pairs.unionByName(beside_centre.select(F.greatest("same", "c.same").alias("a"), F.least("same", "c.same").alias("b"))).distinct()
+    likely = cut(_likely(pairs, nodes, least))
+
+    # The sets of one row for each node that has a likely partner, or is in a large bucket; only the keys of these rows meet the texts.
+    needed = likely.select(F.explode(F.array("a", "b")).alias("same")).unionByName(large.select("same")).distinct()
+    wanted = cut(met(nodes.select("same", "_id", "_digest"), needed, "same", "left_semi"))
+    texts = beside(rows.withColumn("own", text_digest(F.col("text"))), wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_digest")), "inner")
+    sets = cut(map_rows(texts.select("same", "text"), "same bigint, shingles array<bigint>", lambda: lambda row: [(row[0], shingle_set(row[1], fold).view(np.int64).tolist())]))
+    if sets.count() > wanted.count():  # rows that repeat both id and text
+        sets = cut(sets.dropDuplicates(["same"]))
+    links = _linked(likely, sets, least)
     first = components(links)
 
-    # Members of a bucket in different components.
-    rooted = met(members, first.withColumnRenamed("node", "same"), "same", "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root"))
+    # Members of a large bucket in different components.
+    rooted = met(large.select("bucket", "same", "n"), first.withColumnRenamed("node", "same"), "same", "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root"))
     mixed = rooted.groupBy("bucket", apart("bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     apart_yet = cut(met(rooted, mixed, "bucket").select("same", "n", "root").distinct())
-    across = cut(_by_rare_shingles(apart_yet, sets, least))
+    across = cut(_likely(_by_rare_shingles(apart_yet, sets, least), nodes, least))
     if not across.isEmpty():
         first = components(links.unionByName(_linked(across, sets, least)))
     return met(own.select("doc_id", "digest", "same"), first.withColumnRenamed("node", "same"), "same", "left").select("doc_id", "digest", F.coalesce("root", "same").alias("root"))
