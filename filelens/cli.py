@@ -132,8 +132,7 @@ def _index(o, write) -> int:
 def _serve(o, write, server: bool = True, rounds: int = 0) -> int:
     """Answers queries and keeps the index current by comparing it with the disk at each interval."""
     from filelens.server import Server
-    from filelens.sources.excludes import Excludes
-    from filelens.streaming.live import apply_events
+    from filelens.streaming.live import rescan
 
     pause = values.duration(o.save_interval)
     c = config.load(o.config)
@@ -143,7 +142,7 @@ def _serve(o, write, server: bool = True, rounds: int = 0) -> int:
     try:
         while True:
             time.sleep(pause)
-            snapshot = apply_events(catalog, catalog.load(), [(r, True) for r in snapshot.roots], Excludes.of(c.excludes))
+            snapshot = rescan(catalog, catalog.load(), c.excludes)
             snapshot = catalog.compact_if_due(snapshot)
             if running:
                 running.publish(snapshot)

@@ -32,7 +32,7 @@ def last_state(log: DataFrame, key: str = "id") -> DataFrame:
 
 
 def apply_log(base: DataFrame, log: DataFrame) -> DataFrame:
-    """Base rows after a log: adds united, removals anti-joined, updates laid over. Children of removed folders stay until a sweep."""
+    """Base rows after a log, whose ``seq`` may be a number or a struct of numbers: adds united, removals anti-joined, updates laid over. Children of removed folders stay until a sweep."""
     adds = last_change(log.where("op = 'A'")).select(BASE_COLUMNS)
     live = base.select(BASE_COLUMNS).join(adds.select("id"), "id", "left_anti").select(BASE_COLUMNS).unionByName(adds)
     removed = log.where("op = 'R'").groupBy("id").agg(F.max("seq").alias("gone"))

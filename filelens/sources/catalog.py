@@ -13,9 +13,12 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filelens.operators import changes, tree
 from filelens.operators.search import Index
@@ -107,8 +110,7 @@ class Catalog:
         entries = self.spark.read.parquet(f"{self.path}/gen={generation}/entries")
         batches = self._batches(generation)
         if batches:
-            log = self.spark.read.schema(changes.LOG_SCHEMA).parquet(*(f"{self.path}/gen={generation}/changes/batch={k}" for k in range(batches)))
-            entries = tree.entries_of(changes.apply_log(entries.select(BASE_COLUMNS), log))
+            entries = tree.entries_of(changes.apply_log(entries.select(BASE_COLUMNS), self._log(generation, batches)))
         return Snapshot(entries, generation, batches, tuple(meta.get("roots", ())), meta.get("built_at", 0), meta.get("unreadable", 0))
 
     def load_or_build(self, c: config.Config) -> Snapshot:
@@ -120,17 +122,37 @@ class Catalog:
 
     # changes
 
+    def _log(self, generation: int, batches: int) -> DataFrame:
+        """The changes of the first ``batches`` batches; each counts from 0, so a change's place is its batch and its number there."""
+        at = f"{self.path}/gen={generation}/changes"
+        log = self.spark.read.schema(f"{changes.LOG_SCHEMA}, batch int").option("basePath", at).parquet(*(f"{at}/batch={k}" for k in range(batches)))
+        return log.withColumn("seq", F.struct("batch", "seq")).drop("batch")
+
     def append(self, snapshot: Snapshot, log: DataFrame) -> Snapshot:
-        """Adds a batch to the log of the snapshot's generation and opens the state after it."""
+        """Adds a batch to the log of the snapshot's generation and opens the state after it.
+
+        The batch is written aside and takes its number by a rename that fails where another writer has taken it.
+        """
+        replaced = Replaced(f"generation {snapshot.generation} isn't the latest any more")
         if self.current() != snapshot.generation or self._batches(snapshot.generation) != snapshot.batches:
-            raise Replaced(f"generation {snapshot.generation} isn't the latest any more")
-        log.write.mode("overwrite").parquet(f"{self.path}/gen={snapshot.generation}/changes/batch={snapshot.batches}")
+            raise replaced
+        changes_at = f"gen={snapshot.generation}/changes"
+        aside, fs = self._at(f"{changes_at}/.new-{uuid.uuid4().hex}")
+        log.write.parquet(aside.toString())
+        target, _ = self._at(f"{changes_at}/batch={snapshot.batches}")
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(aside), fs.makeQualified(target), self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            if not fs.exists(target):
+                raise
+            fs.delete(aside, True)
+            raise replaced from e
         return self.load()
 
     def change_count(self, snapshot: Snapshot) -> int:
-        if not snapshot.batches:
-            return 0
-        return self.spark.read.parquet(*(f"{self.path}/gen={snapshot.generation}/changes/batch={k}" for k in range(snapshot.batches))).count()
+        return self._log(snapshot.generation, snapshot.batches).count() if snapshot.batches else 0
 
     def compact(self, snapshot: Snapshot) -> Snapshot:
         """A new generation with the log worked in, dense ids in path order and no orphans."""

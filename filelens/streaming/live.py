@@ -1,7 +1,8 @@
 """Keeping an index up to date from events.
 
 ``reconcile`` compares the paths that events name with the disk and gives the changes; ``follow`` does so for each micro
-batch of a stream of (path, rescan) rows, and ``apply_stream`` appends a stream of ready-made changes.
+batch of a stream of (path, rescan) rows, and ``apply_stream`` appends a stream of ready-made changes. ``rescan`` compares
+all roots with the disk, on the executors, and appends the differences only.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from filelens.operators.changes import LOG_SCHEMA
+from filelens.operators.changes import LOG_SCHEMA, diff, numbered
 from filelens.operators.search import absolute
+from filelens.schema import BASE_COLUMNS, ROOT_PARENT
 from filelens.sources import filesystem
 from filelens.sources.catalog import Catalog, Replaced, Snapshot
 from filelens.sources.excludes import Excludes
+from filelens.storage import settled
 
 #: How long events settle before they are looked at.
 SETTLE = "250 milliseconds"
+LOG_COLUMNS = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
 
 
 class _View:
@@ -124,6 +128,31 @@ def apply_events(catalog: Catalog, snapshot: Snapshot, events: Iterable[tuple[st
     return catalog.append(snapshot, catalog.spark.createDataFrame(found, LOG_SCHEMA))
 
 
+def on_disk(snapshot: Snapshot, excludes: list[str]) -> DataFrame:
+    """Base rows of what the snapshot's roots hold now: entries that it has keep their ids, others get new ones in path order.
+
+    The scan and the comparison run on the executors. A root that isn't there has no entries.
+    """
+    spark = snapshot.entries.sparkSession
+    there = any(map(os.path.isdir, snapshot.roots))
+    found = settled((filesystem.scan(spark, list(snapshot.roots), excludes) if there else spark.createDataFrame([], filesystem.SCHEMA)).withColumn("size", F.when(F.col("is_dir"), 0).otherwise(F.col("size"))))
+    roots = snapshot.entries.where(F.col("parent_id") == ROOT_PARENT).select(F.col("id").alias("root_id"), F.col("path").alias("root"))
+    old = snapshot.entries.select("root_id", "path", "is_dir", "id", "parent_id").join(roots, "root_id").drop("root_id")
+    kept = found.join(old, ["root", "path", "is_dir"])
+    new = found.join(old, ["root", "path", "is_dir"], "left_anti")
+    top = snapshot.entries.agg(F.max("id")).first()[0]
+    ids = settled(numbered(new, [F.col("path"), F.col("root")], "id", 0 if top is None else top + 1))
+    folders = kept.where("is_dir").select("root", "path", "id").unionByName(ids.where("is_dir").select("root", "path", "id")).withColumnsRenamed({"path": "parent", "id": "parent_id"})
+    added = ids.join(folders, ["root", "parent"], "left").withColumn("parent_id", F.coalesce("parent_id", F.lit(ROOT_PARENT).cast("bigint")))
+    return kept.select(BASE_COLUMNS).unionByName(added.select(BASE_COLUMNS))
+
+
+def rescan(catalog: Catalog, snapshot: Snapshot, excludes: list[str]) -> Snapshot:
+    """The state after comparing all roots with the disk; the same one, and nothing appended, if nothing has changed."""
+    log = settled(diff(snapshot.entries.select(BASE_COLUMNS), on_disk(snapshot, excludes)))
+    return snapshot if log.isEmpty() else catalog.append(snapshot, log.select(LOG_COLUMNS))
+
+
 def follow(catalog: Catalog, events: DataFrame, excludes: Excludes, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Applies a stream of (path, rescan); a micro batch's paths are told apart once, then compared with the disk."""
 

@@ -86,6 +86,47 @@ def test_live_updates(catalog, tree):
         live.apply_events(catalog, s, [(str(tree / "empty"), True)], x)
 
 
+def test_added_deleted_and_added_again(catalog, tree):
+    x = Excludes.of(EXCLUDES)
+    s = catalog.build(config.Config([str(tree)], EXCLUDES))
+    path = tree / "back.txt"
+    for content in ("one", None, "three", None, "fifth"):
+        path.write_text(content) if content else path.unlink()
+        s = live.apply_events(catalog, s, [(str(path), False)], x)
+        assert names(s, "back") == (["back.txt"] if content else [])
+    assert s.batches == 5 and names(s, "size:5 back") == ["back.txt"] and names(catalog.compact(s), "back") == ["back.txt"]
+
+
+def test_rescan_appends_differences_only(catalog, tree):
+    first = catalog.build(config.Config([str(tree)], EXCLUDES))
+    assert live.rescan(catalog, first, EXCLUDES) is first and catalog.load().batches == 0
+    (tree / "src/main.go").write_bytes(b"y" * 99)
+    (tree / "new/deep").mkdir(parents=True)
+    (tree / "new/deep/fresh.txt").write_text("hi")
+    (tree / "docs/Readme.md").unlink()
+    (tree / "docs/Readme.md").mkdir()
+    (tree / "docs/Readme.md/child.txt").write_text("c")
+    s = live.rescan(catalog, first, EXCLUDES)
+    assert names(s, "size:99") == ["main.go"] and names(s, "fresh") == ["fresh.txt"] and names(s, "folder: readme") == ["Readme.md"] and names(s, "child") == ["child.txt"]
+    kept = {r.path: r.id for r in first.entries.collect()}
+    assert all(r.id == kept[r.path] for r in s.entries.collect() if r.path in kept and r.name != "Readme.md")
+    assert live.rescan(catalog, s, EXCLUDES) is s and s.batches == 1
+    rebuilt = catalog.build(config.Config([str(tree)], EXCLUDES))
+    show = lambda x: sorted((r.path, r.is_dir, r.size, r.mtime, r.tree_depth) for r in x.entries.collect())
+    assert show(rebuilt) == show(s)
+
+
+def test_one_of_two_writers_of_a_batch_is_told(catalog, tree):
+    s = catalog.build(config.Config([str(tree)], EXCLUDES))
+    log = changes.diff(s.entries.where("name <> 'empty'"), s.entries)
+    catalog._batches = lambda generation: 0  # both writers looked before either wrote
+    catalog.append(s, log)
+    with pytest.raises(Replaced):
+        catalog.append(s, log)
+    del catalog._batches
+    assert catalog.load().batches == 1
+
+
 def test_file_becomes_folder(catalog, tree):
     s = catalog.build(config.Config([str(tree)], EXCLUDES))
     (tree / "docs/Readme.md").unlink()
