@@ -116,6 +116,8 @@ SEARCHES: dict[str, Search] = {
     "default_regex": Search(r"^[am].*a$", "regexp_matches(name_fold, '^[am].*a$')", defaults=parser.Defaults(regex=True, now=tables.NOW)),
     "default_case": Search("Nation_1 | NATION_2", "contains(name, 'NATION_2')", defaults=parser.Defaults(cased=True, now=tables.NOW)),
     "default_whole_word": Search("high", "regexp_matches(name_fold, '(^|[^a-z0-9])high([^a-z0-9]|$)')", defaults=parser.Defaults(whole_word=True, now=tables.NOW)),
+    "nocase": Search("nocase:ASIA", "contains(name_fold, 'asia')", defaults=parser.Defaults(cased=True, now=tables.NOW)),
+    "nopath": Search("nopath:africa", "contains(name_fold, 'africa')", defaults=parser.Defaults(on_path=True, now=tables.NOW)),
     "default_path": Search("africa", "contains(path_fold, 'africa')", defaults=parser.Defaults(on_path=True, now=tables.NOW)),
     # ranges
     "size_gt": Search("size:>20mb", "size >= 20971521"),
@@ -125,6 +127,12 @@ SEARCHES: dict[str, Search] = {
     "dm_year": Search("dm:1997", "mtime BETWEEN 852076800 AND 883612799"),
     "dm_month_range": Search("dm:1996-02..1996-04", "mtime BETWEEN 823132800 AND 830908799"),
     "dm_relative": Search("dm:last90days", "mtime BETWEEN 987379200 AND 995155200"),
+    "dm_today": Search("dm:today", "mtime BETWEEN 995155200 AND 995241599"),
+    "dm_yesterday": Search("dm:yesterday", "mtime BETWEEN 995068800 AND 995155199"),
+    "dm_thisweek": Search("dm:thisweek", "mtime BETWEEN 994636800 AND 995241599"),
+    "dm_lastmonth": Search("dm:lastmonth", "mtime BETWEEN 991353600 AND 993945599"),
+    "dm_thisyear": Search("dm:thisyear", "mtime BETWEEN 978307200 AND 1009843199"),
+    "dm_lastyear": Search("dm:lastyear", "mtime BETWEEN 946684800 AND 978307199"),
     "dm_day": Search("dm:1998-03-05", "mtime BETWEEN 889056000 AND 889142399"),
     "dc_lt_includes_unknown": Search("dc:<1996 file:", "ctime <= 820454399 AND NOT is_dir"),
     "len_gt": Search("len:>22", "name_len >= 23"),
@@ -249,6 +257,18 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply_log(base, r.unionByName(u).unionByName(a)).select("id", "parent_id", "name", "is_dir", "size", "mtime", "ctime")
 
 
+def log_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches that each count from 0: copies of orders with keys divisible by 11 added, by 22 removed, by 44 added again."""
+    base = tables.order_tree_rows(spark, sf_dir)
+    o = base.where("not is_dir").withColumn("k", F.col("id") - 10_000_000)
+    null = lambda kind: F.lit(None).cast(kind)
+    copy = ((F.col("id") + 1_000_000_000).alias("id"), "parent_id", "size", "mtime", "ctime", "is_dir", F.concat("name", F.lit(".copy")).alias("name"))
+    place = lambda batch: F.struct(F.lit(batch).alias("batch"), (F.col("k") % 7).alias("seq")).alias("seq")
+    adds = [o.where(f"k % {m} = 0").select(place(b), F.lit("A").alias("op"), *copy) for b, m in ((0, 11), (2, 44))]
+    gone = o.where("k % 22 = 0").select(place(1), F.lit("R").alias("op"), (F.col("id") + 1_000_000_000).alias("id"), null("bigint").alias("parent_id"), null("bigint").alias("size"), null("bigint").alias("mtime"), null("bigint").alias("ctime"), null("boolean").alias("is_dir"), null("string").alias("name"))
+    return changes.apply_log(base, adds[0].unionByName(gone).unionByName(adds[1])).select("id", "parent_id", "name", "is_dir", "size", "mtime", "ctime")
+
+
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = tables.order_tree_rows(spark, sf_dir)
     return changes.diff(before, apply_changes(spark, sf_dir)).select("op", "id", "size", "name")
@@ -278,18 +298,6 @@ def sibling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.order_tree(spark, sf_dir).select("id", place.cast("bigint").alias("place"))
 
 
-def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from filelens.output import json_line
-
-    return _index(spark, sf_dir).search("ext:pdf", "size", True, 100).select("id", json_line().alias("line"))
-
-
-def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from filelens.output import csv_line
-
-    return _index(spark, sf_dir).search("", "dm", True, 100).select("id", csv_line().alias("line"))
-
-
 def json_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON line of every entry, folders too."""
     from filelens.output import json_line
@@ -347,6 +355,11 @@ OTHERS: dict[str, tuple[Query, str]] = {
         "CASE WHEN NOT is_dir AND k % 3 = 0 THEN 78 ELSE ctime END AS ctime FROM e WHERE is_dir OR k % 5 <> 0 "
         "UNION ALL SELECT id + 1000000000, parent_id, name || '.copy', is_dir, size, mtime, ctime FROM e WHERE NOT is_dir AND k % 11 = 0",
     ),
+    "log_of_batches": (
+        log_of_batches,
+        f"{ENTRIES}SELECT id, parent_id, name, is_dir, size, mtime, ctime FROM entries "
+        "UNION ALL SELECT id + 1000000000, parent_id, name || '.copy', is_dir, size, mtime, ctime FROM entries WHERE NOT is_dir AND (id - 10000000) % 11 = 0 AND ((id - 10000000) % 22 <> 0 OR (id - 10000000) % 44 = 0)",
+    ),
     "snapshot_diff": (
         snapshot_diff,
         f"{ENTRIES}, o AS (SELECT *, id - 10000000 AS k FROM entries WHERE NOT is_dir) "
@@ -358,16 +371,6 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "names_and_stems": (names_and_stems, f"{ENTRIES}SELECT id, ext_fold, stem_fold, CASE WHEN is_dir THEN 'dir' ELSE 'file' END AS kind FROM entries"),
     "name_ranks": (name_ranks, f"{ENTRIES}SELECT row_number() OVER (ORDER BY name) - 1 AS name_id, name FROM (SELECT DISTINCT name FROM entries)"),
     "sibling_rows": (sibling_rows, f"{ENTRIES}SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY name_fold, name, id) AS place FROM entries"),
-    "json_rows": (
-        json_rows,
-        f"""{ENTRIES}SELECT id, '{{"path":"' || path || '","name":"' || name || '","type":"file","size":' || size || ',"modified":"' || {_TIME.format("mtime")} || '"' ||
-        CASE WHEN ctime = 0 THEN '' ELSE ',"created":"' || {_TIME.format("ctime")} || '"' END || '}}' AS line FROM entries WHERE ext_fold = 'pdf' ORDER BY size DESC, name_fold DESC, name DESC, id DESC LIMIT 100""",
-    ),
-    "csv_rows": (
-        csv_rows,
-        f"""{ENTRIES}SELECT id, path || ',' || name || ',' || CASE WHEN is_dir THEN 'dir' ELSE 'file' END || ',' || size || ',' || {_TIME.format("mtime")} || ',' ||
-        CASE WHEN ctime = 0 THEN '' ELSE {_TIME.format("ctime")} END AS line FROM entries ORDER BY mtime DESC, name_fold DESC, name DESC, id DESC LIMIT 100""",
-    ),
     "json_rows_all": (
         json_rows_all,
         f"""{ENTRIES}SELECT id, '{{"path":"' || path || '","name":"' || name || '","type":"' || CASE WHEN is_dir THEN 'dir' ELSE 'file' END || '","size":' || size || ',"modified":"' || {_TIME.format("mtime")} || '"' ||
