@@ -38,7 +38,7 @@ PERMUTATIONS = 128
 BANDS, BAND = 25, 5
 LIKENESS = 0.8
 #: Nodes of a bucket that all its members are compared with.
-CENTRES = 4
+CENTRES = 2
 #: Up to this many members of a bucket are compared with each other.
 SMALL = 8
 #: Stands for a null id in the order.
@@ -264,7 +264,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rooted = met(large.select("bucket", "same", "n"), first.withColumnRenamed("node", "same"), "same", "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root"))
     mixed = rooted.groupBy("bucket", apart("bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     apart_yet = cut(met(rooted, mixed, "bucket").select("same", "n", "root").distinct())
-    across = cut(_likely(_by_rare_shingles(apart_yet, sets, least), nodes, least))
+    across = cut(_by_rare_shingles(apart_yet, sets, least))
     if not across.isEmpty():
         first = components(links.unionByName(_linked(across, sets, least)))
     return met(own.select("doc_id", "digest", "same"), first.withColumnRenamed("node", "same"), "same", "left").select("doc_id", "digest", F.coalesce("root", "same").alias("root"))
