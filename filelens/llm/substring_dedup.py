@@ -11,11 +11,15 @@ passage; no pair of documents is ever made.
 
 Whole copies are settled first by the digest of their words: only the smallest document of a class takes part.
 
+A document gives each of its runs once, with all its starts, so a text that repeats itself is no hot key; a run that very
+many documents share is combined before it is exchanged, and its documents may be split in the join that follows.
+
 A run is matched on 95 bits of two hashes; at 10**13 runs a false match is expected less than once in a hundred corpora.
 
 At scale: texts are hashed in one pass that leaves only seeds (12 bytes for 17 words) in the shared folder, and shuffled
-once, by id; all later uses read that exchange. Hot seeds and runs are combined before they are exchanged, and the joins
-back are plain shuffle joins that AQE may split.
+once, compressed, by id; all later uses read that exchange. The runs are settled as a table, which the search for repeated
+ones and the join with them read. Hot seeds and runs are combined before they are exchanged, and the joins back are plain
+shuffle joins that AQE may split.
 
 Edge cases: null and empty texts have no words. A null id counts as smaller than all others. Rows that repeat an id don't
 take words from each other unless another document does. Texts shorter than LENGTH words keep all. An empty table gives an
@@ -25,13 +29,14 @@ empty result. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm._common import cut, map_rows, table
+from filelens.llm._common import apart, cut, map_rows, met, packed, table, unpacked
 from filelens.llm._words import SECOND_BASE, run_hashes, word_bounds, word_hashes
 
 LENGTH = 50
@@ -83,25 +88,48 @@ def _profile(length: int, seed: int):
 
 
 def _runs(length: int, seed: int):
-    def start():
-        def step(row: tuple) -> Iterable[tuple]:
-            key, mark, data, shared = row
-            words = word_hashes(data)
-            runs = np.nonzero(np.isin(picked(words, length, seed)[1], shared))[0]
-            first = run_hashes(words, length)[runs].view(np.int64)
-            second = (run_hashes(words, length, SECOND_BASE)[runs] >> np.uint64(33)).astype(np.int64)
-            yield from zip((key for _ in runs), (mark for _ in runs), runs.tolist(), first.tolist(), second.tolist(), strict=False)
-
-        return step
-
-    return start
+    """For ``mapInArrow``: (key, mark, h, g, starts) of each distinct run of a document beside its shared seeds; starts as 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal n
+            key, mark, h, g, size, data = ([x[k] for x in held] for k in range(6))
+            offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(np.concatenate([np.zeros(0, np.int64), *size]) * 4))).astype(np.int32)
+            starts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(data))])
+            ids = [np.repeat(np.array(x, np.int64), [len(v) for v in h]) if x else np.zeros(0, np.int64) for x in (key, mark)]
+            got = pa.RecordBatch.from_arrays([*map(pa.array, ids), *(pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (h, g)), starts], names=["key", "mark", "h", "g", "starts"])
+            held.clear()
+            n = 0
+            return got
+
+        for batch in batches:
+            for key, mark, data, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = word_hashes(unpacked(data))
+                runs = np.nonzero(np.isin(picked(words, length, seed)[1], shared))[0]
+                if not len(runs):
+                    continue
+                h = run_hashes(words, length)[runs].view(np.int64)
+                g = (run_hashes(words, length, SECOND_BASE)[runs] >> np.uint64(33)).astype(np.int64)
+                order = np.lexsort((runs, g, h))
+                h, g = h[order], g[order]
+                new = np.nonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))[0]
+                held.append((key, mark, h[new], g[new], np.diff(np.append(new, len(h))), runs[order].astype("<i4").tobytes()))
+                n += len(new)
+                if n >= 50_000:
+                    yield flush()
+        yield flush()
+
+    return run
 
 
 def _removed(length: int):
     def start():
         def step(row: tuple) -> Iterable[tuple]:
             key, mark, data, starts = row
-            words, covered = data.split(), spans(np.array(starts), length)
+            words, covered = unpacked(data).split(), spans(np.frombuffer(b"".join(starts), "<i4").astype(np.int64), length)
             kept, at = [], 0
             for begin, end in covered:
                 kept += words[at:begin]
@@ -124,23 +152,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     own = cut(map_rows(rows, "key bigint, mark bigint, n_words bigint, sha binary, seeds array<bigint>, at array<int>", _profile(length, seed)))
-    first = own.groupBy("sha").agg(F.min("key").alias("keep"))
-    placed = own.join(first, "sha")
+    first = own.groupBy("sha", apart("sha")).agg(F.min("key").alias("keep")).drop("_apart")
+    placed = met(own, first, "sha")
     seeds = placed.where((F.col("key") == F.col("keep")) & (F.size("seeds") > 0)).select("key", "mark", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("key", "mark", "s.seeds", "s.at")
-    shared = seeds.groupBy("seeds").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("seeds")
-    hits = seeds.join(shared, "seeds").groupBy("key", "mark").agg(F.collect_set("at").alias("shared"))
-
-    texts = rows.repartition(parts, "key", "mark")
-    runs = map_rows(texts.join(hits, ["key", "mark"]).select("key", "mark", "data", "shared"), "key bigint, mark bigint, start int, h bigint, g bigint", _runs(length, seed))
-    smallest = runs.groupBy("h", "g").agg(F.min("key").alias("first"))
-    later = runs.join(smallest, ["h", "g"]).where("key > first").groupBy("key", "mark").agg(F.collect_set("start").alias("starts"))
-    removed = map_rows(texts.join(later, ["key", "mark"]).select("key", "mark", "data", "starts"), "key bigint, mark bigint, n_removed bigint, kept string, spans array<array<int>>", _removed(length))
+    shared = seeds.groupBy("seeds", apart("seeds")).agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("seeds")
+    hits = met(seeds, shared, "seeds").groupBy("key", "mark").agg(F.collect_set("at").alias("shared"))
+
+    texts = rows.mapInArrow(packed, "key bigint, mark bigint, data binary").repartition(parts, "key", "mark")
+    near = met(texts, hits, ["key", "mark"]).select("key", "mark", "data", "shared")
+    runs = cut(near.mapInArrow(_runs(length, seed), "key bigint, mark bigint, h bigint, g bigint, starts binary"))
+    repeated = runs.groupBy("h", "g", apart("h", "g")).agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("h", "g", "first")
+    later = met(runs, repeated, ["h", "g"]).where("key > first").groupBy("key", "mark").agg(F.collect_list("starts").alias("starts"))
+    removed = map_rows(met(texts, later, ["key", "mark"]).select("key", "mark", "data", "starts"), "key bigint, mark bigint, n_removed bigint, kept string, spans array<array<int>>", _removed(length))
     removed = removed.groupBy("key", "mark").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"), F.first("spans").alias("spans"))
 
     copy = (F.col("key") > F.col("keep")) & (F.col("n_words") >= length)
     none = F.array().cast("array<array<int>>")
     whole = F.array(F.array(F.lit(0), F.col("n_words").cast("int")))
-    return placed.select("key", "mark", "n_words", "sha", "keep").join(removed, ["key", "mark"], "left").select(
+    return met(placed.select("key", "mark", "n_words", "sha", "keep"), removed, ["key", "mark"], "left").select(
         F.nullif("key", F.lit(NULL_ID)).alias("doc_id"),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
