@@ -1,13 +1,14 @@
 """Packing: token sequences filled by harmonic classes.
 
-A document's ids are cut into pieces: whole sequences first, then pieces of exactly 1/2, 1/4 ... of the capacity as long
-as the rest allows, down to ``SMALLEST_HALF``, then what is left (shorter than that) as one piece. Class k holds the
-pieces with capacity/(k+1) < length <= capacity/k, and a bin of class k holds exactly k pieces: the harmonic rule. The
-power-of-two pieces fill their bins without a gap; a bin of the short rest wastes less than one piece.
+Class k holds the documents with capacity/(k+1) < length <= capacity/k, whole, and a bin of class k takes exactly k of
+them: the harmonic rule. What such a bin leaves over, less than 1/(k+1) of it, is filled from one document that is held
+aside for this, the only kind that is cut: a document longer than the capacity, as long as there is one, else the next
+that comes. Of a longer document that isn't held aside, whole sequences are cut off and the rest goes into its class.
 
 Every task packs its own rows, so nothing is shuffled and no task waits for another. When a task ends, the bins that are
 not full are poured together and cut again at the capacity; the last of them is cut at powers of two, which need no
-padding. A task has a number of its own in the high bits of ``sequence_id``.
+padding. A task has a number of its own in the high bits of ``sequence_id``. It holds less than one bin per class and one
+document.
 
 Edge cases: a null or empty text has the end id alone. A null id stays null. Repeated rows are packed once each. An
 empty table gives no pieces. Other columns are ignored.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 from filelens.llm._common import Memo, map_rows, table
 
 CAPACITY = 1024
-#: Pieces of at least this length are cut at powers of two; a shorter rest stays whole.
-SMALLEST_HALF = 32
 #: Text segments whose ids a worker remembers at most (about 200 bytes each).
 MEMO = 250_000
 
@@ -58,11 +58,10 @@ class Ids:
 
     Parts of a text between white space are encoded apart and remembered, up to MEMO of them in each of two generations.
     The file's merges are run by tiktoken, which takes the lowest id first; that is the same order as the file's, and is
-    checked when the file is read. The file's added tokens are found in the texts and keep their own ids, unless
-    ``encode_special_tokens``, which takes them as other text, as the library's switch of that name does.
+    checked when the file is read. The file's added tokens are found in the texts and keep their own ids.
     """
 
-    def __init__(self, tokenizer_path: str, pattern: str | None = None, encode_special_tokens: bool = True):
+    def __init__(self, tokenizer_path: str, pattern: str | None = None):
         import json
 
         import public_tokenizers
@@ -70,7 +69,7 @@ class Ids:
 
         with open(tokenizer_path, encoding="utf-8") as f:
             file = json.load(f)
-        model, added = file["model"], [] if encode_special_tokens else file.get("added_tokens") or []
+        model, added = file["model"], file.get("added_tokens") or []
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError(f"{tokenizer_path}: added tokens that take in white space or stand as words alone aren't supported")
         byte, vocab = byte_of_char(), model["vocab"]
@@ -98,40 +97,48 @@ class Ids:
         return self.whole[first] + b"".join(map(self.after_space.__getitem__, rest))
 
 
-def pieces_of(length: int, capacity: int = CAPACITY, smallest: int = SMALLEST_HALF) -> Iterator[int]:
-    """Lengths that add up to ``length``: whole sequences, halves of the capacity, then the short rest."""
-    while length >= capacity:
-        yield capacity
-        length -= capacity
-    size = capacity
-    while size > smallest:
-        size //= 2
-        if length >= size:
-            yield size
-            length -= size
-    if length:
-        yield length
-
-
 class HarmonicPacker:
-    """Puts pieces into bins: class k = capacity // length, k pieces to a bin."""
+    """Puts whole documents into bins: class k = capacity // length, k documents to a bin, and a cut from the one held aside."""
 
     def __init__(self, capacity: int = CAPACITY, first_sequence: int = 0):
         self.capacity, self.sequence = capacity, first_sequence
         self.bins: dict[int, list[tuple]] = {}
+        #: what is left of the document held aside: (doc_id, start, ids, total) or None
+        self.aside: tuple | None = None
+        #: a bin with its count of documents that waits to be filled
+        self.short: list[tuple] = []
 
-    def __call__(self, row: tuple) -> Iterable[tuple]:
+    def __call__(self, row: tuple) -> Iterator[tuple]:
         """row: (doc_id, ids as bytes)."""
         doc_id, ids = row
-        total, start = len(ids) // 4, 0
-        for n in pieces_of(total, self.capacity):
-            k = self.capacity // n
-            held = self.bins.setdefault(k, [])
-            held.append((doc_id, start, ids[4 * start : 4 * (start + n)], total))
-            start += n
-            if len(held) == k:
-                yield from self._close(held)
-                self.bins[k] = []
+        total = len(ids) // 4
+        if self.aside is None and (self.short or total > self.capacity):
+            self.aside = (doc_id, 0, ids, total)
+            if self.short:
+                yield from self._fill()
+            return
+        whole = (total - 1) // self.capacity * self.capacity
+        for start in range(0, whole, self.capacity):
+            yield from self._close([(doc_id, start, ids[4 * start : 4 * (start + self.capacity)], total)])
+        k = self.capacity // (total - whole)
+        held = self.bins.setdefault(k, [])
+        held.append((doc_id, whole, ids[4 * whole :], total))
+        if len(held) == k:
+            self.short = self.bins.pop(k)
+            yield from self._fill()
+
+    def _fill(self) -> Iterator[tuple]:
+        """Closes the short bin if the document held aside fills it."""
+        room = self.capacity - sum(len(x[2]) // 4 for x in self.short)
+        if room and self.aside:
+            doc_id, start, ids, total = self.aside
+            n = min(room, len(ids) // 4)
+            self.short.append((doc_id, start, ids[: 4 * n], total))
+            self.aside = (doc_id, start + n, ids[4 * n :], total) if 4 * n < len(ids) else None
+            room -= n
+        if not room:
+            bin_, self.short = self.short, []
+            yield from self._close(bin_)
 
     def _close(self, held: list[tuple]) -> Iterator[tuple]:
         at = 0
@@ -143,18 +150,18 @@ class HarmonicPacker:
 
     def finish(self) -> Iterator[tuple]:
         """The bins that are not full: poured together, cut at the capacity, the last at powers of two."""
-        rest = [x for k in sorted(self.bins) for x in self.bins[k]]
+        rest = deque(self.short + [x for k in sorted(self.bins) for x in self.bins[k]] + ([self.aside] if self.aside else []))
         left = sum(len(x[2]) // 4 for x in rest)
-        self.bins = {}
+        self.bins, self.short, self.aside = {}, [], None
         while rest:
             size = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
             held, room = [], size
             while room:
-                doc_id, start, ids, total = rest.pop(0)
+                doc_id, start, ids, total = rest.popleft()
                 n = min(room, len(ids) // 4)
                 held.append((doc_id, start, ids[: 4 * n], total))
                 if 4 * n < len(ids):
-                    rest.insert(0, (doc_id, start + n, ids[4 * n :], total))
+                    rest.appendleft((doc_id, start + n, ids[4 * n :], total))
                 room -= n
             left -= size
             yield from self._close(held)
@@ -165,7 +172,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     class Step:
         def __init__(self) -> None:
-            self.ids = Ids(tokenizer_path, encode_special_tokens=False)
+            self.ids = Ids(tokenizer_path)
             self.packer = HarmonicPacker(capacity, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
 
         def __call__(self, row: tuple) -> Iterable[tuple]:
