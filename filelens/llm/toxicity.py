@@ -7,7 +7,7 @@ trusting a lexicon that has seen their own rows, each half of the sample gets fe
 the final lexicon comes from both. The calibration is fitted on scores that each half gets from trees of the other half.
 
 At most ``sample`` labelled training documents are used (default 20,000; their texts are kept once in the shared folder),
-and at most LEXICON counts come to the driver. Scoring is one pass over the texts without a shuffle.
+and only counts of tokens that a lexicon takes come to the driver, whose number the sample bounds. Scoring is one pass over the texts without a shuffle.
 
 Edge cases: null and empty texts have no hits and a score like any other. Null labels and null ids are not learned from;
 without labelled rows, or with one class only, every score is the same. Repeated rows are scored alike; an empty table
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens.llm._additive import BoostedTrees, Isotonic, sigmoid
@@ -31,8 +31,8 @@ from filelens.llm._common import cut, fold_of, labelled_sample, map_rows, table
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE = 20_000
-#: Lexicon counts that come to the driver at most, the heaviest first.
-LEXICON = 20_000
+#: A lexicon takes tokens of more log-odds than ODDS that exceed what is expected by SIGMAS standard deviations.
+ODDS, SIGMAS = 2.0, 2.0
 TOXIC_AT = 0.7
 
 FEATURES = ("hits", "hit_density", "strongest", "weight", "stem_hits", "stem_strongest", "stem_weight", "addressed", "hidden_hits", "hidden_share", "upper_share", "upper_words", "exclaim_share", "punctuation_share", "log_words")
@@ -127,11 +127,18 @@ def lexicon_of(counts: dict[str, tuple[int, int]], toxic: int, clean: int, least
     for token, (t, c) in counts.items():
         odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         expected = (t + c) * toxic / max(1, toxic + clean)
-        if t >= least and odds > 1.5 and t - expected > 2 * math.sqrt(expected + 1):
+        if t >= least and odds > ODDS and t - expected > SIGMAS * math.sqrt(expected + 1):
             out[token] = odds
     return out
 
 
+def taken(t: Column, c: Column, toxic: int, clean: int, least: int) -> Column:
+    """The test of ``lexicon_of`` on columns, with room for rounding."""
+    odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    expected = (t + c) * (toxic / max(1, toxic + clean))
+    return (t >= least) & (odds > ODDS - 1e-6) & (t - expected > SIGMAS * F.sqrt(expected + 1) - 1e-6)
+
+
 class Model:
     """A lexicon, trees and their calibration."""
 
@@ -148,15 +155,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     half = (F.crc32(F.reverse(F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int")
     rows = cut(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, sample).withColumn("half", half))
     sizes = {(r.half, r.y): r.n for r in rows.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
-    # A token that is in few toxic rows of both halves together is in no lexicon, so it needn't come to the driver.
     counts = token_counts(rows)
     total = counts.groupBy("token").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *(F.sum(F.when(F.col("half") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("toxic", "clean"))
     )
-    heaviest = total.where("toxic >= 3 and toxic > clean").orderBy(F.desc("toxic"), "clean", "token").limit(LEXICON).collect()
     of = lambda k: (sum(n for (h, y), n in sizes.items() if y == 1 and h in k), sum(n for (h, y), n in sizes.items() if y == 0 and h in k))
-    halves = {k: lexicon_of({r.token: (r[f"toxic{k}"], r[f"clean{k}"]) for r in heaviest}, *of((k,)), least=2) for k in (0, 1)}
-    both = lexicon_of({r.token: (r.toxic, r.clean) for r in heaviest}, *of((0, 1)))
+    some = taken(F.col("toxic"), F.col("clean"), *of((0, 1)), 3) | taken(F.col("toxic0"), F.col("clean0"), *of((0,)), 2) | taken(F.col("toxic1"), F.col("clean1"), *of((1,)), 2)
+    leaning = sorted(total.where(some).collect(), key=lambda r: r.token)
+    halves = {k: lexicon_of({r.token: (r[f"toxic{k}"], r[f"clean{k}"]) for r in leaning}, *of((k,)), least=2) for k in (0, 1)}
+    both = lexicon_of({r.token: (r.toxic, r.clean) for r in leaning}, *of((0, 1)))
 
     def start():
         return lambda row: [(row[0], row[2], row[3], features(row[1], halves[1 - row[3]]))]
