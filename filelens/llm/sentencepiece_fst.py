@@ -1,16 +1,18 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer, for models of kind BPE with byte fallback.
 
 Three machines are compiled from a model file. The normaliser writes a mark at the beginning and for each space. The
-lexicon maps the characters of a piece to its id, and a character without a piece to the pieces of its UTF-8 bytes. The
-grammar has a state for each piece; its arc from s to t weighs nothing if BPE itself splits the text of s followed by t
-into s and t, else infinity. A sequence of pieces is what BPE makes of a text exactly if all its neighbours are so, so the
-tropical-semiring shortest path through input o normaliser o lexicon o grammar is the model's own encoding, and it is the
-only one of finite weight. Arcs of the grammar are weighed when a path first asks for them and kept.
-
-The shortest path is found position by position: from the best path to a position, each piece whose arc from its last
-piece is finite gives the best path to where it ends. Between two characters that are neighbours in no piece no arc spans,
-so the parts of a text between such places are composed apart; words and their parts are remembered by each worker (MEMO
-of each, in two generations).
+lexicon is a trie whose arcs read the characters of the pieces and at whose ends a piece is written; a character without
+a piece is written as itself and stands for the pieces of its UTF-8 bytes. Normaliser and lexicon are composed when the
+model is read. The grammar has a state for each piece; its arc from s to t weighs nothing if BPE itself splits the text of
+s followed by t into s and t, else infinity. A sequence of pieces is what BPE makes of a text exactly if all its
+neighbours are so, so the shortest path through input o normaliser o lexicon o grammar is the model's own encoding, and it
+is the only one of finite weight. Arcs of the grammar are weighed when a path first asks for them and kept.
+
+The composition with a text isn't written out. Its states are (position, state of the lexicon, last piece), and the
+shortest path is found position by position: from each piece that ends there, with the weight of its best path, the
+lexicon is walked along the text, and each piece written on the way is relaxed by (min, +) over the grammar's arc to it.
+Between two characters that are neighbours in no piece no arc spans, so the parts of a text between such places are
+composed apart; words and their parts are remembered by each worker (MEMO of each, in two generations).
 
 Edge cases: null and empty texts have no ids and decode to the empty text. A mark in the text decodes to a space, as the
 model has it. Repeated rows are encoded alike; an empty table gives an empty result. Other columns are ignored.
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens.llm._common import Memo, map_rows, table
+from filelens.llm._wfst import EPS, INFINITE, Machine, compose
 
 MARK = "\u2581"
 MEMO = 300_000
@@ -71,6 +74,34 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+def normaliser(characters: set[str], prefix: bool) -> Machine:
+    """Writes a mark for each space, other characters as they are, and a mark at the beginning if ``prefix``."""
+    m = Machine()
+    inner = m.state() if prefix else m.start
+    if prefix:
+        m.arc(m.start, EPS, MARK, 0.0, inner)
+    for c in sorted(characters):
+        m.arc(inner, c, c, 0.0, inner)
+    m.arc(inner, " ", MARK, 0.0, inner)
+    m.finals[inner] = 0.0
+    return m
+
+
+def lexicon(pieces: Iterable[str], weights: dict[str, float] | None = None) -> Machine:
+    """A trie that reads characters and writes a piece where it ends, back at the root; each character is a piece of its own too."""
+    m = Machine()
+    m.finals[m.start] = 0.0
+    node = {"": m.start}
+    every = set(pieces)
+    for piece in sorted(every | {c for p in every for c in p}):
+        for k in range(1, len(piece) + 1):
+            if piece[:k] not in node:
+                node[piece[:k]] = m.state()
+                m.arc(node[piece[: k - 1]], piece[k - 1], EPS, 0.0, node[piece[:k]])
+        m.arc(node[piece], EPS, piece, (weights or {}).get(piece, 0.0), m.start)
+    return m
+
+
 class Transducer:
     """The compiled machines of a model file."""
 
@@ -99,18 +130,12 @@ class Transducer:
         self.lines_apart = not any("\n" in t for t in longer)
         #: neighbouring characters of some piece; elsewhere no arc spans
         self.near = {t[k : k + 2] for t in longer for k in range(len(t) - 1)}
-        #: first two or three characters -> lengths of the pieces that may begin there
-        sizes: dict[str, set[int]] = {}
-        for t in longer:
-            sizes.setdefault(t[:2], {1}).update({2} if t[:2] in self.ids else ())
-            if len(t) > 2:
-                sizes.setdefault(t[:3], {1, 2} if t[:2] in self.ids else {1}).add(len(t))
-        self.longer = {k: tuple(sorted(v)) for k, v in sizes.items()}
-        #: piece -> next piece -> whether the arc is finite, as far as it has been asked for
-        self.arcs: dict[str, dict[str, bool]] = {}
+        self.compile(compose(normaliser({c for t in self.ids for c in t}, bool(self.prefix)), lexicon(self.ids)))
+        #: piece -> next piece -> weight of the grammar's arc, as far as it has been asked for
+        self.grammar: dict[str, dict[str, float]] = {}
         self.n_arcs = 0
         self.part = Memo(self._whole, MEMO)
-        self.after_space = Memo(lambda part: self._packed(part if part[0] == "\n" else MARK + part), MEMO)
+        self.after_space = Memo(lambda part: self._packed(part if part[0] == "\n" else " " + part), MEMO)
         self.segment = Memo(self._packed, MEMO)
 
     def merged(self, text: str) -> list[str]:
@@ -124,36 +149,59 @@ class Transducer:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def joins(self, s: str, t: str) -> bool:
-        """Whether the grammar's arc from s to t is finite; kept in the row of s."""
-        known = self.merged(s + t) == ([s, t] if s else [t])
+    def compile(self, m: Machine) -> None:
+        """Tables of the composed machine: the next state by character, and the pieces written at a state."""
+        none: dict = {}
+        self.root = next(to for arcs in m.arcs for _, writes, _, to in arcs if writes != EPS)
+        self.step = [{reads: to for reads, _, _, to in arcs if reads != EPS} or none for arcs in m.arcs]
+        self.written = [[(writes, w) for _, writes, w, _ in arcs if writes != EPS] for arcs in m.arcs]
+
+    def weigh(self, s: str, t: str) -> float:
+        """The weight of the grammar's arc from s to t, kept in the row of s; the start of a text is the empty piece."""
+        weight = 0.0 if self.merged(s + t) == ([s, t] if s else [t]) else INFINITE
         self.n_arcs += 1
         if self.n_arcs > ARCS:
-            self.arcs.clear()
+            self.grammar.clear()
             self.n_arcs = 1
-        self.arcs.setdefault(s, {})[t] = known
-        return known
+        self.grammar.setdefault(s, {})[t] = weight
+        return weight
 
     def best_path(self, text: str) -> list[str]:
-        """The pieces of normalised text: the shortest path through lexicon and grammar, forward from each position."""
-        n, ids, arcs, longer = len(text), self.ids, self.arcs, self.longer
-        last = [""] + [None] * n
+        """The pieces of a part of a text: the shortest path through lexicon and grammar, forward from each position."""
+        n, step, written, grammar, root = len(text), self.step, self.written, self.grammar, self.root
+        # position -> last piece -> (weight, piece before it, where it begins)
+        best: list[dict[str, tuple] | None] = [None] * (n + 1)
+        best[0] = {"": (0.0, "", 0)}
         for begin in range(n):
-            before = last[begin]
-            row = arcs.get(before) or {}
-            sizes = longer.get(text[begin : begin + 3]) or longer.get(text[begin : begin + 2]) or (1,)
-            for size in sizes:
-                end = begin + size
-                if end <= n and last[end] is None:
-                    piece = text[begin:end]
-                    if size == 1 or piece in ids:
-                        finite = row.get(piece)
-                        if finite or finite is None and self.joins(before, piece):
-                            last[end] = piece
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
+            here = best[begin]
+            if here is None:
+                continue
+            at, end = step[root].get(text[begin]), begin + 1
+            found = written[at] if at is not None else [(text[begin], 0.0)]  # a character that the lexicon doesn't know
+            while True:
+                for piece, weight in found:
+                    for last, (so_far, *_) in here.items():
+                        row = grammar.get(last)
+                        arc = row.get(piece) if row else None
+                        total = so_far + weight + (self.weigh(last, piece) if arc is None else arc)
+                        if total < INFINITE:
+                            there = best[end]
+                            if there is None:
+                                best[end] = {piece: (total, last, begin)}
+                            elif piece not in there or total < there[piece][0]:
+                                there[piece] = (total, last, begin)
+                if at is None or end == n:
+                    break
+                at = step[at].get(text[end])
+                if at is None:
+                    break
+                end += 1
+                found = written[at]
+        out, end = [], n
+        piece = min(best[n], key=lambda p: best[n][p][0])
+        while end:
+            out.append(piece)
+            _, piece, end = best[end][piece]
         return out[::-1]
 
     def _whole(self, part: str) -> bytes:
@@ -167,8 +215,8 @@ class Transducer:
 
     def _packed(self, text: str) -> bytes:
         """Parts between which no piece reaches have paths of their own."""
-        near = self.near
-        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in near]
+        near, marked = self.near, text.replace(" ", MARK)
+        cuts = [k for k in range(1, len(text)) if marked[k - 1 : k + 1] not in near]
         if not cuts:
             return self._whole(text)
         return b"".join([self.part[text[i:j]] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)])
@@ -179,8 +227,8 @@ class Transducer:
             return b""
         if self.marks_apart and self.lines_apart and self.prefix and MARK not in text and "  " not in text and text[0] not in " \n" and text[-1] != " " and " \n" not in text and "\n " not in text:
             return b"".join(map(self.after_space.__getitem__, text.replace("\n", " \n").split(" ")))
-        marked = self.prefix + text.replace(" ", MARK)
-        return b"".join(map(self.segment.__getitem__, re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked))) if self.marks_apart else self._packed(marked)
+        marked = self.prefix + text
+        return b"".join(map(self.segment.__getitem__, re.findall(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+", marked))) if self.marks_apart else self._packed(marked)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
