@@ -101,7 +101,7 @@ def test_added_tokens_keep_their_ids():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    t, ids = Tokenizer.from_file(path), packing.Ids(path, encode_special_tokens=False)
+    t, ids = Tokenizer.from_file(path), packing.Ids(path)
     assert np.frombuffer(ids.of("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
     for text in ["<|endoftext|>", "x<|endoftext|>y", "<|endoftext|><|endoftext|> a", "a\n<|endoftext|>\n\nb  ", "<|endoftext|", "<|<|endoftext|>|>", " <|endoftext|>　c"]:
         assert np.frombuffer(ids.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
@@ -155,3 +155,67 @@ def test_hits_beside_a_second_person_are_counted_in_long_texts():
     words = [r.choice(["you", "bad"] + ["other"] * 12) for _ in range(800)]
     you, hits = ([k for k, w in enumerate(words) if w == x] for x in ("you", "bad"))
     assert toxicity.features(" ".join(words), {"bad": 1.0})[at] == sum(any(abs(k - y) <= 4 for y in you) for k in hits)
+
+
+def test_hits_and_pronouns_by_thousands():
+    r = random.Random(2)
+    words = ["bad"] * 3000 + ["you"] * 3000 + ["other"] * 9000
+    r.shuffle(words)
+    you, hits = ([k for k, w in enumerate(words) if w == x] for x in ("you", "bad"))
+    near = {p + d for p in you for d in range(-4, 5)}
+    assert toxicity.beside(hits, you) == sum(k in near for k in hits)
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = "token=abcdefgh000000 " * 6000 + "sk_live_AbC123dEf456GhI789 " * 4000
+    docs = spark.createDataFrame([(1, text, "a"), (2, "x", "b")], "doc_id bigint, text string, source string")
+    secrets.secret_scan(docs).collect()
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secrets.secret_scan(docs).collect()}
+    assert time.time() - began < 10
+    assert len(got[1]) == 10_000 and got[2] == [] and (got[1][-1].start, got[1][-1].end) == (len(text) - 27, len(text) - 1)
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean[1] == "[assign] " * 6000 + "[opaque] " * 4000
+
+
+def test_a_text_that_repeats_its_words_gives_each_run_once(spark):
+    from filelens.llm import substring_dedup
+    from tests.llm.test_operators import without_repeats
+
+    data = [(1, "again " * 3000), (2, "again " * 2500 + "end"), (3, "again and " * 200 + " ".join(prose(1, 70))), (4, " ".join(prose(1, 70)))]
+    got = substring_dedup.repeats(frame(spark, data)).drop("spans").collect()
+    assert sorted(map(tuple, got)) == sorted(without_repeats(data))
+
+
+def test_harmonic_bins_hold_whole_documents():
+    lengths = [random.Random(3).randrange(1, 3000) for _ in range(3000)]
+    packer, out = packing.HarmonicPacker(), []
+    for k, n in enumerate(lengths):
+        out += packer((k, bytes(4 * n)))
+    out += packer.finish()
+    used, whole = {}, {}
+    for doc, start, n, _, total, sequence, at in out:
+        assert at == used.get(sequence, 0)
+        used[sequence] = at + n
+        whole.setdefault(sequence, []).append(n == total)
+    assert sum(used.values()) == sum(lengths) and all(n == 1024 or n & (n - 1) == 0 for n in used.values())
+    assert len(out) < 2.5 * len(lengths)
+    short = [k for k, n in enumerate(lengths) if n <= 1024]
+    pieces = {k: 0 for k in short}
+    for o in out:
+        if o[0] in pieces:
+            pieces[o[0]] += 1
+    assert sum(n == 1 for n in pieces.values()) > 0.9 * len(short)
+
+
+def test_shared_folder_of_a_cluster_must_be_set():
+    from types import SimpleNamespace
+
+    from filelens.storage import shared_folder
+
+    session = lambda master, at: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: at), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert shared_folder(session("spark://x", "/shared")) == "/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://x", None))

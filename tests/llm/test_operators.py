@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
+from filelens.llm._additive import BoostedTrees, Isotonic, PairwiseAdditive
 from filelens.llm import exact_dedup, language, minhash, packing, quality, secrets, sentencepiece_fst, simhash, substring_dedup, toxicity
 from tests.llm.fixtures import SCHEMA, rows
 
@@ -171,7 +173,6 @@ def test_packing(unique, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     pieces = packing.pack(unique, path).collect()
     texts = {r.doc_id: r.text for r in unique.collect()}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -204,7 +205,6 @@ def test_ids_equal_the_tokenizers(docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, ids = Tokenizer.from_file(path), packing.Ids(path)
-    t.encode_special_tokens = True
     odd = ["a  b\t\n c  ", "x<|endoftext|>y", "it's  don't  x　　y 12 ab12\r\n", "\x1c a\x1f b", " ", "\n", "a\n\nb", " x", "\x85 y", "a \n b", "café\nü \U0001d538"]
     for text in [*odd, *(r[1] or "" for r in rows())]:
         assert np.frombuffer(ids.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
@@ -281,9 +281,9 @@ def test_near_duplicates(docs, empty):
 # language, quality, toxicity
 
 
-def held_out(spark, sf, query, label):
-    got = query(spark, "/root/testdata/sf0.01")
-    truth = spark.read.parquet("/root/testdata/sf0.01/" + ("documents" if label == "lang" else "labels") + ".parquet").select("doc_id", label)
+def held_out(spark, sf, query, label, size="sf0.01"):
+    got = query(spark, f"/root/testdata/{size}")
+    truth = spark.read.parquet(f"/root/testdata/{size}/" + ("documents" if label == "lang" else "labels") + ".parquet").select("doc_id", label)
     return [r for r in got.join(truth, "doc_id").collect() if r.held_out]
 
 
@@ -325,11 +325,134 @@ def test_toxicity(spark, sf, docs, empty):
     scored = held_out(spark, sf, toxicity.op7_toxicity, "toxic")
     assert sum(r.predicted for r in scored if not r.toxic) <= 0.03 * len(scored)
     assert sum(r.predicted for r in scored if r.toxic) >= 0.6 * sum(r.toxic for r in scored)
+    scored = held_out(spark, sf, toxicity.op7_toxicity, "toxic", "sf0.1")
+    assert sum(r.predicted for r in scored if not r.toxic) <= 0.01 * len(scored)
+    assert sum(r.predicted for r in scored if r.toxic) >= 0.9 * sum(r.toxic for r in scored)
 
 
-def test_isotonic_never_falls():
-    from filelens.llm._additive import Isotonic
+# slow plain versions of the scores
+
+
+def test_quality_score_is_a_sum_of_table_entries(spark):
+    r = np.random.default_rng(1)
+    x = np.round(r.normal(size=(500, 5)), 1)
+    m = PairwiseAdditive.fit(x, ((x[:, 0] + x[:, 1] * x[:, 2] + r.normal(size=500) / 3) > 0).astype(float), rounds=30)
+    assert len(m.pairs) > 0
+
+    def bin_of(cuts, v):
+        return sum(1 for c in cuts if c < v)
+
+    def slow(row):
+        total = m.base + sum(float(t[bin_of(c, v)]) for t, c, v in zip(m.tables, m.cuts, row, strict=True))
+        total += sum(float(t[bin_of(m.coarse[i], row[i]), bin_of(m.coarse[j], row[j])]) for i, j, t in m.pairs)
+        return 1 / (1 + math.exp(-total))
+
+    test = np.round(r.normal(size=(200, 5)) * 2, 1)
+    assert m.score(test) == pytest.approx([slow(row) for row in test.tolist()])
+
+
+def test_tree_score_is_a_walk_to_a_leaf_and_calibration_a_line():
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(400, 4)), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    m = BoostedTrees.fit(x, y, rounds=20)
+
+    def slow(row):
+        total = m.base
+        for feature, border, value in m.trees:
+            node = 0
+            for _ in range(m.depth):
+                k = int(feature[node])
+                node = 2 * node + 1 + (sum(1 for c in m.cuts[k] if c < row[k]) > border[node])
+            total += float(value[node - (2**m.depth - 1)])
+        return total
+
+    test = np.round(r.normal(size=(200, 4)) * 2, 1)
+    raw = m.score(test)
+    assert raw == pytest.approx([slow(row) for row in test.tolist()])
+    iso = Isotonic.fit(m.score(x), y)
+
+    def line(v):
+        if v <= iso.x[0]:
+            return iso.y[0]
+        for a, b, ya, yb in zip(iso.x, iso.x[1:], iso.y, iso.y[1:], strict=False):
+            if a < v <= b:
+                return ya + (yb - ya) * (v - a) / (b - a)
+        return iso.y[-1]
+
+    assert iso(raw) == pytest.approx([line(float(v)) for v in raw])
+
+
+def test_toxicity_score_follows_from_lexicon_trees_and_calibration(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = [r.text for r in docs.limit(40).collect()]
+    want = [float((m.calibration or (lambda v: 1 / (1 + np.exp(-v))))(m.trees.score(np.array([toxicity.features(t, m.lexicon)]))[0])) for t in texts]
+    assert m.score(texts) == pytest.approx(want)
 
+
+def test_language_counts_look_every_ngram_up(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    filters = language.fit(docs)
+    for text in [r.text for r in docs.limit(15).collect()] + ["½ ② x", "Ⅷ ①"]:
+        keys = [int(k) for k in language.ngrams(language.code_points(text))]
+        found = dict.fromkeys(filters.languages, 0)
+        for key in keys:
+            slots = [((key * int(m)) % (1 << 64)) >> (65 - filters.slots.bit_length()) for m in language._MIX[1:4]]
+            for k, name in enumerate(filters.languages):
+                found[name] += all(int(filters.words[0][s]) >> k & 1 for s in slots)
+        want = [max(0.0, (found[n] - len(keys) * rate) / (1 - rate)) for n, rate in zip(filters.languages, filters.rate, strict=True)]
+        assert filters.counts(np.array(keys, np.uint64)) == pytest.approx(want)
+        if sum(want):
+            assert filters.predict(text) == (filters.languages[int(np.argmax(want))], pytest.approx(max(want) / sum(want)))
+    assert filters.predict("½ ² ① Ⅷ 12 _") == ("und", 0.0)
+
+
+def test_minhash_fingerprint_is_the_low_byte_of_each_smallest_value():
+    text = " ".join(f"w{k % 37}x{k % 11}" for k in range(300))
+    hashes = [int(h) for h in minhash.shingles(text.encode())]
+    want = bytes(min((int(a) * h + int(b)) % (1 << 64) >> 32 for h in hashes) % 256 for a, b in zip(minhash._A[:, 0], minhash._B[:, 0], strict=True))
+    assert minhash.fingerprint(text) == want
+    other = text.replace("w3x3", "y")
+    agree = sum(a == b for a, b in zip(want, minhash.fingerprint(other), strict=True)) / 128
+    assert minhash.likeness(want, minhash.fingerprint(other)) == pytest.approx(max(0, (agree - 1 / 256) / (1 - 1 / 256)))
+
+
+def test_classes_of_near_duplicates_against_all_pairs(spark):
+    """All pairs of 2,000 documents of sf0.1 and their edited copies."""
+    import random
+
+    r = random.Random(9)
+    texts = [t.text for t in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 1400 and n_chars < 20000").collect()]
+    for t in list(texts[:600]):
+        w = t.split(" ")
+        for _ in range(max(1, int(len(w) * r.choice([0.01, 0.02, 0.03])))):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [set(zip(*(w[k:] for k in range(min(5, len(w)))), strict=False)) if (w := words(t)) else set() for t in texts]
+    index, common, root = defaultdict(list), Counter(), list(range(len(texts)))
+    for k, s in enumerate(sets):
+        for x in s:
+            index[x].append(k)
+    for members in index.values():
+        common.update((a, b) for j, b in enumerate(members) for a in members[:j])
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    pairs = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs).collect()}
+    assert len(pairs) > 300 and sum(got[a] == got[b] for a, b in pairs) == len(pairs)
+    assert all(find(k) == got[k] for k in got if sets[k])
+
+
+def test_isotonic_never_falls():
     r = np.random.default_rng(0)
     s = r.normal(size=400)
     f = Isotonic.fit(s, (r.random(400) < 1 / (1 + np.exp(-3 * s))).astype(float))
@@ -370,3 +493,46 @@ def test_sentencepiece_odd_texts_and_ids():
         assert fst.decode_packed(fst.encode_packed(t)) == sp.decode(sp.encode(t)), t
     for ids in [[r.randrange(32000) for _ in range(8)] for _ in range(300)] + [[r.randrange(3, 259) for _ in range(5)] for _ in range(300)]:
         assert fst.decode(ids) == sp.decode(ids), ids
+
+
+def test_machines_compose_and_give_the_lightest_path():
+    from filelens.llm._wfst import EPS, Machine, compose, linear, shortest_path
+
+    a = Machine()
+    one, two = a.state(), a.state()
+    a.arc(0, "x", "p", 1.0, one)
+    a.arc(0, "x", "q", 0.5, two)
+    a.arc(one, "y", EPS, 0.0, two)
+    a.arc(two, "y", "r", 3.0, two)
+    a.finals = {two: 0.25}
+    assert shortest_path(compose(linear("xy"), a)) == (1.25, ["p"])
+    assert shortest_path(compose(linear("xyy"), a)) == (4.25, ["p", "r"])
+    assert shortest_path(compose(linear("yx"), a)) == (float("inf"), [])
+    # input o (normaliser o lexicon) with weights, as a model of kind unigram has them
+    weights = {"▁": 5.0, "a": 3.0, "b": 3.0, "ab": 4.0, "▁a": 3.5, "ba": 2.0}
+    both = compose(sentencepiece_fst.normaliser(set("▁ab"), True), sentencepiece_fst.lexicon(weights, weights))
+
+    def brute(text):
+        if not text:
+            return 0.0
+        return min((weights[p] + brute(text[len(p) :]) for p in weights if text.startswith(p)), default=float("inf"))
+
+    for text in ["ab", "ba ab", "abab ba", " a b", "bbaab"]:
+        weight, pieces = shortest_path(compose(linear(text), both))
+        assert weight == brute("▁" + text.replace(" ", "▁")) and "".join(pieces) == "▁" + text.replace(" ", "▁")
+
+
+def test_search_by_position_is_the_composition_written_out():
+    """input o lexicon o grammar as machines, for a few words of the model, against the search."""
+    from filelens.llm._wfst import INFINITE, Machine, compose, linear, shortest_path
+
+    fst = sentencepiece_fst.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    for word in ["▁banana", "▁unhappiness", "▁xylophonés", "ababab"]:
+        pieces = sorted({word[a:b] for a in range(len(word)) for b in range(a + 1, len(word) + 1) if word[a:b] in fst.ids or b == a + 1})
+        grammar = Machine()
+        state = {p: grammar.state() for p in pieces}
+        for s in ["", *pieces]:
+            for t in pieces:
+                grammar.arc(state.get(s, 0), t, t, 0.0 if fst.merged(s + t) == ([s, t] if s else [t]) else INFINITE, state[t])
+        grammar.finals = dict.fromkeys(state.values(), 0.0)
+        assert shortest_path(compose(compose(linear(word), sentencepiece_fst.lexicon(pieces)), grammar)) == (0.0, fst.best_path(word))
