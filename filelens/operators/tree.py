@@ -28,8 +28,11 @@ def with_paths(rows: DataFrame, levels: int | None = None) -> DataFrame:
             *BASE_COLUMNS, "root_id", join_path(F.col("_path"), F.col("name")).alias("path"), (F.col("tree_depth") + 1).alias("tree_depth"), (F.col("_primary") & F.col("first")).alias("dir_primary")
         )
         level = settled(level)
-        if levels is None and (len(found) > DEEPEST or level.isEmpty()):
-            break
+        if levels is None:
+            if level.isEmpty():
+                break
+            if len(found) > DEEPEST:
+                raise ValueError(f"the tree is deeper than {DEEPEST} levels")
         found.append(level)
     out = found[0]
     for more in found[1:]:
