@@ -5,12 +5,13 @@ operation; the smallest value of each makes the signature. The fingerprint keeps
 likeness is the share of equal bytes, corrected for the 1/256 that agree by chance.
 
 Near duplicates: equal shingle sets are one node; nodes meet in BANDS bands of the signature, joined in Spark. In a bucket of
-up to SMALL members all are compared; in a larger one CENTRES of them are compared with all, the links make components,
-and the members that are still in different components are compared as far as they share one of their rarest shingles,
-without which they can't be similar. A pair whose fingerprints could agree is verified by the exact Jaccard similarity of
-the shingle sets. So every two nodes that share a band are linked if they are similar enough; a large group of near copies
-emits no pairs beyond that, whether the centres link it or its members differ. Two sets of similarity 0.8 share no band
-with a chance of 5e-5.
+up to SMALL members all are compared; in a larger one CENTRES of them are compared with all and the links make components.
+Members that are still in different components are told by what they differ in from the typical set of their group:
+two are compared only if they have enough of these differences in common, without which they can't be similar, and where they
+differ so little that they must be similar one comparison with the group's nearest member stands for all. A pair whose
+fingerprints could agree is verified by the exact Jaccard similarity of the shingle sets. So every two nodes that share a
+band are in one class if they are similar enough, and members of a large group that differ by changes of their own emit no
+pairs among themselves. Two sets of similarity 0.8 share no band with a chance of 5e-5.
 
 Edge cases: a null text is empty. Texts without words have one fingerprint of their own (all bytes 255). With fewer words
 than a shingle the whole sequence is the one shingle. The order of documents is descending id, then descending digest of the
@@ -192,24 +193,49 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return cut(met(met(pairs, left, "a"), right, "b").where(near).select("a", "b"))
 
 
-def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): the pairs of ``nodes`` (same, n, root) of different roots that may have a similarity of at least ``least``.
+def _by_differences(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (same, n, root, cluster) of one cluster and different roots, of which those that are similar enough link the same roots as all would.
 
-    Of n shingles, in one order for all nodes, two similar sets share one among the first n - ceil(least * n) + 1 of each,
-    and the first that they share leaves enough in both to make up the similarity. The order is by the number of nodes that have a shingle, those that one root alone has first. So nodes that differ
-    in more than that share by shingles of their own make no pair at all, however many they are.
+    A node is told by its differences: the shingles that it alone or the cluster's typical set alone has, which is of the
+    shingles in more than half of the nodes. Two sets of n and m shingles with d and e differences, c of them common, differ
+    in d + e - 2c; they are similar if that is at most k (n + m), where k = (1 - least) / (1 + least). With over = d - k n:
+
+    - If the sum of their ``over`` is 0 or less, they are similar whatever c is. Each is then similar to the cluster's node with
+      the smallest ``over`` too, so one pair with that node for each root stands for all of these, and such roots are one.
+    - Else c must be at least half the sum. Of d differences, in one order for all nodes, one among the first d - c + 1 is then
+      common, and what follows the first common one makes up c in both. The order is by the number of nodes that have a
+      difference, those that one root alone has first, so near copies that differ by changes of their own make no pair.
+
+    All sets of differences together are no larger than the sets.
     """
-    each = met(nodes, sets, "same").select("same", "n", "root", F.explode("shingles").alias("s"))
-    spread = each.groupBy("s", apart("s")).agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s", "df")
-    shared = met(each, spread, "s")
+    slack = (1 - least) / (1 + least)
+    of_cluster = lambda rows, *what: rows.groupBy("cluster", apart("cluster")).agg(*what).drop("_apart")
+    whole = met(nodes, sets, "same")
+    often = whole.select("cluster", F.explode("shingles").alias("s")).groupBy("cluster", "s").agg(F.count("*").alias("df")).where("df > 1")
+    most = met(often, of_cluster(nodes, F.count("*").alias("size")), "cluster").where(2 * F.col("df") > F.col("size"))
+    typical = of_cluster(most, F.collect_list("s").alias("typical"))
+    base = F.coalesce("typical", F.array().cast("array<bigint>"))
+    differs = F.concat(F.array_except("shingles", base), F.array_except(base, F.col("shingles")))
+    each = cut(met(whole, typical, "cluster", "left").select("same", "n", "root", "cluster", differs.alias("differs")))
+    each = each.withColumn("d", F.size("differs")).withColumn("over", F.col("d") - slack * F.col("n"))
+
+    # Roots that are similar to the cluster's nearest node in any case count as its root.
+    nearest = of_cluster(each, F.min(F.struct("over", "same", "root")).alias("nearest"))
+    by_root = each.groupBy("cluster", "root").agg(F.min(F.struct("over", "same")).alias("one"))
+    sure = F.col("one.over") + F.col("nearest.over") <= 1e-9
+    roots = cut(met(by_root, nearest, "cluster").select("root", F.when(sure, F.col("nearest.root")).otherwise(F.col("root")).alias("label"), F.col("one.same").alias("a"), F.col("nearest.same").alias("b"), F.col("nearest.over").alias("lowest")))
+
+    common = lambda x, y: F.greatest(F.lit(1), F.ceil((x + y) / 2 - 1e-9))
+    listed = met(each, roots.select("root", "label", "lowest"), "root").select("cluster", "same", "label", "d", "over", common(F.col("over"), F.col("lowest")).alias("c"), F.explode("differs").alias("s"))
+    spread = listed.groupBy("cluster", "s", apart("cluster", "s")).agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("cluster", "s", "df")
     of_node = Window.partitionBy("same")
-    prefix = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1
-    placed = shared.withColumn("rank", F.row_number().over(of_node.orderBy("df", "s"))).withColumn("place", F.col("n") - F.count("*").over(of_node) + F.col("rank"))
-    first = cut(placed.where(F.col("place") <= prefix).select("s", "same", "n", "root", (F.col("n") - F.col("place") + 1).alias("rest")))
-    left, right = (first.select(F.col("s").alias(f"s_{x}"), F.col("same").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"), F.col("rest").alias(f"rest_{x}")) for x in "ab")
-    # The first shingle that two sets share and what follows it in each must be enough for the similarity.
-    enough = F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
-    return met(left, right, (F.col("s_a") == F.col("s_b")) & (F.col("root_a") < F.col("root_b")) & enough).select("a", "b").distinct()
+    placed = met(listed, spread, ["cluster", "s"]).withColumn("rank", F.row_number().over(of_node.orderBy("df", "s"))).withColumn("rest", F.count("*").over(of_node) - F.col("rank") + 1)
+    first = cut(placed.where("rest >= c").select("cluster", "s", "same", "label", "over", "rest"))
+    left, right = (first.select(*(F.col(c).alias(f"{c}_{x}") for c in first.columns)) for x in "ab")
+    meet = (F.col("cluster_a") == F.col("cluster_b")) & (F.col("s_a") == F.col("s_b")) & (F.col("label_a") < F.col("label_b"))
+    enough = F.least("rest_a", "rest_b") >= common(F.col("over_a"), F.col("over_b"))
+    pairs = met(left, right, meet & enough).select(F.col("same_a").alias("a"), F.col("same_b").alias("b")).distinct()
+    return pairs.unionByName(roots.where("label <> root").select("a", "b"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, fold: bool = False) -> DataFrame:
@@ -260,13 +286,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = _linked(likely, sets, least)
     first = components(links)
 
-    # Members of a large bucket in different components.
+    # Members of a large bucket in different components. Clusters are roots that mixed buckets connect.
     rooted = met(large.select("bucket", "same", "n"), first.withColumnRenamed("node", "same"), "same", "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root"))
-    mixed = rooted.groupBy("bucket", apart("bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    apart_yet = cut(met(rooted, mixed, "bucket").select("same", "n", "root").distinct())
-    across = cut(_by_rare_shingles(apart_yet, sets, least))
+    mixed = rooted.groupBy("bucket", apart("bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket", "low")
+    apart_yet = cut(met(rooted, mixed, "bucket").select("same", "n", "root", "low").distinct())
+    clusters = components(apart_yet.select(F.col("root").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    unsettled = cut(met(apart_yet.select("same", "n", "root").distinct(), clusters, "root"))
+    across = cut(_by_differences(unsettled, sets, least))
     if not across.isEmpty():
-        first = components(links.unionByName(_linked(across, sets, least)))
+        a, b = (unsettled.select(F.col("same").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        moved = components(met(met(_linked(across, sets, least), a, "a"), b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        known = first.unionByName(moved.select("node", F.col("node").alias("root"))).distinct()
+        first = met(known, moved.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     return met(own.select("doc_id", "digest", "same"), first.withColumnRenamed("node", "same"), "same", "left").select("doc_id", "digest", F.coalesce("root", "same").alias("root"))
 
 
