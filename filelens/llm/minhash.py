@@ -213,10 +213,11 @@ def _by_differences(nodes: DataFrame, sets: DataFrame, least: float) -> DataFram
     whole = met(nodes, sets, "same")
     often = whole.select("cluster", F.explode("shingles").alias("s")).groupBy("cluster", "s").agg(F.count("*").alias("df")).where("df > 1")
     most = met(often, of_cluster(nodes, F.count("*").alias("size")), "cluster").where(2 * F.col("df") > F.col("size"))
-    typical = of_cluster(most, F.collect_list("s").alias("typical"))
+    typical = cut(of_cluster(most, F.collect_list("s").alias("typical")).withColumnRenamed("cluster", "_cluster"))
     base = F.coalesce("typical", F.array().cast("array<bigint>"))
     differs = F.concat(F.array_except("shingles", base), F.array_except(base, F.col("shingles")))
-    each = cut(met(whole, typical, "cluster", "left").select("same", "n", "root", "cluster", differs.alias("differs")))
+    told = beside(whole, typical, F.col("cluster") == F.col("_cluster"), "left", 24 + 8 * F.size("typical"))
+    each = cut(told.select("same", "n", "root", "cluster", differs.alias("differs")))
     each = each.withColumn("d", F.size("differs")).withColumn("over", F.col("d") - slack * F.col("n"))
 
     # Roots that are similar to the cluster's nearest node in any case count as its root.
