@@ -14,6 +14,8 @@ from filelens.storage import settled as cut
 #: Rows of one Arrow batch that Python builds; a batch also ends at BATCH_BYTES of text.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: Bytes of one Arrow batch that Spark hands to Python, after ``small_batches``.
+HANDED_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,18 @@ def unpacked(data: bytes) -> bytes:
     return zstandard.decompress(data)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session end at HANDED_BYTES, unless they end sooner already.
+
+    Spark's own bound of 64 MB lets a batch have all texts of a split, which buffers that double as they grow, Python's
+    copy and its list of values then hold at once, outside the heap, for each task. The rows stay the same. The bound is
+    read when a plan runs, after the operator has returned, so it stays set.
+    """
+    bound, read = "spark.sql.execution.arrow.maxBytesPerBatch", spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if read(spark.conf.get(bound, "64m")) > HANDED_BYTES:
+        spark.conf.set(bound, str(HANDED_BYTES))
+
+
 def apart(*keys: str) -> Column:
     """A further grouping key that depends on ``keys`` alone.
 

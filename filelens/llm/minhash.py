@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filelens.llm._common import apart, beside, cut, keep_one, map_rows, met, packed, table, text_digest, unpacked
+from filelens.llm._common import apart, beside, cut, keep_one, map_rows, met, packed, small_batches, table, text_digest, unpacked
 from filelens.llm._words import run_hashes, word_hashes
 from filelens.llm.simhash import components
 
@@ -131,6 +131,7 @@ def in_order(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
 
 def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:
     """One row per document: its fingerprint, that of the text whose last half is the head of the next document's, the likenesses, and its class of near duplicates."""
+    small_batches(docs.sparkSession)
     classes = near_duplicates_by_text(docs, id_col, text_col, least)
 
     class Step:
