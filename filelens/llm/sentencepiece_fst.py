@@ -6,11 +6,14 @@ a piece is written as itself and stands for the pieces of its UTF-8 bytes. Norma
 model is read. The grammar has a state for each piece; its arc from s to t weighs nothing if BPE itself splits the text of
 s followed by t into s and t, else infinity. A sequence of pieces is what BPE makes of a text exactly if all its
 neighbours are so, so the shortest path through input o normaliser o lexicon o grammar is the model's own encoding, and it
-is the only one of finite weight. Arcs of the grammar are weighed when a path first asks for them and kept.
+is the only one of finite weight. Arcs of the grammar are weighed when a path first asks for them, from the merges that make
+their two pieces, and kept.
 
 The composition with a text isn't written out. Its states are (position, state of the lexicon, last piece), and the
-shortest path is found position by position: from each piece that ends there, with the weight of its best path, the
-lexicon is walked along the text, and each piece written on the way is relaxed by (min, +) over the grammar's arc to it.
+shortest path is found by settling them in the order of their weight, of equal weights the furthest first: the lexicon is
+walked along the text from a state's position, and the pieces written on the way, the longest first, are relaxed by
+(min, +) over the grammar's arcs to them. Only the arcs that the search meets before the end are weighed. A path of finite
+weight to a position is the only one, being the encoding of the text up to there, so no position is met twice.
 Between two characters that are neighbours in no piece no arc spans, so the parts of a text between such places are
 composed apart; words and their parts are remembered by each worker (MEMO of each, in two generations).
 
@@ -25,6 +28,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +41,8 @@ MARK = "\u2581"
 MEMO = 300_000
 #: Arcs of the grammar that a worker keeps at most.
 ARCS = 500_000
+#: The rank of what isn't a piece.
+NEVER = 1 << 40
 
 #: Kinds of pieces and fields of the model file, fixed values.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -134,31 +140,54 @@ class Transducer:
         #: piece -> next piece -> weight of the grammar's arc, as far as it has been asked for
         self.grammar: dict[str, dict[str, float]] = {}
         self.n_arcs = 0
+        self.ends = Memo(self._ends, MEMO)
+        self.packed = Memo(self._ids, MEMO)
         self.part = Memo(self._whole, MEMO)
         self.after_space = Memo(lambda part: self._packed(part if part[0] == "\n" else " " + part), MEMO)
         self.segment = Memo(self._packed, MEMO)
 
-    def merged(self, text: str) -> list[str]:
-        """BPE itself: of all neighbours the pair that makes the best piece is merged, the leftmost first. For short texts."""
+    def merges(self, text: str) -> Iterator[tuple[list[str], int]]:
+        """BPE itself: of all neighbours the pair that makes the best piece is merged, the leftmost first. For short texts.
+
+        (parts, rank of the piece that is merged next) before each merge and, with NEVER, after the last.
+        """
         parts = list(text)
-        while len(parts) > 1:
-            made = [(self.rank.get(a + b, 1 << 40), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-            best, k = min(made)
-            if best == 1 << 40:
-                break
+        while True:
+            best, k = min(((self.rank.get(a + b, NEVER), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(NEVER, 0))
+            yield parts, best
+            if best == NEVER:
+                return
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    def merged(self, text: str) -> list[str]:
+        """What BPE makes of a short text."""
+        for parts, _ in self.merges(text):
+            pass
         return parts
 
+    def _ends(self, piece: str) -> list[tuple[str, str, int]] | None:
+        """(first part, last part, rank of the next merge) as BPE makes the piece of its characters; None if it makes something else."""
+        out = [(parts[0], parts[-1], rank) for parts, rank in self.merges(piece)]
+        return out if out[-1][0] == piece else None
+
     def compile(self, m: Machine) -> None:
-        """Tables of the composed machine: the next state by character, and the pieces written at a state."""
+        """Tables of the composed machine: the next state by character, and what is written on the way to a state, the longest first."""
         none: dict = {}
         self.root = next(to for arcs in m.arcs for _, writes, _, to in arcs if writes != EPS)
         self.step = [{reads: to for reads, _, _, to in arcs if reads != EPS} or none for arcs in m.arcs]
-        self.written = [[(writes, w) for _, writes, w, _ in arcs if writes != EPS] for arcs in m.arcs]
+        #: state -> (piece, weight) of itself and of the states before it
+        self.written: list[tuple[tuple[str, float], ...]] = [()] * len(m.arcs)
+        wait = [self.root]
+        while wait:
+            at = wait.pop()
+            for to in self.step[at].values():
+                self.written[to] = (*((writes, w) for _, writes, w, _ in m.arcs[to] if writes != EPS), *self.written[at])
+                wait.append(to)
+        self.longest = max(len(w[0][0]) for w in self.written if w)
 
     def weigh(self, s: str, t: str) -> float:
         """The weight of the grammar's arc from s to t, kept in the row of s; the start of a text is the empty piece."""
-        weight = 0.0 if self.merged(s + t) == ([s, t] if s else [t]) else INFINITE
+        weight = 0.0 if self._apart(s, t) else INFINITE
         self.n_arcs += 1
         if self.n_arcs > ARCS:
             self.grammar.clear()
@@ -166,52 +195,79 @@ class Transducer:
         self.grammar.setdefault(s, {})[t] = weight
         return weight
 
-    def best_path(self, text: str) -> list[str]:
-        """The pieces of a part of a text: the shortest path through lexicon and grammar, forward from each position."""
-        n, step, written, grammar, root = len(text), self.step, self.written, self.grammar, self.root
-        # position -> last piece -> (weight, piece before it, where it begins)
-        best: list[dict[str, tuple] | None] = [None] * (n + 1)
-        best[0] = {"": (0.0, "", 0)}
-        for begin in range(n):
-            here = best[begin]
-            if here is None:
-                continue
-            at, end = step[root].get(text[begin]), begin + 1
-            found = written[at] if at is not None else [(text[begin], 0.0)]  # a character that the lexicon doesn't know
-            while True:
-                for piece, weight in found:
-                    for last, (so_far, *_) in here.items():
-                        row = grammar.get(last)
-                        arc = row.get(piece) if row else None
-                        total = so_far + weight + (self.weigh(last, piece) if arc is None else arc)
-                        if total < INFINITE:
-                            there = best[end]
-                            if there is None:
-                                best[end] = {piece: (total, last, begin)}
-                            elif piece not in there or total < there[piece][0]:
-                                there[piece] = (total, last, begin)
-                if at is None or end == n:
+    def _apart(self, s: str, t: str) -> bool:
+        """Whether BPE splits s + t into s and t.
+
+        Until it merges across the border, it merges within s as it does in s alone and within t as in t alone, whichever
+        is next by rank, of equal ranks the left one. So the merges of both are gone through once, and the pieces at the
+        border must never be the next to be merged.
+        """
+        left, right, rank = self.ends[s] if s else [("", "", NEVER)], self.ends[t], self.rank
+        if left is None or right is None:
+            return False
+        i = j = 0
+        while s:
+            (_, a, next_left), (b, _, next_right) = left[i], right[j]
+            across = rank.get(a + b, NEVER)
+            if across < next_left and across <= next_right:
+                return False
+            if next_left == next_right:
+                if next_left == NEVER:
                     break
-                at = step[at].get(text[end])
-                if at is None:
-                    break
-                end += 1
-                found = written[at]
-        out, end = [], n
-        piece = min(best[n], key=lambda p: best[n][p][0])
-        while end:
-            out.append(piece)
-            _, piece, end = best[end][piece]
+                i += 1
+            elif next_left < next_right:
+                i += 1
+            else:
+                j += 1
+        return True
+
+    def best_path(self, text: str) -> list[str]:
+        """The pieces of a part of a text: the shortest path through lexicon and grammar.
+
+        Arcs are relaxed one at a time. One that adds nothing to the weight is followed at once, since nothing that waits
+        is lighter, and the other arcs of its state wait with that weight.
+        """
+        n, step, written, grammar, root, longest = len(text), self.step, self.written, self.grammar, self.root, self.longest
+        found: dict[tuple[int, str], tuple[float, str]] = {}  # (position, last piece) -> (weight, piece before it)
+        queue: list[tuple] = []  # (weight, -position, last piece, its arcs not yet relaxed or None for all)
+        so_far, begin, last, arcs = 0.0, 0, "", None
+        while begin < n:
+            if arcs is None:
+                at = root
+                for c in text[begin : begin + longest]:
+                    to = step[at].get(c)
+                    if to is None:
+                        break
+                    at = to
+                arcs = iter(written[at] or ((text[begin], 0.0),))  # else a character that the lexicon doesn't know
+            row = grammar.get(last, {})
+            for piece, weight in arcs:
+                arc = row.get(piece)
+                total = so_far + weight + (self.weigh(last, piece) if arc is None else arc)
+                if total < INFINITE:
+                    state = begin + len(piece), piece
+                    if state not in found or total < found[state][0]:
+                        found[state] = total, last
+                        if total == so_far:
+                            heappush(queue, (so_far, -begin, last, arcs))
+                            begin, last = state
+                            arcs = None
+                            break
+                        heappush(queue, (total, -state[0], piece, None))
+            else:
+                so_far, begin, last, arcs = heappop(queue)
+                begin = -begin
+        out = []
+        while begin:
+            out.append(last)
+            begin, last = begin - len(last), found[begin, last][1]
         return out[::-1]
 
+    def _ids(self, piece: str) -> bytes:
+        return np.array([self.ids[piece]] if piece in self.ids else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")], "<u4").tobytes()
+
     def _whole(self, part: str) -> bytes:
-        out: list[int] = []
-        for piece in self.best_path(part):
-            if piece in self.ids:
-                out.append(self.ids[piece])
-            else:
-                out += [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
-        return np.array(out, "<u4").tobytes()
+        return b"".join([self.packed[piece] for piece in self.best_path(part)])
 
     def _packed(self, text: str) -> bytes:
         """Parts between which no piece reaches have paths of their own."""
