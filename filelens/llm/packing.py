@@ -11,7 +11,8 @@ padding. A task has a number of its own in the high bits of ``sequence_id``. It
 document.
 
 Edge cases: a null or empty text has the end id alone. A null id stays null. Repeated rows are packed once each. An
-empty table gives no pieces. Other columns are ignored.
+empty table gives no pieces. Other columns are ignored. A text of any length is encoded whole, with runs of white space of
+any length; its ids are held once.
 """
 
 from __future__ import annotations
@@ -20,26 +21,25 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm._common import Memo, map_rows, table
+from filelens.llm._common import map_rows, table
 
 CAPACITY = 1024
-#: Text segments whose ids a worker remembers at most (about 200 bytes each).
-MEMO = 250_000
+#: Runs of white space of this length and more don't go to tiktoken, whose search for their end takes stack for each character.
+LONG_RUN = 100_000
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 #: Unicode White_Space, as the pre-tokenizer's \s has it. Fixed values.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: No pre-token crosses from another character to white space, so a text may be cut there and its parts encoded apart.
-_SEGMENT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-#: Texts with other white space than single spaces and line ends between words take the general cut.
-_ODD = re.compile(f"[ \n][{_WS}]|[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|^[ \n]|[ \n]$(?!\n)")
+#: A long run and the word after it. No pre-token crosses from another character to white space, so a text may be cut there.
+_LONG = re.compile(f"((?<![{_WS}])[{_WS}]{{{LONG_RUN},}}+[^{_WS}]*)")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -56,9 +56,9 @@ def packed(ids: list[int]) -> bytes:
 class Ids:
     """The ids of a tokenizer file (byte-level BPE of the library ``tokenizers``) as little-endian 32-bit bytes.
 
-    Parts of a text between white space are encoded apart and remembered, up to MEMO of them in each of two generations.
     The file's merges are run by tiktoken, which takes the lowest id first; that is the same order as the file's, and is
-    checked when the file is read. The file's added tokens are found in the texts and keep their own ids.
+    checked when the file is read. White space of LONG_RUN characters and more, with the word after it, goes to the
+    library ``tokenizers``. The file's added tokens are found in the texts and keep their own ids.
     """
 
     def __init__(self, tokenizer_path: str, pattern: str | None = None):
@@ -78,8 +78,7 @@ class Ids:
             raise ValueError(f"{tokenizer_path}: the merges aren't in the order of their ids")
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i <= merged[-1] and all(c in byte for c in t)}
         self.encode = tiktoken.Encoding("file", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.after_space = Memo(lambda part: packed(self.encode(part if part[0] == "\n" else " " + part)), MEMO)
-        self.whole = Memo(lambda part: packed(self.encode(part)), MEMO)
+        self.path = tokenizer_path
         self.added = {t["content"]: packed([t["id"]]) for t in added}
         # The longest first among those that begin at the same place.
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
@@ -91,10 +90,23 @@ class Ids:
         return b"".join(self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(self.marks.split(text)) if x)
 
     def _plain(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return b"".join(map(self.whole.__getitem__, _SEGMENT.findall(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.whole[first] + b"".join(map(self.after_space.__getitem__, rest))
+        if len(text) < LONG_RUN:
+            return packed(self.encode(text))
+        return b"".join(packed(self.library.encode(x, add_special_tokens=False).ids if k % 2 else self.encode(x)) for k, x in enumerate(_LONG.split(text)) if x)
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True  # those in the text are cut out before
+        return found
+
+
+@lru_cache(maxsize=2)
+def ids_of(tokenizer_path: str) -> Ids:
+    """One for all tasks of a worker."""
+    return Ids(tokenizer_path)
 
 
 class HarmonicPacker:
@@ -172,7 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     class Step:
         def __init__(self) -> None:
-            self.ids = Ids(tokenizer_path)
+            self.ids = ids_of(tokenizer_path)
             self.packer = HarmonicPacker(capacity, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
 
         def __call__(self, row: tuple) -> Iterable[tuple]:

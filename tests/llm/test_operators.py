@@ -210,6 +210,23 @@ def test_ids_equal_the_tokenizers(docs):
         assert np.frombuffer(ids.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+@pytest.mark.parametrize("run", [" " * 3_000_000, "\t" * 1_000_000, "\n" * 1_000_000, " \n" * 500_000, "\u3000 " * 100_000])
+def test_ids_of_long_white_space(run):
+    """tiktoken alone ends in a panic at runs of a million."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, ids = Tokenizer.from_file(path), packing.ids_of(path)
+    for text in ["a" + run + "word  two" + run, run + "a<|endoftext|>"]:
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_white_space(spark):
+    text = "a" + " " * 1_000_000 + "b"
+    pieces = packing.pack(spark.createDataFrame([(1, text), (2, "c")], "doc_id bigint, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {1: len(packing.ids_of(public_tokenizers.path("byte_bpe_50k.json")).of(text)) // 4 + 1, 2: 2}
+
+
 # substring dedup
 
 
