@@ -9,6 +9,8 @@ So the pieces are counted by length, and the *counts* are packed:
     all its lengths allow, so each step uses up a length.
   * If none fills it, the longest piece that fits is put in (the best fit), and what is left of the gap is looked up
     again. A bin whose gap nothing fits is closed with that padding.
+  * Among combinations of equally many lengths the index may prefer the one with the longest, the one of most alike
+    lengths, or one between. All three packings are made and the one with the fewest bins is taken.
 
 The result is a list of patterns with the number of their bins, at most a few for each length. It is all that the driver
 holds and the tasks are sent: its size depends on the capacity alone.
@@ -45,6 +47,9 @@ END_ID = 2
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, place bigint"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
+#: Which of several combinations that fill a gap is taken.
+PREFERENCES = (1.0, 0.5, 0.0)
+
 #: Bits of a key for a piece's number among those of its length; the length is above them.
 _NUMBER_BITS = 48
 
@@ -53,11 +58,12 @@ class Complements:
     """Sums of one, two and three lengths that are still there, by the gap that they fill.
 
     A length that is used up never comes back, so what is found unavailable is dropped from the index. The combinations
-    of a gap are listed when the gap first comes up, and kept while it is the last one asked for.
+    of a gap are listed when the gap first comes up, and kept while it is the last one asked for. ``prefer`` is where in
+    their order, from most alike (0) to the one with the longest (1), one is taken.
     """
 
-    def __init__(self, left: np.ndarray):
-        self.left, self.gap, self.pairs, self.triples = left, -1, None, None
+    def __init__(self, left: np.ndarray, prefer: float):
+        self.left, self.prefer, self.gap, self.pairs, self.triples = left, prefer, -1, None, None
 
     def _available(self, rows: np.ndarray) -> np.ndarray:
         """Of rows of lengths, each from the greatest to the smallest, those whose lengths are there as often as needed."""
@@ -81,27 +87,34 @@ class Complements:
             parts.append(np.insert(pairs, 0, first, axis=1))
         return np.concatenate(parts) if parts else np.empty((0, 3), np.int64)
 
+    def _one_of(self, rows: np.ndarray) -> tuple[int, ...] | None:
+        return tuple(map(int, rows[round(self.prefer * (len(rows) - 1))])) if len(rows) else None
+
     def filling(self, gap: int) -> tuple[int, ...] | None:
-        """The combination of fewest lengths that fills the gap, the one with the longest among these."""
+        """A combination that fills the gap: a single length, else of two, else of three."""
         if self.left[gap]:
             return (gap,)
         if gap != self.gap:
             self.gap, self.pairs, self.triples = gap, self._pairs_of(gap), None
         self.pairs = self._available(self.pairs)
         if len(self.pairs):
-            return tuple(map(int, self.pairs[-1]))
+            return self._one_of(self.pairs)
         if self.triples is None:
             self.triples = self._triples_of(gap)
         self.triples = self._available(self.triples)
-        return tuple(map(int, self.triples[-1])) if len(self.triples) else None
+        return self._one_of(self.triples)
 
 
 def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of bins) that hold ``counts[length]`` pieces of each length."""
+    """(lengths, number of bins) that hold ``counts[length]`` pieces of each length, in the fewest bins of PREFERENCES."""
+    return min((_patterns(counts, capacity, x) for x in PREFERENCES), key=lambda found: sum(bins for _, bins in found))
+
+
+def _patterns(counts: dict[int, int], capacity: int, prefer: float) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    index, out = Complements(left), []
+    index, out = Complements(left, prefer), []
     while True:
         there = np.flatnonzero(left)
         if not len(there):
