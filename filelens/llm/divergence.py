@@ -2,7 +2,7 @@
 
 Each language keeps the terms that at least ``min_docs`` of its documents have. A kept term of a language is one wide
 vector: its counts in an array indexed by the language's sources. JVM higher-order functions turn the vector into
-probabilities (in billionths, smoothed) and emit what it adds to each ordered pair of sources; the sums are combined
+probabilities (in billionths, smoothed) and emit what it adds to each pair of sources, both ways; the sums are combined
 before the exchange. Terms whose vectors are equal add the same and are counted first, so the long tail of rare terms is
 emitted once per vector. Where both sources lack a term it adds a constant, which is multiplied and not emitted: work
 follows the counts that aren't 0.
@@ -35,7 +35,7 @@ from filelens.llm._common import BATCH_ROWS, beside, cut, table
 
 MIN_DOCS, TOP = 3, 200
 #: Entries and bytes of text after which a task hands its counts on.
-HELD_TERMS, HELD_BYTES = 200_000, 64 << 20
+HELD_TERMS, HELD_BYTES = 500_000, 64 << 20
 
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 
@@ -113,12 +113,14 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
         F.explode(
             F.expr(
                 """flatten(transform(sequence(0, size(p) - 1), i ->
-                     transform(filter(if(array_contains(has, i), sequence(0, size(p) - 1), has), j -> j != i),
-                       j -> struct(i, j, (p[i] - p[j]) * (p[i] - p[j]) div p[j] AS f))))"""
+                     transform(filter(if(array_contains(has, i), sequence(0, size(p) - 1), has), j -> j > i),
+                       j -> struct(i, j, (p[i] - p[j]) * (p[i] - p[j]) div p[j] AS f, (p[i] - p[j]) * (p[i] - p[j]) div p[i] AS g))))"""
             )
         ).alias("x"),
     )
-    sums = emitted.groupBy("lang", F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(F.sum(F.col("x.f") * F.col("copies")).alias("f"), F.sum("copies").alias("met"))
+    added = lambda c: F.sum(F.col(f"x.{c}") * F.col("copies")).alias(c)
+    once = emitted.groupBy("lang", F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(added("f"), added("g"), F.sum("copies").alias("met"))
+    sums = once.select("lang", "i", "j", "f", "met").unionByName(once.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), F.col("g").alias("f"), "met"))
     # A language without kept terms has totals of 0 and nothing to multiply.
     absent = langs.withColumn("z", F.expr(f"transform(totals, n -> {_billionths('0L', 'greatest(n, 1L)')})"))
     ordered = absent.select("lang", "terms", "z", "sources", F.posexplode("sources").alias("i", "source")).select("lang", "terms", "z", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
