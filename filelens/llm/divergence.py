@@ -120,7 +120,8 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     )
     added = lambda c: F.sum(F.col(f"x.{c}") * F.col("copies")).alias(c)
     once = emitted.groupBy("lang", F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(added("f"), added("g"), F.sum("copies").alias("met"))
-    sums = once.select("lang", "i", "j", "f", "met").unionByName(once.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), F.col("g").alias("f"), "met"))
+    ways = F.array(F.struct("i", "j", "f"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("g").alias("f")))
+    sums = once.select("lang", "met", F.explode(ways).alias("w")).select("lang", "w.*", "met")
     # A language without kept terms has totals of 0 and nothing to multiply.
     absent = langs.withColumn("z", F.expr(f"transform(totals, n -> {_billionths('0L', 'greatest(n, 1L)')})"))
     ordered = absent.select("lang", "terms", "z", "sources", F.posexplode("sources").alias("i", "source")).select("lang", "terms", "z", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
