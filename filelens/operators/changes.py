@@ -7,12 +7,12 @@ many changes is one record per task).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filelens.operators.numbering import numbered
 from filelens.operators.tree import orphan_sweep
 from filelens.schema import BASE_COLUMNS, ROOT_PARENT
-from filelens.storage import settled
 
 LOG_SCHEMA = "seq bigint, op string, id bigint, parent_id bigint, size bigint, mtime bigint, ctime bigint, is_dir boolean, name string"
 
@@ -31,16 +31,39 @@ def last_state(log: DataFrame, key: str = "id") -> DataFrame:
     return last_change(log, key).where(F.col("op") != "R")
 
 
+def net_changes(log: DataFrame) -> DataFrame:
+    """One change per id, as (op, base columns): A is added or replaced and has its final values, R is gone, U has the last size and times.
+
+    An update counts only after the last time its id was added; before it, it was another entry's. All of it is one
+    aggregation, combined before the exchange. ``seq`` may be a number or a struct of numbers.
+    """
+    when = lambda op, value: F.when(F.col("op") == op, value)
+    at = F.col("seq")
+    last = log.groupBy("id").agg(
+        F.max_by(when("A", F.struct("parent_id", "name", "is_dir", "size", "mtime", "ctime")), when("A", at)).alias("a"),
+        F.max(when("A", at)).alias("added"),
+        F.max(when("R", at)).alias("removed"),
+        F.max_by(when("U", F.struct("size", "mtime", "ctime")), when("U", at)).alias("u"),
+        F.max(when("U", at)).alias("updated"),
+    )
+    gone = F.col("removed").isNotNull() & (F.col("added").isNull() | (F.col("removed") > F.col("added")))
+    counts = F.col("updated").isNotNull() & (F.col("added").isNull() | (F.col("updated") > F.col("added")))
+    laid = lambda c: F.coalesce(F.when(counts, F.col(f"u.{c}")), F.col(f"a.{c}")).alias(c)
+    op = F.when(gone, "R").when(F.col("added").isNotNull(), "A").otherwise("U")
+    return last.select(op.alias("op"), "id", "a.parent_id", "a.name", "a.is_dir", laid("size"), laid("mtime"), laid("ctime"))
+
+
+def laid_over(base: DataFrame, net: DataFrame) -> DataFrame:
+    """Base rows after net changes."""
+    over = net.select(F.col("id").alias("_id"), F.col("op").alias("_op"), *(F.col(c).alias(f"_{c}") for c in ("size", "mtime", "ctime")))
+    kept = base.select(BASE_COLUMNS).join(over, F.col("id") == F.col("_id"), "left").where("_op is null or _op = 'U'")
+    left = kept.select("id", "parent_id", "name", "is_dir", *(F.coalesce(f"_{c}", c).alias(c) for c in ("size", "mtime", "ctime")))
+    return left.unionByName(net.where("op = 'A'").select(BASE_COLUMNS))
+
+
 def apply_log(base: DataFrame, log: DataFrame) -> DataFrame:
-    """Base rows after a log, whose ``seq`` may be a number or a struct of numbers: adds united, removals anti-joined, updates laid over. Children of removed folders stay until a sweep."""
-    adds = last_change(log.where("op = 'A'")).select(BASE_COLUMNS)
-    live = base.select(BASE_COLUMNS).join(adds.select("id"), "id", "left_anti").select(BASE_COLUMNS).unionByName(adds)
-    removed = log.where("op = 'R'").groupBy("id").agg(F.max("seq").alias("gone"))
-    readded = log.where("op = 'A'").groupBy("id").agg(F.max("seq").alias("back"))
-    dead = removed.join(readded, "id", "left").where(F.col("back").isNull() | (F.col("gone") > F.col("back"))).select("id")
-    over = last_change(log.where("op = 'U'")).select("id", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("ctime").alias("_ctime"))
-    laid = live.join(dead, "id", "left_anti").join(over, "id", "left")
-    return laid.select("id", "parent_id", "name", "is_dir", *(F.coalesce(f"_{c}", c).alias(c) for c in ("size", "mtime", "ctime"))).select(BASE_COLUMNS)
+    """Base rows after a log: one join with the net changes. Children of removed folders stay until a sweep."""
+    return laid_over(base, net_changes(log))
 
 
 def added(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -65,23 +88,6 @@ def diff(before: DataFrame, after: DataFrame, first_seq: int = 0) -> DataFrame:
     return numbered(r.unionByName(a).unionByName(u), [rank, F.col("id")], "seq", first_seq)
 
 
-def numbered(rows: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
-    """Rows with dense numbers in a total order, without a task that sees them all.
-
-    Rows are sorted by range; the sizes of the ranges (one number per partition, on the driver) give each range its first
-    number, and a window inside the range does the rest.
-    """
-    held = settled(rows.select("*", F.struct(*order).alias("_order")).sort("_order").withColumn("_part", F.spark_partition_id()))
-    start, firsts = first, []
-    for part, n in sorted(held.groupBy("_part").count().collect()):
-        firsts.append((part, start))
-        start += n
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_order")) - 1
-    offsets = rows.sparkSession.createDataFrame(firsts, "_part int, _first bigint")
-    out = held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_first") + within)
-    return out.select(name, *[c for c in rows.columns if c != name])
-
-
 def compact(rows: DataFrame, dead: DataFrame | None = None) -> DataFrame:
     """One snapshot of live entries in path order with dense new ids; entries below dead ones go too. ``rows`` have paths."""
     live = orphan_sweep(rows, dead) if dead is not None else rows

@@ -59,7 +59,10 @@ def _under(n: Under, resolve: Resolve) -> Column:
         return F.lit(False)
     if not n.deep:
         return F.col("parent_id") == folder.id
-    return (F.col("root_id") == folder.root_id) & F.col("path").startswith(folder.path if folder.path.endswith("/") else folder.path + "/") & (F.col("id") != folder.id)
+    prefix = folder.path if folder.path.endswith("/") else folder.path + "/"
+    # Stored entries are in the order of folded paths: their range prunes row groups, the path itself tells twins apart.
+    in_range = F.col("path_fold").startswith(nodes.fold(prefix))
+    return in_range & (F.col("root_id") == folder.root_id) & F.col("path").startswith(prefix) & (F.col("id") != folder.id)
 
 
 #: What a predicate costs per row, about; cheap ones are tested first.

@@ -258,7 +258,10 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches that each count from 0: copies of orders with keys divisible by 11 added, by 22 removed, by 44 added again."""
+    """Three batches that each count from 0: copies of orders with keys divisible by 11 added, by 22 removed, by 44 added again.
+
+    The copies are updated in the batch that adds them first (which those added again don't keep), those by 33 once more in the last.
+    """
     base = tables.order_tree_rows(spark, sf_dir)
     o = base.where("not is_dir").withColumn("k", F.col("id") - 10_000_000)
     null = lambda kind: F.lit(None).cast(kind)
@@ -266,7 +269,25 @@ def log_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda batch: F.struct(F.lit(batch).alias("batch"), (F.col("k") % 7).alias("seq")).alias("seq")
     adds = [o.where(f"k % {m} = 0").select(place(b), F.lit("A").alias("op"), *copy) for b, m in ((0, 11), (2, 44))]
     gone = o.where("k % 22 = 0").select(place(1), F.lit("R").alias("op"), (F.col("id") + 1_000_000_000).alias("id"), null("bigint").alias("parent_id"), null("bigint").alias("size"), null("bigint").alias("mtime"), null("bigint").alias("ctime"), null("boolean").alias("is_dir"), null("string").alias("name"))
-    return changes.apply_log(base, adds[0].unionByName(gone).unionByName(adds[1])).select("id", "parent_id", "name", "is_dir", "size", "mtime", "ctime")
+    values = lambda n: ((F.col("id") + 1_000_000_000).alias("id"), null("bigint").alias("parent_id"), (F.col("size") + n).alias("size"), F.lit(n).cast("bigint").alias("mtime"), F.lit(n).cast("bigint").alias("ctime"), null("boolean").alias("is_dir"), null("string").alias("name"))
+    later = lambda batch: F.struct(F.lit(batch).alias("batch"), (F.col("k") % 7 + 7).alias("seq")).alias("seq")
+    updates = o.where("k % 11 = 0").select(later(0), F.lit("U").alias("op"), *values(5)).unionByName(o.where("k % 33 = 0").select(later(2), F.lit("U").alias("op"), *values(9)))
+    return changes.apply_log(base, adds[0].unionByName(gone).unionByName(adds[1]).unionByName(updates)).select("id", "parent_id", "name", "is_dir", "size", "mtime", "ctime")
+
+
+def overlay_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log over the stored order tree: customers removed, moved to the next nation under new names, orders updated and added."""
+    from filelens.operators.overlay import overlay
+
+    stored = tables.order_tree(spark, sf_dir)
+    null = lambda kind: F.lit(None).cast(kind)
+    customers = stored.where("id between 10000 and 9999999").withColumn("k", F.col("id") - 10_000)
+    orders = stored.where("not is_dir").withColumn("k", F.col("id") - 10_000_000)
+    gone = _removed_customers(stored).select(F.lit(0).cast("bigint").alias("seq"), F.lit("R").alias("op"), "id", *(null(t).alias(c) for c, t in (("parent_id", "bigint"), ("size", "bigint"), ("mtime", "bigint"), ("ctime", "bigint"), ("is_dir", "boolean"), ("name", "string"))))
+    moved = customers.where("k % 10 = 5").select(F.lit(1).cast("bigint").alias("seq"), F.lit("A").alias("op"), "id", (1000 + (F.col("parent_id") - 999) % 25).alias("parent_id"), "size", "mtime", "ctime", "is_dir", F.concat("name", F.lit(" moved")).alias("name"))
+    updated = orders.where("k % 3 = 0").select(F.lit(2).cast("bigint").alias("seq"), F.lit("U").alias("op"), "id", null("bigint").alias("parent_id"), (F.col("size") + 7).alias("size"), F.lit(77).cast("bigint").alias("mtime"), F.lit(78).cast("bigint").alias("ctime"), null("boolean").alias("is_dir"), null("string").alias("name"))
+    added = orders.where("k % 11 = 0").select(F.lit(3).cast("bigint").alias("seq"), F.lit("A").alias("op"), (F.col("id") + 1_000_000_000).alias("id"), "parent_id", "size", "mtime", "ctime", "is_dir", F.concat("name", F.lit(".copy")).alias("name"))
+    return overlay(stored, gone.unionByName(moved).unionByName(updated).unionByName(added)).select("id", "parent_id", "path", "size", "mtime", "tree_depth")
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +379,21 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "log_of_batches": (
         log_of_batches,
         f"{ENTRIES}SELECT id, parent_id, name, is_dir, size, mtime, ctime FROM entries "
-        "UNION ALL SELECT id + 1000000000, parent_id, name || '.copy', is_dir, size, mtime, ctime FROM entries WHERE NOT is_dir AND (id - 10000000) % 11 = 0 AND ((id - 10000000) % 22 <> 0 OR (id - 10000000) % 44 = 0)",
+        "UNION ALL SELECT id + 1000000000, parent_id, name || '.copy', is_dir, CASE WHEN k % 33 = 0 THEN size + 9 WHEN k % 44 = 0 THEN size ELSE size + 5 END, "
+        "CASE WHEN k % 33 = 0 THEN 9 WHEN k % 44 = 0 THEN mtime ELSE 5 END, CASE WHEN k % 33 = 0 THEN 9 WHEN k % 44 = 0 THEN ctime ELSE 5 END "
+        "FROM (SELECT *, id - 10000000 AS k FROM entries WHERE NOT is_dir) WHERE k % 11 = 0 AND (k % 22 <> 0 OR k % 44 = 0)",
+    ),
+    "overlay_load": (
+        overlay_load,
+        """WITH n AS (SELECT n_nationkey AS nk, '/data/' || r_name || '/' || n_name AS path, n_name AS name, 1 + n_regionkey AS up FROM nation JOIN region ON n_regionkey = r_regionkey),
+        c AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 5 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS nk, c_name || CASE WHEN c_custkey % 10 = 5 THEN ' moved' ELSE '' END AS name FROM customer WHERE c_custkey % 10 <> 3),
+        cp AS (SELECT c_custkey, 1000 + nk AS up, n.path || '/' || c.name AS path FROM c JOIN n USING (nk)),
+        o AS (SELECT o_orderkey AS k, o_custkey, 'order_' || o_orderkey || '_' || o_orderpriority || CASE o_orderstatus WHEN 'F' THEN '.pdf' WHEN 'O' THEN '.PDF' ELSE '' END AS name,
+          floor(o_totalprice * 100)::BIGINT AS size, floor(epoch(o_orderdate))::BIGINT AS mtime FROM orders)
+        SELECT 0::BIGINT AS id, (-1)::BIGINT AS parent_id, '/data' AS path, 0::BIGINT AS size, 0::BIGINT AS mtime, 0 AS tree_depth
+        UNION ALL SELECT 1 + r_regionkey, 0, '/data/' || r_name, 0, 0, 1 FROM region UNION ALL SELECT 1000 + nk, up, path, 0, 0, 2 FROM n UNION ALL SELECT 10000 + c_custkey, up, path, 0, 0, 3 FROM cp
+        UNION ALL SELECT 10000000 + k, 10000 + o_custkey, path || '/' || name, CASE WHEN k % 3 = 0 THEN size + 7 ELSE size END, CASE WHEN k % 3 = 0 THEN 77 ELSE mtime END, 4 FROM o JOIN cp ON o_custkey = c_custkey
+        UNION ALL SELECT 1010000000 + k, 10000 + o_custkey, path || '/' || name || '.copy', size, mtime, 4 FROM o JOIN cp ON o_custkey = c_custkey WHERE k % 11 = 0""",
     ),
     "snapshot_diff": (
         snapshot_diff,

@@ -28,6 +28,8 @@ BASE_COLUMNS = BASE.names
 TREE_COLUMNS = ["root_id", "path", "tree_depth", "dir_primary"]
 DERIVED_COLUMNS = ["name_fold", "path_fold", "ext_fold", "stem_fold", "name_len", "slash_depth"]
 COLUMNS = BASE_COLUMNS + TREE_COLUMNS + DERIVED_COLUMNS
+#: Further columns of a stored table: the place in path order, and between which places the subtree of a folder lies.
+INTERVALS = ["place", "below_first", "below_last"]
 
 
 def with_derived(rows: DataFrame) -> DataFrame:

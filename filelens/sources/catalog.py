@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens.operators import changes, tree
+from filelens.operators.overlay import overlay
 from filelens.operators.search import Index
-from filelens.schema import BASE_COLUMNS
+from filelens.schema import COLUMNS
 from filelens.sources import config, filesystem
 from filelens.storage import settled, write_entries
 
@@ -91,7 +92,7 @@ class Catalog:
         """A new generation, which readers see once it is whole; ``unreadable`` is the number of folders that the scan couldn't enter."""
         generation = max(time.time_ns(), (self.current() or 0) + 1)
         at = f"{self.path}/gen={generation}"
-        write_entries(entries, f"{at}/entries")
+        write_entries(tree.with_intervals(settled(entries)), f"{at}/entries")
         self._write(f"gen={generation}/meta", json.dumps({"roots": roots, "built_at": int(time.time()) if built_at is None else built_at, "unreadable": unreadable}))
         self._write("CURRENT", str(generation))
         return self.load()
@@ -110,8 +111,8 @@ class Catalog:
         entries = self.spark.read.parquet(f"{self.path}/gen={generation}/entries")
         batches = self._batches(generation)
         if batches:
-            entries = tree.entries_of(changes.apply_log(entries.select(BASE_COLUMNS), self._log(generation, batches)))
-        return Snapshot(entries, generation, batches, tuple(meta.get("roots", ())), meta.get("built_at", 0), meta.get("unreadable", 0))
+            entries = overlay(entries, self._log(generation, batches))
+        return Snapshot(entries.select(COLUMNS), generation, batches, tuple(meta.get("roots", ())), meta.get("built_at", 0), meta.get("unreadable", 0))
 
     def load_or_build(self, c: config.Config) -> Snapshot:
         """Builds only where there is no index yet; any other failure is raised."""

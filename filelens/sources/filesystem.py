@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from filelens.operators.changes import numbered
+from filelens.operators.numbering import numbered
 from filelens.plans.values import seconds_of
 from filelens.schema import BASE_COLUMNS, ROOT_PARENT
 from filelens.sources.excludes import Excludes

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.operators.tree import with_paths
+from filelens.operators import tree
 from filelens.schema import BASE_COLUMNS, with_derived
-from filelens.storage import shared_folder, write_entries
+from filelens.storage import settled, shared_folder, write_entries
 
 #: The time that relative dates count from in queries over these tables: 2001-07-15 00:00 UTC.
 NOW = 995155200
@@ -43,8 +43,8 @@ def order_tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full table of the order tree, computed. Its four levels are known, so no level is counted first."""
-    return with_derived(with_paths(order_tree_rows(spark, sf_dir), levels=4))
+    """The full table of the order tree, computed."""
+    return tree.entries_of(order_tree_rows(spark, sf_dir))
 
 
 #: Stored indexes of this process: (application, sf_dir) -> the table.
@@ -61,7 +61,7 @@ def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _built:
         shared = shared_folder(spark)
         at = f"{shared}/order-tree-{uuid.uuid4().hex}"
-        write_entries(build_order_tree(spark, sf_dir), at)
+        write_entries(tree.with_intervals(settled(build_order_tree(spark, sf_dir))), at)
         _built[key] = spark.read.parquet(at)
     return _built[key]
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from filelens.operators.changes import LOG_SCHEMA, diff, numbered
+from filelens.operators.changes import LOG_SCHEMA, diff
+from filelens.operators.numbering import numbered
 from filelens.operators.search import absolute
 from filelens.schema import BASE_COLUMNS, ROOT_PARENT
 from filelens.sources import filesystem
