@@ -35,7 +35,7 @@ from filelens.llm._common import BATCH_ROWS, beside, cut, table
 
 MIN_DOCS, TOP = 3, 200
 #: Entries and bytes of text after which a task hands its counts on.
-HELD_TERMS, HELD_BYTES = 500_000, 64 << 20
+HELD_TERMS, HELD_BYTES = 200_000, 64 << 20
 
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 
@@ -113,7 +113,7 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
         F.explode(
             F.expr(
                 """flatten(transform(sequence(0, size(p) - 1), i ->
-                     transform(filter(if(array_contains(has, i), sequence(0, size(p) - 1), has), j -> j > i),
+                     transform(if(array_contains(has, i), slice(sequence(0, size(p) - 1), i + 2, size(p)), filter(has, j -> j > i)),
                        j -> struct(i, j, (p[i] - p[j]) * (p[i] - p[j]) div p[j] AS f, (p[i] - p[j]) * (p[i] - p[j]) div p[i] AS g))))"""
             )
         ).alias("x"),
