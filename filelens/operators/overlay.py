@@ -12,6 +12,7 @@ stored table is only ever the streamed side of joins with these tables, on colum
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -36,8 +37,32 @@ def _within(stored: DataFrame, tops: DataFrame) -> DataFrame:
     return stored.where(reduce(or_, (F.col("place").between(*r) for r in ranges)))
 
 
+@dataclass(frozen=True)
+class Delta:
+    """What a log does to a stored table: the ids that it takes the place of, their stored rows' kinds, and the rows in their place."""
+
+    ids: DataFrame
+    replaced: DataFrame
+    changed: DataFrame
+
+    def over(self, stored: DataFrame) -> DataFrame:
+        """The full table after the log."""
+        return stored.select(COLUMNS).join(self.ids, "id", "left_anti").unionByName(self.changed)
+
+    def counts(self, files: int, folders: int) -> tuple[int, int]:
+        """Files and folders after the log, from those before it: only the changes are counted."""
+        kinds = (F.count_if(~F.col("is_dir")), F.count_if(F.col("is_dir")))
+        (less_files, less_folders), (more_files, more_folders) = self.replaced.agg(*kinds).first(), self.changed.agg(*kinds).first()
+        return files - less_files + more_files, folders - less_folders + more_folders
+
+
 def overlay(stored: DataFrame, log: DataFrame) -> DataFrame:
     """The full table after the log. ``stored`` has COLUMNS and INTERVALS, the log is as ``apply_log`` takes it."""
+    return delta(stored, log).over(stored)
+
+
+def delta(stored: DataFrame, log: DataFrame) -> Delta:
+    """The changes of the log, with everything below changed folders, placed."""
     net = settled(net_changes(log))
     structural = net.where("op <> 'U'").select("id")
     named = net.select(F.col("id").alias("_id"), F.col("op").alias("_op"))
@@ -66,4 +91,5 @@ def overlay(stored: DataFrame, log: DataFrame) -> DataFrame:
     updated = stays.join(values, "id").withColumns({c: F.coalesce(f"_{c}", c) for c in ("mtime", "ctime")} | {"size": F.when(F.col("is_dir"), 0).otherwise(F.coalesce("_size", "size")).cast("bigint")})
     changed = settled(placed.unionByName(updated.select(COLUMNS)))
     ids = settled(net.select("id").unionByName(affected.select("id")).distinct())
-    return stored.select(COLUMNS).join(ids, "id", "left_anti").unionByName(changed.select(COLUMNS))
+    replaced = settled(old.select("id", "is_dir").unionByName(affected.select("id", "is_dir")).distinct())
+    return Delta(ids, replaced, changed.select(COLUMNS))

@@ -5,6 +5,11 @@
     <dir>/gen=<g>/meta         roots and times
     <dir>/gen=<g>/changes      the log since then, a Parquet folder per batch
 
+A generation's meta and, for each batch, a file ``_state`` that is renamed into place with it tell of the state there: how
+many files and folders it has, the greatest id ever used (ids of removed entries never come back), and the last micro
+batch of each stream that the log holds. A micro batch that a stream gives again after a failure is known by this and left
+out, so each is applied once; and a status needs no entry.
+
 A generation never changes once CURRENT names it; a snapshot that was opened stays what it was while later ones are
 written. All files go through Hadoop's file systems, so the folder may be anywhere that Spark can write.
 """
@@ -14,14 +19,14 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens.operators import changes, tree
-from filelens.operators.overlay import overlay
+from filelens.operators.overlay import delta, overlay
 from filelens.operators.search import Index
 from filelens.schema import COLUMNS
 from filelens.sources import config, filesystem
@@ -41,6 +46,15 @@ class Snapshot(Index):
     roots: tuple[str, ...] = ()
     built_at: int = 0
     unreadable: int = 0
+    #: The last micro batch of each stream that is in this state.
+    applied: dict[str, int] = field(default_factory=dict)
+    files: int = 0
+    folders: int = 0
+    top_id: int = -1
+
+    def stats(self) -> DataFrame:
+        """(files, folders), from what the catalog keeps of each state: no entry is read."""
+        return self.entries.sparkSession.createDataFrame([(self.files, self.folders)], "files bigint, folders bigint")
 
 
 class Catalog:
@@ -88,31 +102,43 @@ class Catalog:
         text = self._read("CURRENT")
         return int(text) if text else None
 
-    def publish(self, entries: DataFrame, roots: list[str], built_at: int | None = None, unreadable: int = 0) -> Snapshot:
+    def publish(self, entries: DataFrame, roots: list[str], built_at: int | None = None, unreadable: int = 0, applied: dict[str, int] | None = None) -> Snapshot:
         """A new generation, which readers see once it is whole; ``unreadable`` is the number of folders that the scan couldn't enter."""
         generation = max(time.time_ns(), (self.current() or 0) + 1)
         at = f"{self.path}/gen={generation}"
         write_entries(tree.with_intervals(settled(entries)), f"{at}/entries")
-        self._write(f"gen={generation}/meta", json.dumps({"roots": roots, "built_at": int(time.time()) if built_at is None else built_at, "unreadable": unreadable}))
+        files, folders, top = self.spark.read.parquet(f"{at}/entries").agg(F.count_if(~F.col("is_dir")), F.count_if(F.col("is_dir")), F.max("id")).first()
+        state = {"applied": applied or {}, "files": files, "folders": folders, "top_id": -1 if top is None else top}
+        self._write(f"gen={generation}/meta", json.dumps({"roots": roots, "built_at": int(time.time()) if built_at is None else built_at, "unreadable": unreadable} | state))
         self._write("CURRENT", str(generation))
         return self.load()
 
     def build(self, c: config.Config) -> Snapshot:
         """Scans the roots and publishes what it finds."""
         scanned = settled(filesystem.scan(self.spark, c.roots, c.excludes))
-        return self.publish(tree.entries_of(filesystem.base_rows(scanned)), c.roots, unreadable=scanned.where("unreadable").count())
+        before = self.current()
+        applied = {} if before is None else self._state(before, self._batches(before))["applied"]
+        return self.publish(tree.entries_of(filesystem.base_rows(scanned)), c.roots, unreadable=scanned.where("unreadable").count(), applied=applied)
+
+    def _meta(self, generation: int) -> dict:
+        return json.loads(self._read(f"gen={generation}/meta"))
+
+    def _state(self, generation: int, batches: int) -> dict:
+        text = self._read(f"gen={generation}/changes/batch={batches - 1}/_state") if batches else None
+        meta = json.loads(text) if text else self._meta(generation)
+        return {k: meta[k] for k in ("applied", "files", "folders", "top_id")}
+
+    def _stored(self, generation: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/gen={generation}/entries")
 
     def load(self) -> Snapshot:
-        """The current generation with its log applied. Raises FileNotFoundError if there is none."""
+        """The current generation with its log laid over it. Raises FileNotFoundError if there is none."""
         generation = self.current()
         if generation is None:
             raise FileNotFoundError(f"no index in {self.path}")
-        meta = json.loads(self._read(f"gen={generation}/meta") or "{}")
-        entries = self.spark.read.parquet(f"{self.path}/gen={generation}/entries")
-        batches = self._batches(generation)
-        if batches:
-            entries = overlay(entries, self._log(generation, batches))
-        return Snapshot(entries.select(COLUMNS), generation, batches, tuple(meta.get("roots", ())), meta.get("built_at", 0), meta.get("unreadable", 0))
+        stored, batches, meta = self._stored(generation), self._batches(generation), self._meta(generation)
+        entries = overlay(stored, self._log(generation, batches)) if batches else stored.select(COLUMNS)
+        return Snapshot(entries, generation, batches, tuple(meta["roots"]), meta["built_at"], meta["unreadable"], **self._state(generation, batches))
 
     def load_or_build(self, c: config.Config) -> Snapshot:
         """Builds only where there is no index yet; any other failure is raised."""
@@ -129,17 +155,39 @@ class Catalog:
         log = self.spark.read.schema(f"{changes.LOG_SCHEMA}, batch int").option("basePath", at).parquet(*(f"{at}/batch={k}" for k in range(batches)))
         return log.withColumn("seq", F.struct("batch", "seq")).drop("batch")
 
-    def append(self, snapshot: Snapshot, log: DataFrame) -> Snapshot:
+    def append(self, snapshot: Snapshot, log: DataFrame, origin: tuple[str, int] | None = None) -> Snapshot:
         """Adds a batch to the log of the snapshot's generation and opens the state after it.
 
+        ``origin``: the stream and the number of its micro batch that the log comes from, if from one. The snapshot is
+        returned as it is if it has that micro batch already; micro batches of a stream come in the order of their numbers.
+
         The batch is written aside and takes its number by a rename that fails where another writer has taken it.
         """
+        if origin and snapshot.applied.get(origin[0], -1) >= origin[1]:
+            return snapshot
         replaced = Replaced(f"generation {snapshot.generation} isn't the latest any more")
         if self.current() != snapshot.generation or self._batches(snapshot.generation) != snapshot.batches:
             raise replaced
+        held = settled(log.select([c.split()[0] for c in changes.LOG_SCHEMA.split(", ")]))
+        place = F.struct(F.lit(snapshot.batches).alias("batch"), "seq").alias("seq")
+        own = held.select(place, *[c for c in held.columns if c != "seq"])
+        stored = self._stored(snapshot.generation)
+        found = delta(stored, self._log(snapshot.generation, snapshot.batches).unionByName(own) if snapshot.batches else own)
+        files, folders = found.counts(*(self._meta(snapshot.generation)[k] for k in ("files", "folders")))
+        top = held.agg(F.max("id")).first()[0]
+        after = replace(
+            snapshot,
+            entries=found.over(stored),
+            batches=snapshot.batches + 1,
+            applied=snapshot.applied | ({origin[0]: origin[1]} if origin else {}),
+            files=files,
+            folders=folders,
+            top_id=max(snapshot.top_id, -1 if top is None else top),
+        )
         changes_at = f"gen={snapshot.generation}/changes"
         aside, fs = self._at(f"{changes_at}/.new-{uuid.uuid4().hex}")
-        log.write.parquet(aside.toString())
+        held.write.parquet(aside.toString())
+        self._write(f"{changes_at}/{aside.getName()}/_state", json.dumps({k: getattr(after, k) for k in ("applied", "files", "folders", "top_id")}))
         target, _ = self._at(f"{changes_at}/batch={snapshot.batches}")
         jvm = self.spark._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
@@ -150,7 +198,7 @@ class Catalog:
                 raise
             fs.delete(aside, True)
             raise replaced from e
-        return self.load()
+        return after
 
     def change_count(self, snapshot: Snapshot) -> int:
         return self._log(snapshot.generation, snapshot.batches).count() if snapshot.batches else 0
@@ -158,7 +206,7 @@ class Catalog:
     def compact(self, snapshot: Snapshot) -> Snapshot:
         """A new generation with the log worked in, dense ids in path order and no orphans."""
         rows = changes.compact(snapshot.entries)
-        return self.publish(tree.entries_of(rows), list(snapshot.roots), snapshot.built_at, snapshot.unreadable)
+        return self.publish(tree.entries_of(rows), list(snapshot.roots), snapshot.built_at, snapshot.unreadable, snapshot.applied)
 
     def compact_if_due(self, snapshot: Snapshot) -> Snapshot:
         if snapshot.batches and changes.compaction_due(self.change_count(snapshot), snapshot.entries.count()):
