@@ -102,7 +102,7 @@ def _catalog(o):
 
 
 def _search(o, write) -> int:
-    from filelens.operators.search import cli_page, ordered
+    from filelens.operators.search import cli_limits, order_keys, paged
     from filelens.output import Lines, written
 
     sort = values.sort_key(o.sort)
@@ -114,7 +114,7 @@ def _search(o, write) -> int:
         return 0
     color = o.color == "always" or o.color == "auto" and write == sys.stdout.write and sys.stdout.isatty() and not os.environ.get("NO_COLOR")
     lines = Lines("json" if o.json else "csv" if o.csv else "plain", o.size, o.dm, o.dc, o.name_only, o.null, color)
-    for text in written(cli_page(ordered(snapshot.hits(node), node, sort, o.descending), o.max_results, o.offset), lines):
+    for text in written(paged(snapshot.hits(node), order_keys(node, sort, o.descending), *cli_limits(o.max_results, o.offset)), lines):
         write(text)
     return 0
 

@@ -53,10 +53,10 @@ SIZE_UNITS = ("KB", "MB", "GB", "TB", "PB", "EB")
 
 
 def human_size(size: Column, is_dir: Column) -> Column:
-    """A size in the largest unit of 1024 that it fills, one decimal; <DIR> for folders; 9 wide."""
+    """A size in the largest unit of 1024 that it fills, one decimal, halves to the even digit; <DIR> for folders; 9 wide."""
     text = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in enumerate(SIZE_UNITS, 1):
-        text = F.when(size >= 1 << 10 * power, F.format_string(f"%.1f {unit}", size / float(1 << 10 * power))).otherwise(text)
+        text = F.when(size >= 1 << 10 * power, F.format_string(f"%.1f {unit}", F.bround(size / float(1 << 10 * power), 1))).otherwise(text)
     return F.lpad(F.when(is_dir, "<DIR>").otherwise(text), 9, " ")
 
 

@@ -12,12 +12,12 @@ _PLACE_BITS = 33
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
-    """``rows`` with dense numbers from ``first`` on, ties in any order.
+    """``rows`` with dense numbers from ``first`` on in the order of the sort keys, ties in any order.
 
     One range exchange: rows are sorted by range and settled with their partition and place. The sizes of the partitions
     (one number each, on the driver) give the first number of each, to which the place is added.
     """
-    held = settled(rows.select("*", F.struct(*order).alias("_order")).sort("_order").drop("_order").withColumn("_at", F.monotonically_increasing_id()))
+    held = settled(rows.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", _PLACE_BITS)
     start, firsts = first, []
     for part_id, n in sorted(held.groupBy(part.alias("part")).count().collect()):

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filelens.functions import columns as C
-from filelens.operators import changes, tree
+from filelens.operators import changes, search, tree
 from filelens.operators.search import Index
-from filelens.plans import parser, regex
+from filelens.plans import nodes, parser, regex
 from filelens.sources import tables
 from filelens.storage import shared_folder
 
@@ -165,6 +165,7 @@ SEARCHES: dict[str, Search] = {
     "rank_single": Search("nation_2", "contains(name_fold, 'nation_2')", "relevance", limit=20, order=f"{_score('nation_2')} DESC, tree_depth, name_fold, id"),
     "rank_multi": Search("order 1 low", "contains(name_fold, 'order') AND contains(name_fold, '1') AND contains(name_fold, 'low')", "relevance", limit=20, order=f"{_score('order', '1', 'low')} DESC, tree_depth, name_fold, id"),
     "rank_no_terms": Search("size:>1mb", "size >= 1048577", "rank", limit=20, order="name_fold, id"),
+    "rank_ignores_descending": Search("low", "contains(name_fold, 'low')", "relevance", True, 50, order=f"{_score('low')} DESC, tree_depth, name_fold, id"),
     "page_offset": Search("order", "contains(name_fold, 'order')", "size", limit=25, offset=40, order=f"size, {_NAME}"),
     # the reference benchmark's shapes
     "bench_relevance": Search("low", "contains(name_fold, 'low')", "relevance", limit=50, order=f"{_score('low')} DESC, tree_depth, name_fold, id"),
@@ -280,6 +281,10 @@ def overlay_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelens.operators.overlay import overlay
 
     stored = tables.order_tree(spark, sf_dir)
+    return overlay(stored, _moves(stored)).select("id", "parent_id", "path", "size", "mtime", "tree_depth")
+
+
+def _moves(stored: DataFrame) -> DataFrame:
     null = lambda kind: F.lit(None).cast(kind)
     customers = stored.where("id between 10000 and 9999999").withColumn("k", F.col("id") - 10_000)
     orders = stored.where("not is_dir").withColumn("k", F.col("id") - 10_000_000)
@@ -287,7 +292,58 @@ def overlay_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = customers.where("k % 10 = 5").select(F.lit(1).cast("bigint").alias("seq"), F.lit("A").alias("op"), "id", (1000 + (F.col("parent_id") - 999) % 25).alias("parent_id"), "size", "mtime", "ctime", "is_dir", F.concat("name", F.lit(" moved")).alias("name"))
     updated = orders.where("k % 3 = 0").select(F.lit(2).cast("bigint").alias("seq"), F.lit("U").alias("op"), "id", null("bigint").alias("parent_id"), (F.col("size") + 7).alias("size"), F.lit(77).cast("bigint").alias("mtime"), F.lit(78).cast("bigint").alias("ctime"), null("boolean").alias("is_dir"), null("string").alias("name"))
     added = orders.where("k % 11 = 0").select(F.lit(3).cast("bigint").alias("seq"), F.lit("A").alias("op"), (F.col("id") + 1_000_000_000).alias("id"), "parent_id", "size", "mtime", "ctime", "is_dir", F.concat("name", F.lit(".copy")).alias("name"))
-    return overlay(stored, gone.unionByName(moved).unionByName(updated).unionByName(added)).select("id", "parent_id", "path", "size", "mtime", "tree_depth")
+    return gone.unionByName(moved).unionByName(updated).unionByName(added)
+
+
+def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.order_tree(spark, sf_dir).select("id", C.human_size(F.col("size"), F.col("is_dir")).alias("shown"))
+
+
+def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain line of every entry, with all its columns."""
+    from filelens.output import Lines, plain_line
+
+    return tables.order_tree(spark, sf_dir).select("id", plain_line(Lines(size=True, modified=True, created=True)).alias("line"))
+
+
+def restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query narrowed to the files of a folder, as the command line's and the socket's options do it."""
+    node = nodes.restrict(parser.parse("low | urgent", parser.Defaults(now=tables.NOW)), "/data/asia", files=True)
+    return _index(spark, sf_dir).hits(node).select("id", "path")
+
+
+def restricted_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = nodes.restrict(parser.parse("", parser.Defaults(now=tables.NOW)), "/data/EUROPE/", folders=True)
+    return _index(spark, sf_dir).hits(node).select("id", "path")
+
+
+def page_negative_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a page of 30 a negative offset leaves 20."""
+    index, node = _index(spark, sf_dir), parser.parse("low", parser.Defaults(now=tables.NOW))
+    return search.paged(index.hits(node), search.order_keys(node, "size", True), *search.cli_limits(30, -10)).select(_SHOWN.split(", "))
+
+
+def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far down, found by the counts of ranges."""
+    index, node = _index(spark, sf_dir), parser.parse("file:", parser.Defaults(now=tables.NOW))
+    return search.deep_page(index.hits(node), search.order_keys(node, "size", True), 25, 1000).select(_SHOWN.split(", "))
+
+
+def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the first 40 results, from the cursor of the last of them."""
+    index, defaults = _index(spark, sf_dir), parser.Defaults(now=tables.NOW)
+    node = parser.parse("order", defaults)
+    last = search.cursor_of(index.search(node, "relevance", limit=40), node, "relevance").select("cursor.*").collect()[-1]
+    return index.search_after(node, tuple(last), "relevance", limit=25).select(_SHOWN.split(", "))
+
+
+def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and folders after the log of ``overlay_load``, from those before it and the changes alone."""
+    from filelens.operators.overlay import delta
+
+    stored = tables.order_tree(spark, sf_dir)
+    before = Index(stored).stats().first()
+    return spark.createDataFrame([delta(stored, _moves(stored)).counts(*before)], "files bigint, folders bigint")
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +400,8 @@ def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.order_tree(spark, sf_dir).where(~excludes.column(F.col("path"), F.col("name"))).select("id", "path")
 
 
+_SIZE = "lpad(CASE WHEN is_dir THEN '<DIR>' WHEN size >= 1073741824 THEN printf('%.1f GB', size / 1073741824.0) WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576.0) WHEN size >= 1024 THEN printf('%.1f KB', size / 1024.0) ELSE size || ' B' END, 9, ' ')"
+_SHORT = "strftime(make_timestamp({} * 1000000), '%Y-%m-%d %H:%M')"
 _TIME = "strftime(make_timestamp({} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 
 OTHERS: dict[str, tuple[Query, str]] = {
@@ -395,6 +453,18 @@ OTHERS: dict[str, tuple[Query, str]] = {
         UNION ALL SELECT 10000000 + k, 10000 + o_custkey, path || '/' || name, CASE WHEN k % 3 = 0 THEN size + 7 ELSE size END, CASE WHEN k % 3 = 0 THEN 77 ELSE mtime END, 4 FROM o JOIN cp ON o_custkey = c_custkey
         UNION ALL SELECT 1010000000 + k, 10000 + o_custkey, path || '/' || name || '.copy', size, mtime, 4 FROM o JOIN cp ON o_custkey = c_custkey WHERE k % 11 = 0""",
     ),
+    "state_counts": (
+        state_counts,
+        f"{ENTRIES}, o AS (SELECT id - 10000000 AS k, parent_id - 10000 AS c FROM entries WHERE NOT is_dir) SELECT (SELECT count(*) FILTER (c % 10 <> 3) + count(*) FILTER (c % 10 <> 3 AND k % 11 = 0) FROM o) AS files, "
+        "(SELECT count(*) FROM entries WHERE is_dir AND NOT (id BETWEEN 10000 AND 9999999 AND id % 10 = 3)) AS folders",
+    ),
+    "human_sizes": (human_sizes, f"{ENTRIES}SELECT id, {_SIZE} AS shown FROM entries"),
+    "plain_lines": (plain_lines, f"{ENTRIES}SELECT id, {_SIZE} || '  ' || {_SHORT.format('mtime')} || '  ' || CASE WHEN ctime = 0 THEN repeat(' ', 16) ELSE {_SHORT.format('ctime')} END || '  ' || path AS line FROM entries"),
+    "restricted": (restricted, f"{ENTRIES}SELECT id, path FROM entries WHERE (contains(name_fold, 'low') OR contains(name_fold, 'urgent')) AND starts_with(path, '/data/ASIA/') AND NOT is_dir"),
+    "restricted_folders": (restricted_folders, f"{ENTRIES}SELECT id, path FROM entries WHERE starts_with(path, '/data/EUROPE/') AND is_dir"),
+    "page_negative_offset": (page_negative_offset, f"{ENTRIES}SELECT {_SHOWN} FROM entries WHERE contains(name_fold, 'low') ORDER BY {_desc(f'size, {_NAME}')} LIMIT 20"),
+    "page_deep": (page_deep, f"{ENTRIES}SELECT {_SHOWN} FROM entries WHERE NOT is_dir ORDER BY {_desc(f'size, {_NAME}')} LIMIT 25 OFFSET 1000"),
+    "page_after": (page_after, f"{ENTRIES}SELECT {_SHOWN} FROM entries WHERE contains(name_fold, 'order') ORDER BY {_score('order')} DESC, tree_depth, name_fold, id LIMIT 25 OFFSET 40"),
     "snapshot_diff": (
         snapshot_diff,
         f"{ENTRIES}, o AS (SELECT *, id - 10000000 AS k FROM entries WHERE NOT is_dir) "

@@ -1,7 +1,7 @@
 """JSON lines over a Unix socket: searches and status.
 
 One thread per connection and one per request; a new request on a connection cancels the one before, by the Spark tag that
-its jobs carry. The total and the page come from one filtered frame.
+its jobs carry. The total is observed while the page is made, in one scan.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from filelens.functions import columns as C
-from filelens.operators.search import ordered, page
+from filelens.operators.search import DEEP, order_keys, paged
 from filelens.output import json_line
 from filelens.plans import nodes, parser, values
 from filelens.plans.nodes import QueryError
@@ -74,12 +75,20 @@ def search(snapshot: Snapshot, body: dict) -> str:
     defaults = parser.Defaults(_bool(body, "regex"), _bool(body, "case"), _bool(body, "whole_word"), _bool(body, "match_path"))
     node = nodes.restrict(parser.parse(_string(body, "query"), defaults), _string(body, "path"), _bool(body, "files"), _bool(body, "dirs"))
     hits = snapshot.hits(node)
-    total = hits.count()
     limit, offset = _int(body, "limit", DEFAULT_LIMIT), max(0, _int(body, "offset", 0))
-    lines = []
-    if limit and offset < total:
-        rows = page(ordered(hits, node, sort, _bool(body, "descending")), limit, offset)
-        lines = [r.line for r in rows.select(json_line().alias("line")).collect()]
+    lines, total, keys = [], None, order_keys(node, sort, _bool(body, "descending"))
+    if limit:
+        # A top-k scans the hits once. A sort by range reads them for its sample too, so nothing is observed then.
+        seen = Observation() if 0 < limit and offset <= DEEP else None
+        counted = hits.observe(seen, F.count(F.lit(1)).alias("total")) if seen else hits
+        lines = [r.line for r in paged(counted, keys, limit, offset).select(json_line().alias("line")).collect()]
+        # Without a line the plan may have been found empty, and nothing observed.
+        if lines and limit < 0:
+            total = offset + len(lines)
+        elif lines and seen:
+            total = seen.get["total"]
+    if total is None:
+        total = hits.count()
     return f'"total":{total},"elapsed_ms":{(time.monotonic() - began) * 1000:.6g},"results":[{",".join(lines)}]'
 
 
