@@ -1,12 +1,13 @@
 """Exact dedup: tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every input partition makes a run of (digest, smallest id, count): its records are combined before they leave it. The
-runs belong to 2**bits nodes, one partition each. In a binomial round each node sends its run, divided by ``RADIX_BITS``
-bits of the digest, to the partners whose numbers differ from its own in these bits only, and merges the parts that its
-partners send: records are dealt by node number, sorted by digest and folded into one record per digest, in the
-partition where they arrive. After the last round a node holds all that remains of its part of the digest space, one
-record per digest. A digest that a third of the rows share is one record per run before anything is exchanged and never
-gathers in one task. (Spark sorts what a node receives once more; it doesn't keep the order of the runs.)
+Every input partition is a run of records (digest, smallest id, count). The runs belong to 2**bits nodes, one partition
+each. In a binomial round each node sends its run, divided by ``RADIX_BITS`` bits of the digest, to the partners whose
+numbers differ from its own in these bits only, and merges the parts that its partners send: records are dealt by node
+number, sorted by digest and folded into one record per digest, in the partition where they arrive. The rounds are the
+only exchanges. After the last one a node holds all that remains of its part of the digest space, one record per digest.
+A digest that a third of the rows share is dealt in the first round to as many nodes as there are groups of partners, is
+one record in each from then on, and never gathers in one task. (Spark sorts what a node receives once more; it doesn't
+keep the order of the runs.)
 
 A record is matched on SHA-256, byte length and XXH64 together; that check is made again at every level, and two texts
 count as equal only if all three agree.
@@ -57,7 +58,7 @@ def tree_merge(runs: DataFrame, nodes: int | None = None) -> DataFrame:
     merged = (F.min("keep").alias("keep"), F.sum("n").alias("n"))
     leaf = F.spark_partition_id().bitwiseAND((1 << bits) - 1).alias("node")
     keep = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")).alias("keep")
-    level = runs.select(leaf, *RUN_KEY, keep, F.lit(1).cast("bigint").alias("n")).groupBy("node", *RUN_KEY).agg(*merged)
+    level = runs.select(leaf, *RUN_KEY, keep, F.lit(1).cast("bigint").alias("n"))
     shard = F.xxhash64("sha")
     for low in range(0, bits, RADIX_BITS):
         mask = ((1 << min(RADIX_BITS, bits - low)) - 1) << low
