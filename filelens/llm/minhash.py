@@ -4,14 +4,15 @@ PERMUTATIONS universal hash functions ((a h + b) mod 2**64) >> 32 run over all s
 operation; the smallest value of each makes the signature. The fingerprint keeps the low byte of each (b-bit MinHash), so
 likeness is the share of equal bytes, corrected for the 1/256 that agree by chance.
 
-Near duplicates: equal shingle sets are one node; nodes meet in BANDS bands of the signature, joined in Spark. In a bucket of
+Near duplicates: equal shingle sets are one node; nodes meet in bands of the signature, joined in Spark. In a bucket of
 up to SMALL members all are compared; in a larger one CENTRES of them are compared with all and the links make components.
 Members that are still in different components are told by what they differ in from the typical set of their group:
 two are compared only if they have enough of these differences in common, without which they can't be similar, and where they
 differ so little that they must be similar one comparison with the group's nearest member stands for all. A pair whose
 fingerprints could agree is verified by the exact Jaccard similarity of the shingle sets. So every two nodes that share a
 band are in one class if they are similar enough, and members of a large group that differ by changes of their own emit no
-pairs among themselves. Two sets of similarity 0.8 share no band with a chance of 5e-5.
+pairs among themselves. Bands are as wide as lets two sets of the least similarity asked for share one with a chance of SHARED: 25
+bands of 5 at 0.8 (5e-5 share none), 32 of 4 at 0.7, 42 of 3 at 0.6. A similarity too low for any width is an error.
 
 Edge cases: a null text is empty. Texts without words have one fingerprint of their own (all bytes 255). With fewer words
 than a shingle the whole sequence is the one shingle. The order of documents is descending id, then descending digest of the
@@ -36,7 +37,8 @@ from filelens.llm.simhash import components
 
 SHINGLE = 5
 PERMUTATIONS = 128
-BANDS, BAND = 25, 5
+#: Chance that two sets of the least similarity share a band, at least.
+SHARED = 0.999
 LIKENESS = 0.8
 #: Nodes of a bucket that all its members are compared with.
 CENTRES = 2
@@ -158,9 +160,18 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return map_rows(in_order(docs, classes, id_col, text_col), schema, Step)
 
 
-def bands(sig: np.ndarray) -> list[int]:
+def band_width(least: float) -> int:
+    """The values of a band: as many as let two sets of similarity ``least`` share a band with a chance of SHARED."""
+    fit = [w for w in range(1, PERMUTATIONS + 1) if 1 - (1 - least**w) ** (PERMUTATIONS // w) >= SHARED]
+    if not fit:
+        raise ValueError(f"{PERMUTATIONS} hash functions don't find sets of similarity {least}")
+    return max(fit)
+
+
+def bands(sig: np.ndarray, width: int) -> list[int]:
     """A hash of each band of a signature, as signed 64-bit numbers."""
-    return [int(np.uint64(xxhash.xxh64_intdigest(part.tobytes(), k)).view(np.int64)) for k, part in enumerate(sig[: BANDS * BAND].reshape(BANDS, BAND))]
+    n = PERMUTATIONS // width
+    return [int(np.uint64(xxhash.xxh64_intdigest(part.tobytes(), k)).view(np.int64)) for k, part in enumerate(sig[: n * width].reshape(n, width))]
 
 
 def shingle_set(text: bytes | None, fold: bool) -> np.ndarray:
@@ -213,7 +224,9 @@ def _by_differences(nodes: DataFrame, sets: DataFrame, least: float) -> DataFram
     of_cluster = lambda rows, *what: rows.groupBy("cluster", apart("cluster")).agg(*what).drop("_apart")
     whole = met(nodes, sets, "same")
     often = whole.select("cluster", F.explode("shingles").alias("s")).groupBy("cluster", "s").agg(F.count("*").alias("df")).where("df > 1")
-    most = met(often, of_cluster(nodes, F.count("*").alias("size")), "cluster").where(2 * F.col("df") > F.col("size"))
+    # One row per cluster: the rows of a large cluster stay where they are as long as these are few.
+    sizes = cut(of_cluster(nodes, F.count("*").alias("size")))
+    most = beside(often, sizes, "cluster", "inner", F.lit(24)).where(2 * F.col("df") > F.col("size"))
     typical = cut(of_cluster(most, F.collect_list("s").alias("typical")).withColumnRenamed("cluster", "_cluster"))
     base = F.coalesce("typical", F.array().cast("array<bigint>"))
     differs = F.concat(F.array_except("shingles", base), F.array_except(base, F.col("shingles")))
@@ -222,10 +235,10 @@ def _by_differences(nodes: DataFrame, sets: DataFrame, least: float) -> DataFram
     each = each.withColumn("d", F.size("differs")).withColumn("over", F.col("d") - slack * F.col("n"))
 
     # Roots that are similar to the cluster's nearest node in any case count as its root.
-    nearest = of_cluster(each, F.min(F.struct("over", "same", "root")).alias("nearest"))
+    nearest = cut(of_cluster(each, F.min(F.struct("over", "same", "root")).alias("nearest")))
     by_root = each.groupBy("cluster", "root").agg(F.min(F.struct("over", "same")).alias("one"))
     sure = F.col("one.over") + F.col("nearest.over") <= 1e-9
-    roots = cut(met(by_root, nearest, "cluster").select("root", F.when(sure, F.col("nearest.root")).otherwise(F.col("root")).alias("label"), F.col("one.same").alias("a"), F.col("nearest.same").alias("b"), F.col("nearest.over").alias("lowest")))
+    roots = cut(beside(by_root, nearest, "cluster", "inner", F.lit(48)).select("root", F.when(sure, F.col("nearest.root")).otherwise(F.col("root")).alias("label"), F.col("one.same").alias("a"), F.col("nearest.same").alias("b"), F.col("nearest.over").alias("lowest")))
 
     common = lambda x, y: F.greatest(F.lit(1), F.ceil((x + y) / 2 - 1e-9))
     listed = met(each, roots.select("root", "label", "lowest"), "root").select("cluster", "same", "label", "d", "over", common(F.col("over"), F.col("lowest")).alias("c"), F.explode("differs").alias("s"))
@@ -243,18 +256,19 @@ def _by_differences(nodes: DataFrame, sets: DataFrame, least: float) -> DataFram
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, fold: bool = False) -> DataFrame:
     """(doc_id, digest, root) of every row: rows with the same root are linked; ``digest`` is the SHA-256 of the text."""
 
+    width = band_width(least)
+
     def start():
         def step(row: tuple) -> Iterator[tuple]:
             hashes = shingle_set(row[1], fold)
             same = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
             sig = signature(hashes)
-            yield row[0], hashlib.sha256(row[1] or b"").digest(), same, len(hashes), bands(sig), sig.astype(np.uint8).tobytes()
+            yield row[0], hashlib.sha256(row[1] or b"").digest(), same, len(hashes), bands(sig, width), sig.astype(np.uint8).tobytes()
 
         return step
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     own = cut(map_rows(rows, "doc_id bigint, digest binary, same bigint, n int, bands array<bigint>, print binary", start))
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     buckets = own.select("same", F.explode("bands").alias("bucket"))
     # Two nodes in a bucket are told by 32 bits of their hashes: that is the one exchange that all buckets take part in twice.
     short = F.hash("same")
