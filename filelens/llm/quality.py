@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens.llm._additive import PairwiseAdditive
-from filelens.llm._common import fold_of, labelled_sample, map_rows, table
+from filelens.llm._common import boxed, fold_of, labelled_sample, map_rows, table
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE = 20_000
@@ -105,20 +106,21 @@ def score(docs: DataFrame, model: PairwiseAdditive, id_col: str = "doc_id", text
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without those that score under ``least``; all columns stay, and the row is scored where it stands.
 
-    The row rides along through the scoring pass, so nothing is joined or shuffled.
+    The row rides along through the scoring pass as one struct, so nothing is joined or shuffled and columns may have any
+    name.
     """
     model = fit(docs, labels, sample)
-    columns = docs.columns
-    at = columns.index("text")
+    at = docs.columns.index("text")
+    rows = boxed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                x = np.array([features(t) for t in part.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
+                x = np.array([features(t) for t in pc.struct_field(part.column(0), at).to_pylist()], float).reshape(-1, len(FEATURES))
                 yield part.filter(pa.array(model.score(x) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

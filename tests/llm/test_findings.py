@@ -186,23 +186,6 @@ def test_an_owners_own_secret_stays_live_however_often_it_occurs(spark):
     assert not live(spark, [(f"the same {key}", f"owner{k}") for k in range(3)])
 
 
-# json_rows, csv_rows
-
-
-@pytest.mark.parametrize("name", ["json_rows_all", "csv_rows_all"])
-def test_output_lines_of_all_entries(spark, sf, name):
-    import duckdb
-
-    import __spark_entry__
-
-    db = duckdb.connect()
-    for table in ("region", "nation", "customer", "orders"):
-        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
-    db.execute("SET TimeZone = 'UTC'")
-    got = [tuple(r) for r in __spark_entry__.queries()[name](spark, sf).collect()]
-    assert len(got) == 1681 and sorted(got) == sorted(db.execute(__spark_entry__.oracle_sql()[name]).fetchall())
-
-
 # op7_toxicity
 
 
@@ -270,17 +253,6 @@ def test_harmonic_bins_hold_whole_documents():
     assert sum(n == 1 for n in pieces.values()) > 0.9 * len(short)
 
 
-def test_shared_folder_of_a_cluster_must_be_set():
-    from types import SimpleNamespace
-
-    from filelens.storage import shared_folder
-
-    session = lambda master, at: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: at), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
-    assert shared_folder(session("spark://x", "/shared")) == "/shared"
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(session("spark://x", None))
-
-
 def test_fingerprints_hand_texts_to_python_in_small_batches(spark):
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(bound, None)

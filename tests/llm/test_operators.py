@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from filelens.llm._additive import BoostedTrees, Isotonic, PairwiseAdditive
 from filelens.llm import exact_dedup, language, minhash, packing, quality, secrets, sentencepiece_fst, simhash, substring_dedup, toxicity
@@ -71,6 +72,13 @@ def test_drop_copies(docs, empty):
     assert exact_dedup.drop_copies(empty).collect() == []
 
 
+def test_rounds_are_the_only_exchanges(spark):
+    runs = exact_dedup.digests(spark.range(100).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")))
+    for nodes, rounds in ((64, 3), (16, 2), (4, 1), (2, 1)):
+        plan = exact_dedup.tree_merge(runs, nodes)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == rounds
+
+
 # SimHash
 
 
@@ -553,3 +561,66 @@ def test_search_by_position_is_the_composition_written_out():
                 grammar.arc(state.get(s, 0), t, t, 0.0 if fst.merged(s + t) == ([s, t] if s else [t]) else INFINITE, state[t])
         grammar.finals = dict.fromkeys(state.values(), 0.0)
         assert shortest_path(compose(compose(linear(word), sentencepiece_fst.lexicon(pieces)), grammar)) == (0.0, fst.best_path(word))
+
+
+@pytest.mark.parametrize("least", [0.6, 0.7, 0.8])
+def test_recall_of_bands_at_the_similarity_asked_for(spark, least):
+    """Every pair of similarity ``least`` and more among edited copies, by brute force; bands lose none of some hundreds."""
+    import random
+
+    r = random.Random(round(100 * least))
+    data = []
+    for k in range(150):
+        words = [f"w{r.randrange(3000)}" for _ in range(80)]
+        data.append(" ".join(words))
+        for _ in range(2):
+            edited = list(words)
+            for at in r.sample(range(80), r.randint(1, 6)):
+                edited[at] = f"e{r.randrange(3000)}"
+            data.append(" ".join(edited))
+    sets = [set(minhash.shingles(t.encode()).tolist()) for t in data]
+    near = [(a, b) for a in range(len(data)) for b in range(a - a % 3, a) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    assert len(near) > 40
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string").repartition(3)
+    found = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs, least=least).collect()}
+    missed = sum(found[a] != found[b] for a, b in near)
+    assert missed <= 0.002 * len(near)
+    want = list(range(len(data)))
+    for a, b in near:
+        low, high = sorted((want[a], want[b]))
+        want = [low if x == high else x for x in want]
+    assert missed or [found[k] for k in range(len(data))] == want
+
+
+def test_band_widths():
+    assert [minhash.band_width(x) for x in (0.8, 0.7, 0.6, 0.5)] == [5, 4, 3, 2]
+    with pytest.raises(ValueError):
+        minhash.band_width(0.02)
+
+
+def test_keep_good_with_any_column_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"a.b": F.lit(1), "c`d": F.lit("x"), "row": F.lit(2), "score": F.lit(3)})
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.keep_good(docs, labels)
+    plain = quality.keep_good(docs.drop("a.b", "c`d", "row", "score"), labels)
+    assert got.columns == docs.columns and sorted(x.doc_id for x in got.collect()) == sorted(x.doc_id for x in plain.collect())
+
+
+# features against slow versions
+
+
+def test_edited_fingerprints_by_hand(spark, unique):
+    """op4's texts, fingerprints and likenesses, document by document."""
+    data = sorted(((x.doc_id, x.text or "") for x in unique.collect()), key=lambda x: -x[0])
+    want = {}
+    for k, (doc_id, text) in enumerate(data):
+        follows = data[(k + 1) % len(data)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + follows[:half]
+        own, new, beside = (minhash.fingerprint(t) for t in (text, edited, follows))
+        like = lambda a, b: max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / 128 - 1 / 256) / (1 - 1 / 256))
+        want[doc_id] = (len(text), sha(edited), own.hex(), new.hex(), like(own, new), like(own, beside))
+    got = {x.doc_id: (x.n_chars, x.edited_sha256, x.fingerprint, x.edited_fingerprint, x.near_edited, x.near_next) for x in minhash.fingerprints_with_next(unique).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k][:4] == want[k][:4] and got[k][4:] == pytest.approx(want[k][4:])

@@ -100,4 +100,4 @@ def test_quality_stage_keeps_labelled_good_documents(spark):
 
 
 def test_registry():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 14))
