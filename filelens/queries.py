@@ -17,7 +17,7 @@ from filelens.operators import changes, search, tree
 from filelens.operators.search import Index
 from filelens.plans import nodes, parser, regex
 from filelens.sources import tables
-from filelens.storage import shared_folder
+from filelens.storage import own_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -207,8 +207,7 @@ def journal_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of the log read as a stream: state is one change per key, and each micro batch replaces the result."""
-    shared = shared_folder(spark)
-    at = f"{shared}/last-state-{uuid.uuid4().hex}"
+    at = f"{own_folder(spark)}/last-state-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     log = tables.as_log(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     states = changes.last_state(log).select("id", "seq", "op", "size", "mtime")

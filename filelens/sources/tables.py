@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filelens.operators import tree
 from filelens.schema import BASE_COLUMNS, with_derived
-from filelens.storage import settled, shared_folder, write_entries
+from filelens.storage import own_folder, settled, write_entries
 
 #: The time that relative dates count from in queries over these tables: 2001-07-15 00:00 UTC.
 NOW = 995155200
@@ -59,8 +59,7 @@ def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        shared = shared_folder(spark)
-        at = f"{shared}/order-tree-{uuid.uuid4().hex}"
+        at = f"{own_folder(spark)}/order-tree-{uuid.uuid4().hex}"
         write_entries(tree.with_intervals(settled(build_order_tree(spark, sf_dir))), at)
         _built[key] = spark.read.parquet(at)
     return _built[key]

@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders.setdefault("", tempfile.mkdtemp(prefix="filelens-"))
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     """A folder of this application below the shared one, removed when Python ends."""
     application = spark.sparkContext.applicationId
     if application not in _folders:
@@ -48,7 +48,7 @@ def settled(rows: DataFrame) -> DataFrame:
     A table rather than a checkpoint: it is compressed, each use reads its own columns, and the planner knows its size. A
     checkpoint keeps the estimate of the plan it came from, which joins of joins multiply to numbers of many megabytes.
     """
-    at = f"{_own_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
+    at = f"{own_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
     rows.write.parquet(at)
     return rows.sparkSession.read.schema(rows.schema).parquet(at)
 
