@@ -80,6 +80,32 @@ def compose(a: Machine, b: Machine) -> Machine:
     return m
 
 
+def invert(m: Machine) -> Machine:
+    """The same paths with what is read and what is written exchanged."""
+    return Machine(m.start, [[(writes, reads, w, to) for reads, writes, w, to in arcs] for arcs in m.arcs], dict(m.finals))
+
+
+def lightest_writings(m: Machine, at: int) -> dict[Hashable, tuple[Hashable, ...]]:
+    """For each label that can be read next in a state, what is written up to and with it on the lightest path: the arcs that read nothing, removed."""
+    best: dict[int, tuple[float, tuple]] = {at: (0.0, ())}
+    out: dict[Hashable, tuple[float, tuple]] = {}
+    heap = [(0.0, at)]
+    settled = set()
+    while heap:
+        w, here = heapq.heappop(heap)
+        if here in settled:
+            continue
+        settled.add(here)
+        so_far = best[here][1]
+        for reads, writes, v, to in m.arcs[here]:
+            found, key, text = (best, to, so_far) if reads == EPS else (out, reads, so_far)
+            if w + v < found.get(key, (INFINITE,))[0]:
+                found[key] = w + v, text if writes == EPS else (*text, writes)
+                if reads == EPS:
+                    heapq.heappush(heap, (w + v, to))
+    return {label: text for label, (_, text) in out.items()}
+
+
 def shortest_path(m: Machine) -> tuple[float, list[Hashable]]:
     """(weight, labels written) of the lightest path from the start to an end; weights aren't negative. (inf, []) if there is none."""
     best = {m.start: 0.0}

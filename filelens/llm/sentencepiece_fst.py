@@ -1,14 +1,20 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer, for models of kind BPE with byte fallback.
 
 Three machines are compiled from a model file. The normaliser writes a mark at the beginning and for each space. The
-lexicon is a trie whose arcs read the characters of the pieces and at whose ends a piece is written; a character without
-a piece is written as itself and stands for the pieces of its UTF-8 bytes. Normaliser and lexicon are composed when the
-model is read. The grammar has a state for each piece; its arc from s to t weighs nothing if BPE itself splits the text of
+lexicon is a trie whose arcs read the characters of the pieces and at whose ends a piece is written; the byte pieces are
+256 more of its arcs, each of which reads a byte and writes its piece. A text is read as a sequence of labels: a character that
+occurs in the pieces is its own label, any other is the labels of its UTF-8 bytes (the surrogates U+DC00 to U+DCFF, which
+no valid text contains). Normaliser and lexicon are composed when the model is read. The grammar has a state for each piece; its arc from s to t weighs nothing if BPE itself splits the text of
 s followed by t into s and t, else infinity. A sequence of pieces is what BPE makes of a text exactly if all its
 neighbours are so, so the shortest path through input o normaliser o lexicon o grammar is the model's own encoding, and it
 is the only one of finite weight. Arcs of the grammar are weighed when a path first asks for them, from the merges that make
 their two pieces, and kept.
 
+Decoding runs the composition of normaliser and lexicon inverted: its arcs read pieces and write labels. From a state of the
+inverted machine every piece is reached over arcs that read nothing, so these are removed once, by the lightest path to each
+piece, and an id is then one arc that writes the labels of its piece. A mark could come from a space or a mark; the
+normaliser weighs a mark that is kept, so the inverse writes a space. Bytes that are part of no character give U+FFFD each.
+
 The composition with a text isn't written out. Its states are (position, state of the lexicon, last piece), and the
 shortest path is found by settling them in the order of their weight, of equal weights the furthest first: the lexicon is
 walked along the text from a state's position, and the pieces written on the way, the longest first, are relaxed by
@@ -23,11 +29,12 @@ model has it. Repeated rows are encoded alike; an empty table gives an empty res
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from heapq import heappop, heappush
 
 import numpy as np
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens.llm._common import Memo, map_rows, table
-from filelens.llm._wfst import EPS, INFINITE, Machine, compose
+from filelens.llm._wfst import EPS, INFINITE, Machine, compose, invert, lightest_writings
 
 MARK = "\u2581"
 MEMO = 300_000
@@ -53,6 +60,16 @@ RULES, DUMMY_PREFIX, DROP_SPACES = 2, 3, 4
 
 UNKNOWN_TEXT = " \u2047 "
 
+#: The label of a byte that is no part of a known character.
+BYTE_LABELS = [chr(0xDC00 + b) for b in range(256)]
+
+codecs.register_error("each_byte_apart", lambda error: ("\ufffd", error.start + 1))
+
+
+def label_bytes(labels: str) -> bytes:
+    """The UTF-8 bytes that a sequence of labels stands for."""
+    return b"".join(bytes([ord(x) - 0xDC00]) if "\udc00" <= x <= "\udcff" else x.encode() for x in labels)
+
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of each field of a protocol buffer message."""
@@ -81,13 +98,13 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def normaliser(characters: set[str], prefix: bool) -> Machine:
-    """Writes a mark for each space, other characters as they are, and a mark at the beginning if ``prefix``."""
+    """Writes a mark for each space, other labels as they are, and a mark at the beginning if ``prefix``. A mark that is read weighs 1."""
     m = Machine()
     inner = m.state() if prefix else m.start
     if prefix:
         m.arc(m.start, EPS, MARK, 0.0, inner)
     for c in sorted(characters):
-        m.arc(inner, c, c, 0.0, inner)
+        m.arc(inner, c, c, float(c == MARK), inner)
     m.arc(inner, " ", MARK, 0.0, inner)
     m.finals[inner] = 0.0
     return m
@@ -127,16 +144,19 @@ class Transducer:
         rank[np.argsort(-scores, kind="stable")] = np.arange(len(pieces))
         self.ids = {t: k for k, t in enumerate(texts) if kinds[k] == NORMAL}
         self.rank = {t: int(rank[k]) for t, k in self.ids.items()}
-        self.byte_ids = {int(texts[k][1:-1], 16): k for k in range(len(texts)) if kinds[k] == BYTE}
-        self.surface = [t.replace(MARK, " ").encode() if kinds[k] == NORMAL else b"" for k, t in enumerate(texts)]
-        self.byte_of = {k: b for b, k in self.byte_ids.items()}
-        self.unknown = {k for k in range(len(texts)) if kinds[k] == UNKNOWN}
+        #: characters that the lexicon reads as they are
+        self.alphabet = {c for t in self.ids for c in t}
+        if not self.alphabet <= set(self.ids):
+            raise ValueError(f"{model_path}: a character of a piece isn't a piece itself")
+        self.ids |= {BYTE_LABELS[int(t[1:-1], 16)]: k for k, t in enumerate(texts) if kinds[k] == BYTE}
         longer = [t for t in self.ids if len(t) > 1]
         self.marks_apart = not any(re.search(f"[^{MARK}]{MARK}", t) for t in longer)
         self.lines_apart = not any("\n" in t for t in longer)
         #: neighbouring characters of some piece; elsewhere no arc spans
         self.near = {t[k : k + 2] for t in longer for k in range(len(t) - 1)}
-        self.compile(compose(normaliser({c for t in self.ids for c in t}, bool(self.prefix)), lexicon(self.ids)))
+        machine = compose(normaliser({c for t in self.ids for c in t}, bool(self.prefix)), lexicon(self.ids))
+        self.compile(machine)
+        self.compile_inverse(invert(machine), [UNKNOWN_TEXT if kind == UNKNOWN else "" for kind in kinds])
         #: piece -> next piece -> weight of the grammar's arc, as far as it has been asked for
         self.grammar: dict[str, dict[str, float]] = {}
         self.n_arcs = 0
@@ -185,6 +205,19 @@ class Transducer:
                 wait.append(to)
         self.longest = max(len(w[0][0]) for w in self.written if w)
 
+    def compile_inverse(self, m: Machine, fixed: list[str]) -> None:
+        """What each id writes, after others and as the first one. An id whose piece the machine doesn't read writes its ``fixed`` text."""
+        inner, first = lightest_writings(m, self.root), lightest_writings(m, m.start)
+        labels, opening = list(fixed), {}
+        for piece, k in self.ids.items():
+            labels[k] = "".join(inner[piece])
+            if piece in first:
+                opening[k] = "".join(first[piece])
+        self.writes = [label_bytes(x) for x in labels]
+        self.opens = [label_bytes(opening.get(k, x)) for k, x in enumerate(labels)]
+        #: ids that write nothing: a character's bytes don't reach over them
+        self.silent = set(range(len(fixed))) - set(self.ids.values()) - {k for k, x in enumerate(fixed) if x}
+
     def weigh(self, s: str, t: str) -> float:
         """The weight of the grammar's arc from s to t, kept in the row of s; the start of a text is the empty piece."""
         weight = 0.0 if self._apart(s, t) else INFINITE
@@ -222,7 +255,7 @@ class Transducer:
         return True
 
     def best_path(self, text: str) -> list[str]:
-        """The pieces of a part of a text: the shortest path through lexicon and grammar.
+        """The pieces of a sequence of labels: the shortest path through lexicon and grammar.
 
         Arcs are relaxed one at a time. One that adds nothing to the weight is followed at once, since nothing that waits
         is lighter, and the other arcs of its state wait with that weight.
@@ -239,7 +272,7 @@ class Transducer:
                     if to is None:
                         break
                     at = to
-                arcs = iter(written[at] or ((text[begin], 0.0),))  # else a character that the lexicon doesn't know
+                arcs = iter(written[at])
             row = grammar.get(last, {})
             for piece, weight in arcs:
                 arc = row.get(piece)
@@ -264,10 +297,14 @@ class Transducer:
         return out[::-1]
 
     def _ids(self, piece: str) -> bytes:
-        return np.array([self.ids[piece]] if piece in self.ids else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")], "<u4").tobytes()
+        return np.array([self.ids[piece]], "<u4").tobytes()
+
+    def labels(self, text: str) -> str:
+        """What the lexicon reads of a text: its characters, or the bytes of those that no piece has."""
+        return "".join([c if c in self.alphabet or c == " " else "".join([BYTE_LABELS[b] for b in c.encode("utf-8", "replace")]) for c in text])
 
     def _whole(self, part: str) -> bytes:
-        return b"".join([self.packed[piece] for piece in self.best_path(part)])
+        return b"".join([self.packed[piece] for piece in self.best_path(self.labels(part))])
 
     def _packed(self, text: str) -> bytes:
         """Parts between which no piece reaches have paths of their own."""
@@ -289,47 +326,22 @@ class Transducer:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The inverse: pieces and bytes back to text. A byte that is part of no character gives U+FFFD."""
-        out: list[str] = []
-        held = bytearray()
-
-        def flush() -> None:
-            while held:
-                n = 1 + (held[0] >= 0xC0) + (held[0] >= 0xE0) + (held[0] >= 0xF0)
-                try:
-                    out.append(held[:n].decode())
-                except UnicodeDecodeError:
-                    n = 1
-                    out.append("\ufffd")
-                del held[:n]
-
-        first = True
-        for k in ids:
-            if k in self.byte_of:
-                held.append(self.byte_of[k])
-            else:
-                flush()
-                text = UNKNOWN_TEXT if k in self.unknown else self.surface[k].decode()
-                out.append(text[1:] if first and self.prefix and text.startswith(" ") and k not in self.unknown else text)
-            first = False
-        flush()
-        return "".join(out)
+    def decode(self, ids: Sequence[int]) -> str:
+        """The text of a sequence of ids: what the inverted machine writes. A byte that is part of no character gives U+FFFD."""
+        runs: list[list[bytes]] = [[self.opens[k] for k in ids[:1]]]
+        if self.silent.isdisjoint(ids):
+            runs[0] += map(self.writes.__getitem__, ids[1:])
+        else:
+            for k in ids[1:]:
+                if k in self.silent:
+                    runs.append([])
+                else:
+                    runs[-1].append(self.writes[k])
+        return "".join([b"".join(run).decode("utf-8", "each_byte_apart") for run in runs])
 
     def decode_packed(self, ids: bytes) -> str:
-        """``decode`` for ids that an encoding gave: one join of the surfaces."""
-        table_ = self._bytes_of()
-        data = b"".join(map(table_.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            return self.decode(np.frombuffer(ids, "<u4").tolist())
-        return text[1:] if self.prefix and text.startswith(" ") else text
-
-    def _bytes_of(self) -> list[bytes]:
-        if not hasattr(self, "_table"):
-            self._table = [bytes([self.byte_of[k]]) if k in self.byte_of else s for k, s in enumerate(self.surface)]
-        return self._table
+        """``decode`` for ids as ``encode_packed`` gives them."""
+        return self.decode(np.frombuffer(ids, "<u4").tolist())
 
 
 @functools.lru_cache(maxsize=2)

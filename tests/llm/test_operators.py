@@ -520,8 +520,30 @@ def test_sentencepiece_odd_texts_and_ids():
         assert fst.decode(ids) == sp.decode(ids), ids
 
 
+def test_sentencepiece_bytes_are_arcs():
+    """Characters that no piece has go through the byte arcs of the composed machine, and back through the inverted one."""
+    import random
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, fst = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.Transducer(path)
+    assert all(label in fst.step[fst.root] for label in sentencepiece_fst.BYTE_LABELS)
+    r = random.Random(3)
+    strange = [c for c in map(chr, [*range(0x20), *range(0x2600, 0x2700), *range(0x1F300, 0x1F500), 0x10FFFF]) if c not in fst.alphabet]
+    assert len(strange) > 200
+    for text in [*strange, *("".join(r.choice([*strange, "a", " ", "the", "▁"]) for _ in range(r.randint(1, 30))) for _ in range(300))]:
+        ids = fst.encode(text)
+        assert ids == sp.encode(text) and fst.decode(ids) == sp.decode(ids), text
+    assert fst.best_path(fst.labels("\U0001f389")) == [sentencepiece_fst.BYTE_LABELS[b] for b in "\U0001f389".encode()]
+    # a control id parts the bytes of a character; at the beginning only the first mark is taken back
+    euro, other = [sp.piece_to_id(f"<0x{b:02X}>") for b in "€".encode()], sp.piece_to_id("</s>")
+    for ids in [[*euro[:1], other, *euro[1:]], [other, *sp.encode("a")], [sp.unk_id(), *sp.encode("a")], [], euro[1:] + euro]:
+        assert fst.decode(ids) == sp.decode(ids), ids
+
+
 def test_machines_compose_and_give_the_lightest_path():
-    from filelens.llm._wfst import EPS, Machine, compose, linear, shortest_path
+    from filelens.llm._wfst import EPS, Machine, compose, invert, lightest_writings, linear, shortest_path
 
     a = Machine()
     one, two = a.state(), a.state()
@@ -532,6 +554,9 @@ def test_machines_compose_and_give_the_lightest_path():
     a.finals = {two: 0.25}
     assert shortest_path(compose(linear("xy"), a)) == (1.25, ["p"])
     assert shortest_path(compose(linear("xyy"), a)) == (4.25, ["p", "r"])
+    assert shortest_path(compose(linear("pr"), invert(a))) == (4.25, ["x", "y", "y"])
+    assert lightest_writings(invert(a), a.start) == {"p": ("x",), "q": ("x",)}
+    assert lightest_writings(invert(a), one) == {"r": ("y", "y")}
     assert shortest_path(compose(linear("yx"), a)) == (float("inf"), [])
     # input o (normaliser o lexicon) with weights, as a model of kind unigram has them
     weights = {"▁": 5.0, "a": 3.0, "b": 3.0, "ab": 4.0, "▁a": 3.5, "ba": 2.0}
