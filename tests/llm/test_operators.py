@@ -535,7 +535,7 @@ def test_sentencepiece_bytes_are_arcs():
     for text in [*strange, *("".join(r.choice([*strange, "a", " ", "the", "▁"]) for _ in range(r.randint(1, 30))) for _ in range(300))]:
         ids = fst.encode(text)
         assert ids == sp.encode(text) and fst.decode(ids) == sp.decode(ids), text
-    assert fst.best_path(fst.labels("\U0001f389")) == [sentencepiece_fst.BYTE_LABELS[b] for b in "\U0001f389".encode()]
+    assert fst.best_path(fst.labels(strange[-1])) == [sentencepiece_fst.BYTE_LABELS[b] for b in strange[-1].encode()]
     # a control id parts the bytes of a character; at the beginning only the first mark is taken back
     euro, other = [sp.piece_to_id(f"<0x{b:02X}>") for b in "€".encode()], sp.piece_to_id("</s>")
     for ids in [[*euro[:1], other, *euro[1:]], [other, *sp.encode("a")], [sp.unk_id(), *sp.encode("a")], [], euro[1:] + euro]:
