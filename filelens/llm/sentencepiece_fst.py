@@ -328,15 +328,16 @@ class Transducer:
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of a sequence of ids: what the inverted machine writes. A byte that is part of no character gives U+FFFD."""
-        runs: list[list[bytes]] = [[self.opens[k] for k in ids[:1]]]
         if self.silent.isdisjoint(ids):
-            runs[0] += map(self.writes.__getitem__, ids[1:])
+            runs = [[self.opens[k] for k in ids[:1]] + [self.writes[k] for k in ids[1:]]]
         else:
-            for k in ids[1:]:
+            runs, writes = [[]], self.opens
+            for k in ids:
                 if k in self.silent:
                     runs.append([])
                 else:
-                    runs[-1].append(self.writes[k])
+                    runs[-1].append(writes[k])
+                    writes = self.writes
         return "".join([b"".join(run).decode("utf-8", "each_byte_apart") for run in runs])
 
     def decode_packed(self, ids: bytes) -> str:
