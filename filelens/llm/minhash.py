@@ -23,12 +23,13 @@ with the smallest digest; rows are told apart by id and text, so null and repeat
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filelens.llm._common import apart, beside, cut, keep_one, map_rows, met, packed, small_batches, table, text_digest, unpacked
@@ -77,17 +78,22 @@ def likeness(a: bytes, b: bytes) -> float:
     return max(0.0, (same - 1 / 256) / (1 - 1 / 256))
 
 
-def _before(borders: list[tuple[int, bytes]], key: Column, digest: Column) -> Column:
-    """How many of the sorted ``borders`` (key, digest) are smaller than a row's, by a binary search in expressions."""
+def _placing(borders: list[tuple[int, bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over rows with ``key`` and ``digest``: adds ``part``, how many of the sorted ``borders`` (key, digest) are smaller than a row's.
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        k, d = borders[mid]
-        return F.when((key > k) | ((key == k) & (digest > F.lit(d))), search(mid + 1, high)).otherwise(search(low, mid))
+    Keys are looked up all at once; the digest is looked at only where a key is a border's.
+    """
+    keys = np.array([k for k, _ in borders], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, digest = batch.column("key").to_numpy(zero_copy_only=False), batch.column("digest")
+            part = np.searchsorted(keys, key).astype(np.int32)
+            for k in np.flatnonzero(np.searchsorted(keys, key, "right") > part).tolist():
+                part[k] = bisect_left(borders, (int(key[k]), digest[k].as_py()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=[*batch.schema.names, "part"])
 
-    return search(0, len(borders))
+    return run
 
 
 def _borders(keys: list[int]) -> list[tuple[int, bytes]]:
@@ -105,7 +111,8 @@ def in_order(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
     ``packed`` is the text, compressed before it is exchanged, once. ``classes`` has (doc_id, digest, class_id); its rows
     ride in the same exchange without a text, each just before its document. The last row of each partition is a ghost:
     the document that follows its last one, which is the first of the range below, or the first of all. Only the borders
-    of the ranges and the first key of each (two small values per partition) come to the driver.
+    of the ranges and the first key of each (two small values per partition) come to the driver; a row's range is looked up
+    among the borders, so the plan is the same for any number of partitions.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -114,19 +121,20 @@ def in_order(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
     keyed = rows.select(key("id"), "id", text_digest(F.col("text")).alias("digest"), "text")
     quantiles = [k / parts for k in range(1, parts)] or [0.5]
     borders = _borders(rows.select(key("id")).agg(F.percentile_approx("key", quantiles, 10 * parts)).first()[0] or [])
-    place = _before(borders, F.col("key"), F.col("digest")).alias("part")
-    first = {r.part: r.top for r in keyed.select(place, "key", "digest").groupBy("part").agg(F.max(F.struct("key", "digest")).alias("top")).collect()}
+    place = _placing(borders)
+    first = {r.part: r.top for r in keyed.select("key", "digest").mapInArrow(place, "key bigint, digest binary, part int").groupBy("part").agg(F.max(F.struct("key", "digest")).alias("top")).collect()}
     order = sorted(first, reverse=True)
     follows = [(part, *first[below]) for part, below in zip(order, order[1:] + order[:1], strict=True)]
     heads = spark.createDataFrame(follows, "part int, head bigint, head_digest binary")
 
-    whole = keyed.mapInArrow(packed, "key bigint, id bigint, digest binary, packed binary")
+    whole = keyed.mapInArrow(lambda batches: place(packed(batches)), "key bigint, id bigint, digest binary, packed binary, part int")
     none = F.lit(None).cast("bigint").alias("class_id")
-    own = whole.select(place, "key", "id", "digest", "packed", none, F.lit(False).alias("ghost"))
+    own = whole.select("part", "key", "id", "digest", "packed", none, F.lit(False).alias("ghost"))
     ghosts = keyed.join(F.broadcast(heads), (F.col("key") == F.col("head")) & (F.col("digest") == F.col("head_digest"))).groupBy("part").agg(F.first("key").alias("key"), F.first("id").alias("id"), F.first("digest").alias("digest"), F.first("text").alias("text"))
     ghosts = ghosts.select("part", "key", "id", "digest", "text").mapInArrow(packed, "part int, key bigint, id bigint, digest binary, packed binary")
     ghosts = ghosts.select("part", "key", "id", "digest", "packed", none, F.lit(True).alias("ghost"))
-    about = classes.select(key("doc_id"), F.col("doc_id").alias("id"), "digest", "class_id").select(place, "key", "id", "digest", F.lit(None).cast("binary").alias("packed"), "class_id", F.lit(False).alias("ghost"))
+    about = classes.select(key("doc_id"), F.col("doc_id").alias("id"), "digest", "class_id").mapInArrow(place, "key bigint, id bigint, digest binary, class_id bigint, part int")
+    about = about.select("part", "key", "id", "digest", F.lit(None).cast("binary").alias("packed"), "class_id", F.lit(False).alias("ghost"))
     placed = own.unionByName(ghosts).unionByName(about).repartitionById(parts, F.col("part"))
     return placed.sortWithinPartitions("ghost", F.desc("key"), F.desc("digest"), F.col("packed").isNotNull()).select("id", "digest", "packed", "class_id", "ghost")
 

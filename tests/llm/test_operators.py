@@ -623,6 +623,22 @@ def test_band_widths():
         minhash.band_width(0.02)
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 20_000])
+def test_ranges_are_looked_up_among_the_borders(n):
+    """Any number of borders, keys that are borders' more than once, the smallest and largest numbers."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(n)
+    borders = minhash._borders(sorted(r.choice([r.randrange(-(1 << 63), 1 << 63), 7, -5, minhash.LOWEST]) for _ in range(n)))
+    keys = [minhash.LOWEST, (1 << 63) - 1, 7, 7, 7, -5, 0, *(k for k, _ in borders[:50]), *(r.randrange(-(1 << 63), 1 << 63) for _ in range(50))]
+    rows = [(k, r.randbytes(32)) for k in keys]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())], names=["key", "digest"])
+    [out] = minhash._placing(borders)([batch])
+    assert out.column("part").to_pylist() == [sum(b < row for b in borders) for row in rows]
+
+
 def test_keep_good_with_any_column_name(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"a.b": F.lit(1), "c`d": F.lit("x"), "row": F.lit(2), "score": F.lit(3)})
     labels = spark.read.parquet(f"{sf}/labels.parquet")
