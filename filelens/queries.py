@@ -294,6 +294,17 @@ def _moves(stored: DataFrame) -> DataFrame:
     return gone.unionByName(moved).unionByName(updated).unionByName(added)
 
 
+def lookup_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries after the log of ``overlay_load`` by parent and name: every entry is looked up where it was, as a copy, and as moved."""
+    from filelens.operators.overlay import delta
+    from filelens.sources import lookup
+
+    stored, by_name = tables.order_tree(spark, sf_dir), tables.order_tree_by_name(spark, sf_dir)
+    moved = stored.select((1000 + (F.col("parent_id") - 999) % 25).alias("parent_id"), F.concat("name", F.lit(" moved")).alias("name"))
+    keys = stored.select("parent_id", "name").unionByName(stored.select("parent_id", F.concat("name", F.lit(".copy")).alias("name"))).unionByName(moved)
+    return lookup.find(by_name, keys, delta(stored, _moves(stored)))
+
+
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.order_tree(spark, sf_dir).select("id", C.human_size(F.col("size"), F.col("is_dir")).alias("shown"))
 
@@ -452,6 +463,15 @@ OTHERS: dict[str, tuple[Query, str]] = {
         UNION ALL SELECT 10000000 + k, 10000 + o_custkey, path || '/' || name, CASE WHEN k % 3 = 0 THEN size + 7 ELSE size END, CASE WHEN k % 3 = 0 THEN 77 ELSE mtime END, 4 FROM o JOIN cp ON o_custkey = c_custkey
         UNION ALL SELECT 1010000000 + k, 10000 + o_custkey, path || '/' || name || '.copy', size, mtime, 4 FROM o JOIN cp ON o_custkey = c_custkey WHERE k % 11 = 0""",
     ),
+    "lookup_by_name": (
+        lookup_by_name,
+        f"""{ENTRIES}, o AS (SELECT *, id BETWEEN 10000 AND 9999999 AS customer FROM entries),
+        a AS (SELECT parent_id, name, id, is_dir FROM o WHERE NOT (customer AND id % 10 IN (3, 5)) AND (is_dir OR parent_id % 10 <> 3)
+          UNION ALL SELECT 1000 + (parent_id - 999) % 25, name || ' moved', id, is_dir FROM o WHERE customer AND id % 10 = 5
+          UNION ALL SELECT parent_id, name || '.copy', id + 1000000000, is_dir FROM o WHERE NOT is_dir AND (id - 10000000) % 11 = 0 AND parent_id % 10 <> 3),
+        k AS (SELECT parent_id, name FROM o UNION SELECT parent_id, name || '.copy' FROM o UNION SELECT 1000 + (parent_id - 999) % 25, name || ' moved' FROM o)
+        SELECT a.parent_id, a.name, a.id, a.is_dir FROM a JOIN k ON a.parent_id = k.parent_id AND a.name = k.name""",
+    ),
     "state_counts": (
         state_counts,
         f"{ENTRIES}, o AS (SELECT id - 10000000 AS k, parent_id - 10000 AS c FROM entries WHERE NOT is_dir) SELECT (SELECT count(*) FILTER (c % 10 <> 3) + count(*) FILTER (c % 10 <> 3 AND k % 11 = 0) FROM o) AS files, "

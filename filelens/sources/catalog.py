@@ -2,6 +2,7 @@
 
     <dir>/CURRENT              the number of the generation that readers open
     <dir>/gen=<g>/entries      Parquet in path order, all columns
+    <dir>/gen=<g>/by_name      Parquet in buckets, for lookups by parent and name
     <dir>/gen=<g>/meta         roots and times
     <dir>/gen=<g>/changes      the log since then, a Parquet folder per batch
 
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens.operators import changes, tree
-from filelens.operators.overlay import delta, overlay
+from filelens.operators.overlay import Delta, delta
 from filelens.operators.search import Index
 from filelens.schema import COLUMNS
-from filelens.sources import config, filesystem
+from filelens.sources import config, filesystem, lookup
 from filelens.storage import settled, write_entries
 
 
@@ -51,6 +52,8 @@ class Snapshot(Index):
     files: int = 0
     folders: int = 0
     top_id: int = -1
+    #: What the log changes of the stored generation; None where there is no log.
+    delta: Delta | None = None
 
     def stats(self) -> DataFrame:
         """(files, folders), from what the catalog keeps of each state: no entry is read."""
@@ -109,7 +112,10 @@ class Catalog:
         write_entries(tree.with_intervals(settled(entries)), f"{at}/entries")
         files, folders, top = self.spark.read.parquet(f"{at}/entries").agg(F.count_if(~F.col("is_dir")), F.count_if(F.col("is_dir")), F.max("id")).first()
         state = {"applied": applied or {}, "files": files, "folders": folders, "top_id": -1 if top is None else top}
-        self._write(f"gen={generation}/meta", json.dumps({"roots": roots, "built_at": int(time.time()) if built_at is None else built_at, "unreadable": unreadable} | state))
+        buckets = lookup.buckets_for(files + folders)
+        lookup.store(self._stored(generation), self._by_name(generation), buckets)
+        meta = {"roots": roots, "built_at": int(time.time()) if built_at is None else built_at, "unreadable": unreadable, "buckets": buckets}
+        self._write(f"gen={generation}/meta", json.dumps(meta | state))
         self._write("CURRENT", str(generation))
         return self.load()
 
@@ -131,14 +137,19 @@ class Catalog:
     def _stored(self, generation: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/gen={generation}/entries")
 
+    def _by_name(self, generation: int) -> str:
+        path, fs = self._at(f"gen={generation}/by_name")
+        return fs.makeQualified(path).toString()
+
     def load(self) -> Snapshot:
         """The current generation with its log laid over it. Raises FileNotFoundError if there is none."""
         generation = self.current()
         if generation is None:
             raise FileNotFoundError(f"no index in {self.path}")
         stored, batches, meta = self._stored(generation), self._batches(generation), self._meta(generation)
-        entries = overlay(stored, self._log(generation, batches)) if batches else stored.select(COLUMNS)
-        return Snapshot(entries, generation, batches, tuple(meta["roots"]), meta["built_at"], meta["unreadable"], **self._state(generation, batches))
+        found = delta(stored, self._log(generation, batches)) if batches else None
+        entries = found.over(stored) if found else stored.select(COLUMNS)
+        return Snapshot(entries, generation, batches, tuple(meta["roots"]), meta["built_at"], meta["unreadable"], delta=found, **self._state(generation, batches))
 
     def load_or_build(self, c: config.Config) -> Snapshot:
         """Builds only where there is no index yet; any other failure is raised."""
@@ -147,6 +158,11 @@ class Catalog:
         except FileNotFoundError:
             return self.build(c)
 
+    def lookup(self, snapshot: Snapshot, keys: DataFrame) -> DataFrame:
+        """(parent_id, name, id, is_dir) of the snapshot's entries at the keys (parent_id, name); ``sources.lookup.find`` has the details."""
+        buckets = self._meta(snapshot.generation)["buckets"]
+        return lookup.find(lookup.opened(self.spark, self._by_name(snapshot.generation), buckets), keys, snapshot.delta)
+
     # changes
 
     def _log(self, generation: int, batches: int) -> DataFrame:
@@ -178,6 +194,7 @@ class Catalog:
         after = replace(
             snapshot,
             entries=found.over(stored),
+            delta=found,
             batches=snapshot.batches + 1,
             applied=snapshot.applied | ({origin[0]: origin[1]} if origin else {}),
             files=files,

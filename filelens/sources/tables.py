@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filelens.operators import tree
 from filelens.schema import BASE_COLUMNS, with_derived
+from filelens.sources import lookup
 from filelens.storage import own_folder, settled, write_entries
 
 #: The time that relative dates count from in queries over these tables: 2001-07-15 00:00 UTC.
@@ -65,6 +66,15 @@ def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built[key]
 
 
+def order_tree_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup table of the order tree, stored when it is first asked for."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/by_name")
+    if key not in _built:
+        rows = order_tree(spark, sf_dir)
+        _built[key] = lookup.store(rows, f"{own_folder(spark)}/by-name-{uuid.uuid4().hex}", lookup.buckets_for(rows.count()))
+    return _built[key]
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as names, for predicates on text alone."""
     d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(-1).cast("bigint").alias("parent_id"), F.col("text").alias("name"))
