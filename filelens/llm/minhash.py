@@ -14,6 +14,11 @@ band are in one class if they are similar enough, and members of a large group t
 pairs among themselves. Bands are as wide as lets two sets of the least similarity asked for share one with a chance of SHARED: 25
 bands of 5 at 0.8 (5e-5 share none), 32 of 4 at 0.7, 42 of 3 at 0.6. A similarity too low for any width is an error.
 
+The pipeline's stage runs operator 3's method first: each node has a SimHash of its shingle set, SimHashes are replicated to the
+anchors of the covering code, and all that differ in at most 2 bits are compared there. Their nodes are verified by the
+exact Jaccard similarity like those that meet in bands, and one set of components is made of all links. Bands find what lies
+farther than the anchors reach.
+
 Edge cases: a null text is empty. Texts without words have one fingerprint of their own (all bytes 255). With fewer words
 than a shingle the whole sequence is the one shingle. The order of documents is descending id, then descending digest of the
 text; a null id comes last. Repeated rows are each other's neighbours and share a class. Near duplicates: of a class the row with the smallest id stays, of equal ids that
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from filelens.llm._common import apart, beside, cut, keep_one, map_rows, met, packed, small_batches, table, text_digest, unpacked
 from filelens.llm._words import run_hashes, word_hashes
-from filelens.llm.simhash import components
+from filelens.llm.simhash import THRESHOLD, components, links, majority, signed
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -261,29 +266,52 @@ def _by_differences(nodes: DataFrame, sets: DataFrame, least: float) -> DataFram
     return pairs.unionByName(roots.where("label <> root").select("a", "b"))
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, fold: bool = False) -> DataFrame:
-    """(doc_id, digest, root) of every row: rows with the same root are linked; ``digest`` is the SHA-256 of the text."""
+def _at_anchors(own: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a > b: pairs of the nodes in ``own`` (same, fp) whose SimHashes differ in at most ``threshold`` bits, by operator 3's anchors, settled.
+
+    One node stands for all with its SimHash: these are paired with it, and it with those of the SimHashes nearby, so there are
+    no more pairs than nodes and links of SimHashes.
+    """
+    nodes = cut(own.select("same", "fp").distinct())
+    heads = cut(nodes.groupBy("fp", apart("fp")).agg(F.min("same").alias("head")).select("fp", "head"))
+    a, b = (heads.select(F.col("fp").alias(f"fp_{x}"), F.col("head").alias(x)) for x in "ab")
+    close = met(met(links(heads.select("fp"), threshold).toDF("fp_a", "fp_b"), a, "fp_a"), b, "fp_b")
+    equal = met(nodes, heads, "fp").where("same <> head")
+    return cut(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(equal.select(F.col("same").alias("a"), F.col("head").alias("b"))))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, fold: bool = False, threshold: int | None = None) -> DataFrame:
+    """(doc_id, digest, root) of every row: rows with the same root are linked; ``digest`` is the SHA-256 of the text.
+
+    With ``threshold`` nodes also meet at the anchors of their SimHashes.
+    """
 
     width = band_width(least)
+    anchored = threshold is not None
 
     def start():
         def step(row: tuple) -> Iterator[tuple]:
             hashes = shingle_set(row[1], fold)
             same = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
             sig = signature(hashes)
-            yield row[0], hashlib.sha256(row[1] or b"").digest(), same, len(hashes), bands(sig, width), sig.astype(np.uint8).tobytes()
+            told = row[0], hashlib.sha256(row[1] or b"").digest(), same, len(hashes), bands(sig, width), sig.astype(np.uint8).tobytes()
+            yield (*told, signed(majority(hashes))) if anchored else told
 
         return step
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    own = cut(map_rows(rows, "doc_id bigint, digest binary, same bigint, n int, bands array<bigint>, print binary", start))
+    own = cut(map_rows(rows, "doc_id bigint, digest binary, same bigint, n int, bands array<bigint>, print binary" + ", fp bigint" * anchored, start))
     buckets = own.select("same", F.explode("bands").alias("bucket"))
     # Two nodes in a bucket are told by 32 bits of their hashes: that is the one exchange that all buckets take part in twice.
     short = F.hash("same")
     crowded = cut(buckets.groupBy("bucket").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low < high").select("bucket"))
     meeting = cut(met(buckets, crowded, "bucket").distinct())
+    partners = meeting.select("same")
+    if anchored:
+        at_anchors = _at_anchors(own, threshold)
+        partners = partners.unionByName(at_anchors.select(F.explode(F.array("a", "b")).alias("same")))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    nodes = met(own.select("same", "n", "doc_id", "digest", "print"), meeting.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.min(F.struct(key.alias("k"), "n", "print")).alias("one"))
+    nodes = met(own.select("same", "n", "doc_id", "digest", "print"), partners.distinct(), "same", "left_semi").groupBy("same").agg(F.min(F.struct(key.alias("k"), "n", "print")).alias("one"))
     nodes = cut(nodes.select("same", "one.n", "one.print", F.col("one.k.doc_id").alias("_id"), F.col("one.k.digest").alias("_digest")))
     members = met(meeting, nodes.select("same", "n"), "same")
     counted = members.groupBy("bucket", apart("bucket")).agg(F.count("*").alias("members"), *(F.min(F.struct(F.xxhash64("same", F.lit(k)).alias("h"), "same", "n")).alias(f"c{k}") for k in range(CENTRES)))
@@ -297,8 +325,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = met(left, right, "bucket").where(F.col("a") > F.col("b")).where(sized("n_a", "n_b")).select("a", "b")
     large = members.where(F.col("members") > SMALL)
     beside_centre = large.select("same", "n", F.explode("centres").alias("c")).where((F.col("same") != F.col("c.same")) & sized("n", "c.n"))
-    pairs = pairs.unionByName(beside_centre.select(F.greatest("same", "c.same").alias("a"), F.least("same", "c.same").alias("b"))).distinct()
-    likely = cut(_likely(pairs, nodes, least))
+    pairs = pairs.unionByName(beside_centre.select(F.greatest("same", "c.same").alias("a"), F.least("same", "c.same").alias("b")))
+    likely = cut(_likely((pairs.unionByName(at_anchors) if anchored else pairs).distinct(), nodes, least))
 
     # The sets of one row for each node that has a likely partner, or is in a large bucket; only the keys of these rows meet the texts.
     needed = likely.select(F.explode(F.array("a", "b")).alias("same")).unionByName(large.select("same")).distinct()
@@ -342,9 +370,12 @@ def near_duplicates_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return _with_class_id(near_classes(docs, id_col, text_col, least)).distinct()
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:
-    """``docs`` with one document of each class of near duplicates, ASCII letters compared in lower case; all columns stay."""
-    return keep_one(docs, cut(near_classes(docs, id_col, text_col, least, fold=True)), id_col, text_col)
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each class of near duplicates, ASCII letters compared in lower case; all columns stay.
+
+    Documents meet at the anchors of their SimHashes, as far as ``threshold`` bits, and in the bands of their signatures.
+    """
+    return keep_one(docs, cut(near_classes(docs, id_col, text_col, least, fold=True, threshold=threshold)), id_col, text_col)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,14 @@ RADIUS = 3
 BLOCKS = (0, BLOCK)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the 64-bit hashes, as an unsigned number."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes | None) -> int:
     """SimHash of a UTF-8 text, as an unsigned 64-bit number."""
     words = (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
@@ -57,10 +65,12 @@ def fingerprint(text: bytes | None) -> int:
     begins, ends = start[: -SHINGLE + 1].tolist(), (start + size)[SHINGLE - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends, strict=True)], "<u8")
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    return majority(hashes)
+
+
+def signed(fp: int) -> int:
+    """An unsigned 64-bit number as Spark has it."""
+    return fp - (1 << 64) if fp >> 63 else fp
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -114,8 +124,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def start():
         def step(row: tuple) -> Iterable[tuple]:
-            fp = fingerprint(row[1])
-            fp = fp - (1 << 64) if fp >> 63 else fp
+            fp = signed(fingerprint(row[1]))
             yield (row[0], fp, hashlib.sha256(row[1] or b"").digest()) if digest else (row[0], fp)
 
         return step
