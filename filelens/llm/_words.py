@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 #: Odd multipliers of the rolling hashes (random, fixed).
@@ -27,6 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
 def _inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
@@ -34,8 +37,10 @@ def _inverse(base: int) -> int:
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each word: a run of bytes that aren't ASCII white space."""
     a = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate(([False], (a != 32) & ((a < 9) | (a > 13)), [False])).view(np.int8))
-    return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    inside = np.zeros(len(a) + 2, bool)
+    np.logical_and(a != 32, a - np.uint8(9) > 4, out=inside[1:-1])  # unsigned: 9 to 13 become 0 to 4
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(data: bytes, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -44,7 +49,8 @@ def word_hashes(data: bytes, bounds: tuple[np.ndarray, np.ndarray] | None = None
     if not len(begin):
         return np.zeros(0, np.uint64)
     a = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(a * powers(BYTE_BASE, len(a)), dtype=np.uint64)))
+    total = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(a * powers(BYTE_BASE, len(a)), out=total[1:])
     return mix((total[end] - total[begin]) * powers(_inverse(BYTE_BASE), len(a))[begin] + (end - begin).astype(np.uint64))
 
 
@@ -52,5 +58,6 @@ def run_hashes(words: np.ndarray, n: int, base: int = RUN_BASE) -> np.ndarray:
     """A 64-bit hash of each run of n consecutive words."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers(base, len(words)), dtype=np.uint64)))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(base, len(words)), out=total[1:])
     return mix((total[n:] - total[:-n]) * powers(_inverse(base), len(words))[: len(words) - n + 1])

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filelens.llm._common import apart, beside, cut, keep_one, map_rows, met, packed, small_batches, table, text_digest, unpacked
-from filelens.llm._words import run_hashes, word_hashes
+from filelens.llm._words import run_hashes, word_bounds, word_hashes
 from filelens.llm.simhash import THRESHOLD, components, links, majority, signed
 
 SHINGLE = 5
@@ -56,25 +56,51 @@ LOWEST = -(1 << 63)
 _random = np.random.default_rng(20240607)
 _A = _random.integers(0, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64)
+#: Room for the values of some shingles, used again for the next ones.
+_VALUES = np.empty((256, PERMUTATIONS), np.uint64)
+
+
+def runs(words: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of a sequence of word hashes, with repeats; of fewer words than a shingle, of the whole sequence."""
+    return run_hashes(words, min(SHINGLE, len(words))) if len(words) else words
 
 
 def shingles(text: bytes) -> np.ndarray:
     """Hashes of the 5-word shingles, with repeats."""
-    words = word_hashes(text)
-    return run_hashes(words, min(SHINGLE, len(words))) if len(words) else words
+    return runs(word_hashes(text))
+
+
+def lows(hashes: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """The smallest 64-bit value of each permutation, a row for each stretch of ``hashes`` between neighbours of the sorted ``cuts``."""
+    low = np.full((len(cuts) - 1, PERMUTATIONS), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(cuts[0], cuts[-1], len(_VALUES)):
+        some = hashes[k : k + len(_VALUES), None]
+        values = np.multiply(some, _A.T, out=_VALUES[: len(some)])
+        values += _B.T
+        for row, begin, end in zip(low, cuts, cuts[1:]):
+            begin, end = max(begin - k, 0), min(end - k, len(values))
+            if begin < end:
+                np.minimum(row, np.minimum.reduce(values[begin:end], axis=0), out=row)
+    return low
+
+
+def values_of(low: np.ndarray) -> np.ndarray:
+    """A signature from smallest 64-bit values: the upper half of each."""
+    return (low >> np.uint64(32)).astype("<u4")
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The smallest value of each permutation, 32 bits each."""
-    low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint64)
-    for k in range(0, len(hashes), 512):
-        np.minimum(low, ((_A * hashes[k : k + 512] + _B) >> np.uint64(32)).min(axis=1), out=low)
-    return low.astype("<u4")
+    return values_of(lows(hashes, [0, len(hashes)])[0])
 
 
 def fingerprint(text: str) -> bytes:
     """The low byte of each signature value."""
-    return signature(shingles(text.encode("utf-8", "replace"))).astype(np.uint8).tobytes()
+    return low_bytes(signature(shingles(text.encode("utf-8", "replace"))))
+
+
+def low_bytes(sig: np.ndarray) -> bytes:
+    return sig.astype(np.uint8).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -83,6 +109,57 @@ def likeness(a: bytes, b: bytes) -> float:
     return max(0.0, (same - 1 / 256) / (1 - 1 / 256))
 
 
+class Chained:
+    """A text in the chain of documents: its head is the end of the text before's edited text, its own edited text begins with its first part.
+
+    Each shingle is run through the permutations once: the smallest values are kept for the head, the first part and all, and
+    an edited text takes those of the two parts. Only shingles with a word at or across a cut are new there.
+    """
+
+    def __init__(self, text: str, head: int) -> None:
+        """``head``: code points that the text before takes."""
+        self.data = text.encode("utf-8", "replace")
+        self.n_chars, self.half = len(text), len(text) // 2
+        at = (lambda n: min(n, len(text))) if len(self.data) == len(text) else (lambda n: len(text[:n].encode("utf-8", "replace")))
+        self.head, self.part = at(head), at(len(text) - self.half)
+        self.begin, self.end = word_bounds(self.data)
+        self.words = word_hashes(self.data, (self.begin, self.end))
+        hashes = runs(self.words)
+        # Whole words of the head behind a white space, and those of the first part before one.
+        self.first = int(len(self.begin) > 0 and self.begin[0] == 0)
+        self.last = max(self.first, int(np.searchsorted(self.end, self.head, "right")))
+        self.before = int(np.searchsorted(self.end, self.part))
+        self.inner = self.first, max(self.first, self.last - SHINGLE + 1)
+        self.lead = max(0, self.before - SHINGLE + 1)
+        cuts = sorted({0, *self.inner, self.lead, len(hashes)})
+        low = lows(hashes, cuts) if len(cuts) > 1 else lows(hashes, [0, 0])
+        least = lambda a, b: low[cuts.index(a) : cuts.index(b)].min(axis=0, initial=0xFFFFFFFFFFFFFFFF)
+        self.low_inner, self.low_lead = least(*self.inner), least(0, self.lead)
+        self.print = low_bytes(values_of(low.min(axis=0)))
+
+    def edited(self, follows: Chained) -> tuple[str, bytes]:
+        """SHA-256 and fingerprint of the edited text; ``follows`` was made with this text's ``half`` as its head."""
+        head, (first, last) = follows.data[: follows.head], (follows.first, follows.last)
+        kept, n, near = self.before, last - first, SHINGLE - 1
+        at = int(self.end[kept - 1]) if kept else 0
+        digest = hashlib.sha256(self.data[: self.part] + head).hexdigest()
+        # Words at the cut, and the one that the end of the head cuts through, if there is one.
+        through = int(n > 0 and last < len(follows.begin) and follows.begin[last] < follows.head)
+        cut_words = self.data[at : self.part] + (head[: follows.begin[first]] if n else head)
+        middle = word_hashes(cut_words + b" " + head[follows.begin[last] :] if through else cut_words)
+        middle, tail = middle[: len(middle) - through], middle[len(middle) - through :]
+        lead = self.words[max(0, kept - near) : kept]
+        if n <= near:  # no shingle of the head alone
+            words = np.concatenate((lead, middle, follows.words[first:last], tail))
+            new = runs(words) if kept <= near else run_hashes(words, SHINGLE)
+        else:
+            new = run_hashes(np.concatenate((lead, middle, follows.words[first : first + near], follows.words[last - near : last], tail)), SHINGLE)
+            across = len(lead) + len(middle)  # those that follow, up to the last words, aren't of the text
+            new = np.concatenate((new[:across], new[across + near :]))
+        low = np.minimum(lows(new, [0, len(new)])[0], self.low_lead)
+        return digest, low_bytes(values_of(np.minimum(low, follows.low_inner)))
+
+
 def _placing(borders: list[tuple[int, bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For ``mapInArrow`` over rows with ``key`` and ``digest``: adds ``part``, how many of the sorted ``borders`` (key, digest) are smaller than a row's.
 
@@ -159,15 +236,12 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
             if data is None:
                 self.about = (digest, class_id)
                 return
-            text = unpacked(data).decode("utf-8", "replace")
-            own = fingerprint(text)
+            own = Chained(unpacked(data).decode("utf-8", "replace"), self.held[1].half if self.held else 0)
             if self.held:
-                held_id, held, held_print, held_class = self.held
-                half = len(held) // 2
-                edited = held[: len(held) - half] + text[:half]
-                edited_print = fingerprint(edited)
-                yield held_id, len(held), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), held_print.hex(), edited_print.hex(), likeness(held_print, edited_print), likeness(held_print, own), held_class
-            self.held = None if ghost else (doc_id, text, own, self.about[1])
+                held_id, held, held_class = self.held
+                edited_sha, edited_print = held.edited(own)
+                yield held_id, held.n_chars, edited_sha, held.print.hex(), edited_print.hex(), likeness(held.print, edited_print), likeness(held.print, own.print), held_class
+            self.held = None if ghost else (doc_id, own, self.about[1])
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id bigint"
     return map_rows(in_order(docs, classes, id_col, text_col), schema, Step)
@@ -294,7 +368,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             hashes = shingle_set(row[1], fold)
             same = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
             sig = signature(hashes)
-            told = row[0], hashlib.sha256(row[1] or b"").digest(), same, len(hashes), bands(sig, width), sig.astype(np.uint8).tobytes()
+            told = row[0], hashlib.sha256(row[1] or b"").digest(), same, len(hashes), bands(sig, width), low_bytes(sig)
             yield (*told, signed(majority(hashes))) if anchored else told
 
         return step
